@@ -24,10 +24,11 @@ def _first_in_both(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
     Joined on key and position together, so that a key wanted by very many pairs is not one group.
     """
+    leading = pairs
     for key in (a, b):
         leaders = pairs.groupBy(key).agg(F.min("first").alias("first"))
-        pairs = pairs.join(leaders, [key, "first"], "left_semi")
-    return pairs
+        leading = leading.join(leaders, [key, "first"], "left_semi")
+    return leading
 
 
 def _settle(contested: DataFrame, a: str, b: str) -> DataFrame:
