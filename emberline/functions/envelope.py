@@ -133,3 +133,12 @@ def message_key(named: Column, eui: Column, device: Column, session: Column,
     composed = F.concat_ws(":", F.coalesce(eui, device), F.coalesce(session, received_at),
                            F.coalesce(counter.cast("string"), received_at))
     return F.coalesce(named, composed)
+
+
+def evaluated(value: Column) -> Column:
+    """The value as the only row of a generator.
+
+    Filters and later projections are not pushed through a generator, so an expensive value that
+    they mention several times is still computed once per row.
+    """
+    return F.explode(F.array(value))

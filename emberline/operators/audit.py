@@ -92,7 +92,7 @@ def row_rules(lines: DataFrame, options: AuditOptions) -> DataFrame:
     """
     df = lines.where(~is_blank()).select(
         F.col("file").alias("source_file"), F.col("line_no").alias("source_line"), "file_no",
-        F.try_parse_json("line").alias("_body"))
+        E.evaluated(F.try_parse_json("line")).alias("_body"))
     df = df.withColumn("_outer", E.opened(F.col("_body"), "uplink_message", "data", "result"))
     wrapped = E.is_object(E.opened(F.col("_outer.result"), "uplink_message").uplink_message)
     bare = (E.is_object(F.col("_outer.uplink_message"))
@@ -101,12 +101,9 @@ def row_rules(lines: DataFrame, options: AuditOptions) -> DataFrame:
     df = message_fields(df, F.col("_outer.result"), options.channels)
     reading = reading_columns(options.channels)
 
-    def unusable(channel: str, value: str) -> Column:
-        return F.when(F.col(f"_decoded.{channel}").isNotNull() & F.col(value).isNull(),
-                      F.lit(channel + NOT_FINITE))
-
-    bad_channels = F.array_compact(F.array(
-        unusable("Temp_Channel1", "_channel_1"), unusable("Temp_Channel2", "_channel_2")))
+    def unusable(number: int) -> Column:
+        return (F.col(f"_decoded.Temp_Channel{number}").isNotNull()
+                & F.col(f"_channel_{number}").isNull())
 
     def outside(value: Column, bounds: tuple[float, float]) -> Column:
         return F.coalesce((value < bounds[0]) | (value > bounds[1]), F.lit(False))
@@ -115,9 +112,13 @@ def row_rules(lines: DataFrame, options: AuditOptions) -> DataFrame:
     eui_fits = eui.isNotNull() if options.dev_eui is None else eui.eqNullSafe(F.lit(options.dev_eui))
     observed = F.col("_observed_at_ms")
 
-    def failed(status: str, reasons: Column | str, shows: str) -> Column:
-        listed = reasons if isinstance(reasons, Column) else F.array(F.lit(reasons))
-        return F.struct(F.lit(status).alias("status"), listed.alias("reasons"), F.lit(shows).alias("shows"))
+    def verdicts(status: str | None, shows: str, *reasons: str | None) -> Column:
+        return F.array(*[F.struct(F.lit(status).cast("string").alias("status"),
+                                  F.lit(reason).cast("string").alias("reason"),
+                                  F.lit(shows).alias("shows")) for reason in reasons])
+
+    def failed(status: str, reason: str, shows: str) -> Column:
+        return verdicts(status, shows, reason)
 
     result = (
         F.when(F.col("_body").isNull(), failed("error", NOT_JSON, "place"))
@@ -129,18 +130,19 @@ def row_rules(lines: DataFrame, options: AuditOptions) -> DataFrame:
         .when(observed.isNull(), failed("error", BAD_TIME, "place"))
         .when((observed <= options.after_ms) | (observed >= options.before_ms),
               failed("error", OUT_OF_BOUNDS, "device"))
-        .when(F.size(bad_channels) > 0, failed("error", bad_channels, "device"))
+        .when(unusable(1) & unusable(2), verdicts("error", "device", *[
+            f"Temp_Channel{number}{NOT_FINITE}" for number in (1, 2)]))
+        .when(unusable(1), failed("error", "Temp_Channel1" + NOT_FINITE, "device"))
+        .when(unusable(2), failed("error", "Temp_Channel2" + NOT_FINITE, "device"))
         .when(F.col("_decoded").isNull(), failed("ignored", NO_PAYLOAD, "source"))
         .when(F.col("_channel_1").isNull() & F.col("_channel_2").isNull(),
               failed("ignored", NO_TEMPERATURE, "source"))
         .when(outside(reading["sauna_temp_c"], options.air_range_c)
               | outside(reading["stovepipe_temp_c"], options.heater_range_c),
               failed("error", IMPLAUSIBLE, "reading"))
-        .otherwise(F.struct(F.lit(None).cast("string").alias("status"),
-                            F.array(F.lit(None).cast("string")).alias("reasons"),
-                            F.lit("reading").alias("shows")))
+        .otherwise(verdicts(None, "reading", None))
     )
-    df = df.withColumn("_result", result)
+    df = df.select("*", F.posexplode(result).alias("part", "_result"))
     shows = F.col("_result.shows")
     whole = shows == "reading"
 
@@ -151,8 +153,8 @@ def row_rules(lines: DataFrame, options: AuditOptions) -> DataFrame:
         return F.when(visible.get(name, whole), reading[name]).alias(name)
 
     return df.select(
-        "file_no", "source_file", "source_line", F.col("_result.status").alias("status"),
-        F.posexplode("_result.reasons").alias("part", "reason"),
+        "file_no", "source_file", "source_line", "part", F.col("_result.status").alias("status"),
+        F.col("_result.reason").alias("reason"),
         F.when(whole, reading["message_key"]).alias("message_key"),
         F.when(shows != "place", F.col("_received_at")).alias("observed_at"),
         F.when(whole, observed).alias("observed_at_ms"),

@@ -33,9 +33,9 @@ def packet_sha256(eui: Column, device: Column, received_at: Column, counter: Col
     return F.when(eui.isNotNull() & counter.isNotNull(), F.sha2(identity, 256))
 
 
-def reading_signature(prefix: str = "") -> Column:
+def reading_signature() -> Column:
     """Hash over all non-key fields of a reading; equal exactly when the fields are."""
-    fields = [F.col(f"{prefix}{name}").alias(name) for name in SIGNATURE_FIELDS]
+    fields = [F.col(name) for name in SIGNATURE_FIELDS]
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 

@@ -102,16 +102,14 @@ def normalize_uplinks(df: DataFrame, cfg: RuntimeConfig, body: str = "body") ->
     columns are passed through.  Works on streams as well: it is a projection.
     """
     keep = df.columns
-    df = df.withColumn("_message", E.chosen_message(F.col(body)))
+    df = df.select(*keep, E.evaluated(E.chosen_message(F.col(body))).alias("_message"))
     df = message_fields(df, F.col("_message"), cfg)
     df = df.withColumn("_verdict", verdict(F.col("_message")))
     reading = F.struct(*[value.alias(name) for name, value in reading_columns(cfg).items()])
-    return df.select(
-        *keep,
-        F.col("_verdict.outcome").alias("outcome"),
-        F.col("_verdict.reason").alias("reason"),
-        F.when(F.col("_verdict.outcome") == "reading", reading).alias("reading"),
-    )
+    parsed = F.struct(
+        F.col("_verdict.outcome").alias("outcome"), F.col("_verdict.reason").alias("reason"),
+        F.when(F.col("_verdict.outcome") == "reading", reading).alias("reading"))
+    return df.select(*keep, E.evaluated(parsed).alias("_parsed")).select(*keep, "_parsed.*")
 
 
 def expect_source(parsed: DataFrame, cfg: RuntimeConfig) -> DataFrame:

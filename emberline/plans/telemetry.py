@@ -50,6 +50,8 @@ def as_readings(df: DataFrame) -> DataFrame:
         F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("session_key_id"),
         F.lit(2).cast("bigint").alias("f_port"),
         key.alias("frame_counter"),
+        _air().alias("temp_channel_1_c"),
+        F.col("value").alias("temp_channel_2_c"),
         _air().alias("sauna_temp_c"),
         F.col("value").alias("stovepipe_temp_c"),
         (F.lit(3.0) + key / 200).alias("battery_v"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from emberline.functions.envelope import evaluated
+
 # Fixed value: the largest message that is accepted, in bytes.
 LARGEST_MESSAGE = 131_072
 
@@ -15,8 +17,11 @@ def with_body(lines: DataFrame, column: str = "value") -> DataFrame:
     """Parse a text column: ``body`` (VARIANT) and, where there is none, the ``problem``."""
     raw = F.col(column)
     fits = F.octet_length(raw) <= LARGEST_MESSAGE
-    return lines.withColumn("body", F.when(fits, F.try_parse_json(raw))).withColumn(
-        "problem", F.when(~fits, TOO_LARGE).when(F.col("body").isNull(), NOT_JSON))
+    read = evaluated(F.struct(fits.alias("fits"), F.when(fits, F.try_parse_json(raw)).alias("body")))
+    return lines.select("*", read.alias("_read")).select(
+        *lines.columns, F.col("_read.body").alias("body"),
+        F.when(~F.col("_read.fits"), TOO_LARGE).when(F.col("_read.body").isNull(), NOT_JSON)
+        .alias("problem"))
 
 
 def json_messages(spark: SparkSession, path: str) -> DataFrame:
