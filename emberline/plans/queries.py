@@ -16,6 +16,8 @@ from emberline.plans import telemetry as T
 from emberline.session import prepare, shared_folder
 from emberline.sources import messages as M, pages
 from emberline.sources.sinks import insert_if_absent
+from emberline.streaming.devices import device_stream, sessions_of
+from emberline.streaming.ingest import downsample_stream, ingest, latest_stream
 
 CFG, AS_OF, ARRIVAL = T.CADENCE, T.AS_OF_MS, T.ARRIVAL
 # History buckets follow a five-minute interval, gaps and rates the table's own cadence.
@@ -516,3 +518,70 @@ def page_lines(spark, sf_dir):
 def source_file_summary(spark, sf_dir):
     files = pages.source_file_summary(spark, _written_pages(spark, sf_dir), "*.txt")
     return files.select(_page_number(F.col("path")).alias("page"), "sha256", "json_lines", "blank_lines")
+
+
+# Streams --------------------------------------------------------------------------------------
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The telemetry table as a stream of files."""
+    schema = T.events(spark, sf_dir).schema
+    return T.as_readings(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+
+
+def _run(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all that is there and read back what it wrote, batch by batch."""
+    spark = stream.sparkSession
+    out = shared_folder(spark, "stream")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    (stream.writeStream.foreachBatch(write).outputMode(mode)
+     .option("checkpointLocation", shared_folder(spark, "offsets"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out)
+
+
+def _last_update(updates: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in updates.columns if c not in (key, "batch")]
+    return updates.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(key, "_r.*")
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    """Messages written as files, twice, then ingested as a stream: each reading is stored once."""
+    source, stored = shared_folder(spark, "messages"), shared_folder(spark, "stored")
+    texts = T.messages(spark, sf_dir).select("value")
+    texts.unionByName(texts).write.text(source)
+    (ingest(M.json_message_stream(spark, source), CFG, stored, shared_folder(spark, "quarantine"),
+            shared_folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(stored).select(
+        "message_key", "observed_at_ms", "device_id", "frame_counter", "sauna_temp_c", "stovepipe_temp_c")
+
+
+@query
+def stream_rates(spark, sf_dir):
+    return _run(device_stream(_stream(spark, sf_dir), CFG, "observed_at_ms"), "append").select(
+        "message_key", six("sauna_rate_c_per_min").alias("sauna_rate_c_per_min"),
+        six("stovepipe_rate_c_per_min").alias("stovepipe_rate_c_per_min"))
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    rows = _run(device_stream(_stream(spark, sf_dir), CFG, "observed_at_ms"), "append")
+    return sessions_of(rows).withColumn(
+        "max_stovepipe_rate_c_per_min", six("max_stovepipe_rate_c_per_min"))
+
+
+@query
+def stream_downsample(spark, sf_dir):
+    updates = _run(downsample_stream(_stream(spark, sf_dir), H.HOUR_MS), "update")
+    last = _last_update(updates, "bucket_ms")
+    return last.select("bucket_ms", "readings", *[
+        six(c).alias(c) for c in last.columns if c not in ("bucket_ms", "readings")])
+
+
+@query
+def stream_latest(spark, sf_dir):
+    rows = _stream(spark, sf_dir).select("device_id", "observed_at_ms", "message_key")
+    return _last_update(_run(latest_stream(rows), "update"), "device_id")

@@ -12,6 +12,9 @@ REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # JSON objects may repeat a key; the last one counts, as in JSON.parse.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Keyed state with more than one variable needs this store.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
