@@ -35,6 +35,15 @@ def events(spark: SparkSession, sf_dir: str, from_ms: int | None = None,
     return df
 
 
+def for_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a table of few splits before JSON work, which costs far more than moving its rows.
+
+    A table of many splits keeps them: there the shuffle would be for nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_readings(df: DataFrame) -> DataFrame:
     """Each event as a reading: ``value`` heats, the air probe is missing on errors."""
     key = F.get_json_object("props", "$.k").cast("bigint")
@@ -101,7 +110,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``value`` holds the text.  Some messages carry no temperature, a bad time, no device or numbers
     spelled as strings; every 101st is cut short and is not JSON.
     """
-    df = events(spark, sf_dir)
+    df = for_all_cores(events(spark, sf_dir))
     n = F.col("event_id")
     key = F.get_json_object("props", "$.k").cast("bigint")
     battery = (F.lit(3.0) + key / 200).alias("BatV")
@@ -152,7 +161,7 @@ def archive_lines(spark: SparkSession, sf_dir: str, flawed: bool) -> DataFrame:
     Channel 1 is the heater here, channel 2 the air probe.
     """
     n = F.col("event_id")
-    df = events(spark, sf_dir)
+    df = for_all_cores(events(spark, sf_dir))
     case = n % 40
     key = F.get_json_object("props", "$.k").cast("bigint")
     named = F.array(F.concat(F.lit("gs:uplink:"), n.cast("string")))
