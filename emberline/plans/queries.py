@@ -40,8 +40,8 @@ def query(run: Query) -> Query:
 
 
 def six(column: str | Column) -> Column:
-    """Six decimals: the last bits of a sum depend on its order."""
-    return N.half_up(F.col(column) if isinstance(column, str) else column, 6)
+    """Six decimals of a sum or mean whose last bits depend on the order of summation."""
+    return N.half_up(N.settled(F.col(column) if isinstance(column, str) else column), 6)
 
 
 # Readings and identity ------------------------------------------------------------------------
