@@ -134,7 +134,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         received_at=F.when(n % 89 == 0, F.lit("not-a-time")).otherwise(time),
         device=F.when(n % 83 != 0, F.col("user_id").cast("string")), receptions=receptions)
     # The payload's keys differ from row to row, which one struct cannot say.
-    bare = F.replace(F.to_json(body), F.lit('"@payload@"'), payload)
+    df = df.withColumn("_bare", F.replace(F.to_json(body), F.lit('"@payload@"'), payload))
+    bare = F.col("_bare")
     status = F.lit('{"data":{"end_device_ids":{},"uplink_message":{"decoded_payload":{"BatV":3}}}}')
     shaped = (
         F.when(n % 5 == 0, bare)
@@ -143,7 +144,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 5 == 3, F.concat(F.lit("["), status, F.lit(',{"data":'), bare, F.lit("}]")))
         .otherwise(F.concat(F.lit("[7,"), bare, F.lit("]")))
     )
-    return df.select("event_id", F.when(n % 101 == 0, F.left(shaped, F.lit(20))).otherwise(shaped).alias("value"))
+    shaped = df.withColumn("_shaped", shaped)
+    return shaped.select("event_id", F.when(n % 101 == 0, F.left("_shaped", F.lit(20)))
+                         .otherwise(F.col("_shaped")).alias("value"))
 
 
 PAGE_LINES = 2_000
