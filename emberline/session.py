@@ -28,11 +28,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a single-machine run or a test) does a temporary folder
-    stand in, and it then also becomes the checkpoint folder.
+    Where a single-machine session (master ``local``) names none, a temporary folder stands in and
+    becomes the checkpoint folder. On a cluster every executor would write to its own disk, so a
+    missing setting is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.conf.get("spark.master", "").partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="emberline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
