@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import dart_minhash
+from emberline.llm import dart_minhash, decontaminate
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5_dart_minhash(spark, sf_dir):
     """Near-duplicate class of every document."""
     return dart_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_fm_index(spark, sf_dir):
+    """Words of every document that lie in passages of the benchmark."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLES["op4_fm_index"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS k
+        FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM b)),
+gram AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS k
+         FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i
+               FROM d CROSS JOIN (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+hit AS (SELECT r, i, m, item_id FROM gram JOIN win USING (m, k)),
+marked AS (SELECT r, count(DISTINCT p) AS n_hit
+           FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hit) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
+"""
