@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import dart_minhash, decontaminate
+from emberline.llm import best_fit, compression_langid, dart_minhash, decontaminate
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN marked USING (r) LEFT JOIN named USING (r)
 """
+
+
+@query
+def op3_compression_langid(spark, sf_dir):
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    learned = compression_langid.learn(docs.where(~compression_langid.held_out()).select("doc_id", "text", "lang"))
+    return compression_langid.identify(docs.select("doc_id", "text"), learned).select(
+        "doc_id", compression_langid.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"),
+        F.col("lang_rejected").alias("rejected"))
+
+
+@query
+def op1_best_fit(spark, sf_dir):
+    """Bins of at most 2,048 words for every document, without two of a source or of a cluster in a bin."""
+    return best_fit.pack(best_fit.measured(table(spark, sf_dir, "documents")))
