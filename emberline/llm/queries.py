@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import best_fit, compression_langid, dart_minhash, decontaminate
+from emberline.llm import best_fit, bpe_count, compression_langid, dart_minhash, decontaminate
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,3 +74,11 @@ def op3_compression_langid(spark, sf_dir):
 def op1_best_fit(spark, sf_dir):
     """Bins of at most 2,048 words for every document, without two of a source or of a cluster in a bin."""
     return best_fit.pack(best_fit.measured(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_bpe_count(spark, sf_dir):
+    """Tokens of every document under the public 32k piece model."""
+    import public_tokenizers
+
+    return bpe_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
