@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import best_fit, bpe_count, compression_langid, dart_minhash, decontaminate
+from emberline.llm import best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,19 @@ def op10_bpe_count(spark, sf_dir):
     import public_tokenizers
 
     return bpe_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_crf_pii(spark, sf_dir):
+    """Personal data of every document: counts and digest of the patterns' spans, and all spans."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def text_of(spans: str):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])))
+
+    def count(kind: str):
+        return F.size(F.filter("pii_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(text_of("pii_base"), 256).alias("base_sha256"), text_of("pii_spans").alias("spans"),
+        (F.size("pii_spans") - F.size("pii_base")).cast("long").alias("n_added"))
