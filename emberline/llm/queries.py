@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii
+from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,10 @@ def op9_crf_pii(spark, sf_dir):
     return found.select(
         "doc_id", *map(count, pii.KINDS), F.sha2(text_of("pii_base"), 256).alias("base_sha256"), text_of("pii_spans").alias("spans"),
         (F.size("pii_spans") - F.size("pii_base")).cast("long").alias("n_added"))
+
+
+@query
+def op8_backoff_lm(spark, sf_dir):
+    """Log-probability of every document under a model of nine tenths of them."""
+    return backoff_lm.score(table(spark, sf_dir, "documents")).select(
+        "doc_id", backoff_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
