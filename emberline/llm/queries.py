@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii
+from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii, wrapper
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,9 @@ def op8_backoff_lm(spark, sf_dir):
     """Log-probability of every document under a model of nine tenths of them."""
     return backoff_lm.score(table(spark, sf_dir, "documents")).select(
         "doc_id", backoff_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op7_wrapper(spark, sf_dir):
+    """Main text of every page."""
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
