@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii, wrapper
+from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii, pivot_topk, wrapper
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,20 @@ def op8_backoff_lm(spark, sf_dir):
 def op7_wrapper(spark, sf_dir):
     """Main text of every page."""
     return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_pivot_topk(spark, sf_dir):
+    """The five largest inner products of every fiftieth vector with all others."""
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op2_pivot_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(
+          list_transform(q.e, lambda x: CAST(x AS DOUBLE)), list_transform(c.e, lambda x: CAST(x AS DOUBLE))) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
