@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii, pivot_topk, wrapper
+from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii, pivot_topk, quotes, wrapper
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,12 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
+@query
+def op6_quotes(spark, sf_dir):
+    """Every message of the conversations with what it answers and its text without quotations."""
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op6_quotes"] = quotes.SQL
