@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from emberline.llm.dart_minhash import weight_fingerprint
-from emberline.llm.words import by_bytes, find_words
+from emberline.llm.words import by_bytes, find_words, light_batches
 
 CAPACITY = 2048
 SHARD_ROWS = 4096
@@ -107,7 +107,7 @@ def measured(docs: DataFrame) -> DataFrame:
                  pa.array(weight_fingerprint(words).view(np.int64))],
                 names=["doc_id", "source", "n_words", "cluster"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(
+    return light_batches(docs).select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(
         measure, "doc_id long, source string, n_words long, cluster long")
 
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
+from emberline.llm.words import light_batches
+
 LIMIT = 4096
 KEPT, KEPT_CHARS = 600_000, 40
 BLANK = "▁"
@@ -130,6 +132,6 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFr
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.col("text").cast("string")
-    return docs.select(
+    return light_batches(docs).select(
         F.col("doc_id").cast("long"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"),
     ).mapInArrow(tally, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -29,6 +29,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from emberline.llm.words import light_batches, unused
+
 UNKNOWN = "und"
 SAMPLE_DOCS = 400
 # A dictionary is cut to this size from whole lines of the sample.
@@ -50,7 +52,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICTI
 
     The driver receives at most ``sample_docs`` texts of each language.
     """
-    rows = labelled.where("lang is not null and text is not null and doc_id is not null")
+    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where("lang is not null and text is not null and doc_id is not null")
     keys = rows.select("doc_id", F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("h"))
     # The group limit cuts each task's rows before the shuffle.
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("h", "doc_id"))
@@ -106,8 +108,11 @@ class Compressors:
         return self.languages[best], score, score < MARGIN
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_rejected, from ``text`` alone."""
+RESULT = ("lang_pred", "lang_score", "lang_rejected")
+
+
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], names: tuple[str, str, str] = RESULT) -> DataFrame:
+    """``docs`` with the columns ``names``: language, score, rejected; from ``text`` alone."""
     at = docs.columns.index("text")
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +122,12 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()),
                  pa.array(np.array([f[1] for f in found], np.float64)), pa.array([f[2] for f in found], pa.bool_())],
-                names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
+                names=[*batch.schema.names, *names])
 
     schema = T.StructType([
-        *docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-        T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
-    return docs.mapInArrow(classify, schema)
+        *docs.schema.fields, T.StructField(names[0], T.StringType()),
+        T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
+    return light_batches(docs).mapInArrow(classify, schema)
 
 
 def held_out() -> Column:
@@ -132,5 +137,6 @@ def held_out() -> Column:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose language is rejected; labels are those of ``docs``."""
-    found = identify(docs, learn(docs.where(~held_out()).select("doc_id", "text", "lang")))
-    return found.where("not lang_rejected").select(*docs.columns)
+    names = tuple(unused(n, docs) for n in RESULT)
+    found = identify(docs, learn(docs.where(~held_out())), names)
+    return found.where(~F.col(names[2])).select(*docs.columns)

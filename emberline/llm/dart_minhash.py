@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.components import components
-from emberline.llm.words import U64, Words, by_bytes, find_words, mix, spans_hash
+from emberline.llm.words import U64, Words, by_bytes, find_words, light_batches, mix, spans_hash, unused
 from emberline.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                  _lists(_banded(times, band_groups)), _lists(_banded(times, way_groups))],
                 names=["doc_id", "node", "weight", "bands", "ways"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return light_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         sign, "doc_id long, node long, weight long, bands array<long>, ways array<long>")
 
 
@@ -147,7 +147,7 @@ def _with_units(docs: DataFrame) -> DataFrame:
                  pa.array([part.tobytes() for part in np.split(low, ends[:-1])], pa.binary())],
                 names=["node", "units"])
 
-    return docs.select("text").mapInArrow(units, "node long, units binary")
+    return light_batches(docs).select("text").mapInArrow(units, "node long, units binary")
 
 
 def _similarity(pairs: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
@@ -253,14 +253,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         for batch in by_bytes(batches):
             words = find_words(batch.column(batch.schema.get_field_index("text")))
             node = weight_fingerprint(words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], names=[*batch.schema.names, "_dart_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node)], names=[*batch.schema.names, own])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_dart_node", T.LongType())])
-    rows = docs.mapInArrow(fingerprint, schema)
+    own, of_head, of_id = (unused(n, docs) for n in ("node", "head_node", "head_id"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
+    rows = light_batches(docs).mapInArrow(fingerprint, schema)
     classes = near_classes(docs, **options).where("node <> 0 and doc_id <=> class_id")
     heads = classes.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node"))).agg(
-        F.min("node").alias("_dart_head")).select(F.col("class_id").alias("_dart_id"), "_dart_head")
-    stays = rows.where("_dart_node <> 0").join(
-        heads, (F.col("_dart_node") == F.col("_dart_head")) & F.col("doc_id").eqNullSafe(F.col("_dart_id")), "left_semi")
-    return (stays.dropDuplicates(["doc_id", "_dart_node"])
-            .unionByName(rows.where("_dart_node = 0")).drop("_dart_node"))
+        F.min("node").alias(of_head)).select(F.col("class_id").alias(of_id), of_head)
+    stays = rows.where(F.col(own) != 0).join(
+        heads, (F.col(own) == F.col(of_head)) & F.col("doc_id").eqNullSafe(F.col(of_id)), "left_semi")
+    return stays.dropDuplicates(["doc_id", own]).unionByName(rows.where(F.col(own) == 0)).drop(own)

@@ -5,7 +5,7 @@ Words are lower-cased (A-Z) runs of digits, letters and characters beyond ASCII.
 window. Every occurrence of a window in a document marks its words; overlapping and adjacent marks
 merge into removal spans.
 
-Documents are never shuffled: a shard is a slice of a scan task's batch (4 MB of text, or one
+Documents are never shuffled: a shard is a slice of a scan task's batch (2 MB of text, or one
 longer document). A shard's index covers the stretches of consecutive benchmark words that are at
 least as long as the shortest window; no occurrence can lie elsewhere. All windows are searched
 backwards at once through wavelet ranks, and the occurrences located from sampled suffix positions.
@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.fm_index import FmIndex
-from emberline.llm.words import by_bytes, find_words, text_bytes
+from emberline.llm.words import by_bytes, find_words, light_batches, text_bytes, unused
 
 WINDOW = 10
 SLICE_BYTES = 8 << 20
-_FOUND = [T.StructField("_bench_words", T.LongType()), T.StructField("_bench_spans", T.BinaryType()),
-          T.StructField("_bench_items", T.ArrayType(T.StringType()))]
+SHARD_BYTES = 2 << 20
 
 
 class Windows:
@@ -101,9 +100,10 @@ def _occurrences(words, windows: Windows) -> tuple[np.ndarray, np.ndarray, list[
     return np.concatenate(begins), np.concatenate(lengths), items
 
 
-def _pass(windows: Windows, first_pass: bool):
+def _pass(windows: Windows, first_pass: bool, carried: tuple[str, str], finish=None):
+    """A pass over a scan task's texts; ``finish`` turns the batch with all it found into the result."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, most=SHARD_BYTES):
             names = batch.schema.names
             words = find_words(batch.column(names.index("text")))
             begin, length, items = _occurrences(words, windows) if windows.shortest else ([], [], [])
@@ -111,8 +111,8 @@ def _pass(windows: Windows, first_pass: bool):
             if first_pass:
                 spans, owners = [None] * rows, [[] for _ in range(rows)]
             else:
-                spans = batch.column(names.index("_bench_spans")).to_pylist()
-                owners = batch.column(names.index("_bench_items")).to_pylist()
+                spans = batch.column(names.index(carried[0])).to_pylist()
+                owners = batch.column(names.index(carried[1])).to_pylist()
             found = defaultdict(list)
             doc = np.searchsorted(words.first, begin, "right") - 1
             for i, d in enumerate(doc):
@@ -124,10 +124,14 @@ def _pass(windows: Windows, first_pass: bool):
                     pairs = np.concatenate([pairs, np.frombuffer(spans[d], np.int64).reshape(-1, 2)])
                 spans[d] = merged(pairs).tobytes()
                 owners[d] = sorted({*owners[d], *(x for i in which for x in items[i])})
-            kept = [c for c, n in zip(batch.columns, names) if not n.startswith("_bench_")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(words.per_doc), pa.array(spans, pa.binary()), pa.array(owners, pa.list_(pa.string()))],
-                names=[*(n for n in names if not n.startswith("_bench_")), "_bench_words", "_bench_spans", "_bench_items"])
+            own = [k for k, n in enumerate(names) if n not in carried]
+            if finish:
+                pairs = [np.frombuffer(s, np.int64).reshape(-1, 2) if s else np.zeros((0, 2), np.int64) for s in spans]
+                yield finish(batch.select(own), words, pairs, owners)
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(k) for k in own), pa.array(spans, pa.binary()), pa.array(owners, pa.list_(pa.string()))],
+                    names=[*(names[k] for k in own), *carried])
 
     return scan
 
@@ -142,37 +146,38 @@ def merged(pairs: np.ndarray) -> np.ndarray:
     return np.stack([pairs[new, 0], reach[last]], 1).astype(np.int64)
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, size: int, slice_bytes: int) -> DataFrame:
-    """``docs`` with the number of words, the spans of marked words and the items of each text."""
+def _searched(docs: DataFrame, benchmark: DataFrame, size: int, slice_bytes: int, finish, schema: T.StructType) -> DataFrame:
+    """The batches that ``finish`` makes of ``docs`` and what was found in them."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     slices = max(1, -(-total // slice_bytes))
-    schema = T.StructType([*docs.schema.fields, *_FOUND])
+    carried = (unused("bench_spans", docs), unused("bench_items", docs))
+    between = T.StructType([*docs.schema.fields, T.StructField(carried[0], T.BinaryType()),
+                            T.StructField(carried[1], T.ArrayType(T.StringType()))])
+    docs = light_batches(docs)
     for part in range(slices):
         # At most about slice_bytes of benchmark text on the driver and in a task at a time.
         rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(slices)) == part).collect()
         windows = Windows([r.item for r in rows], [r.text for r in rows], size)
-        docs = docs.mapInArrow(_pass(windows, part == 0), schema)
+        last = part == slices - 1
+        docs = docs.mapInArrow(_pass(windows, part == 0, carried, finish if last else None), schema if last else between)
     return docs
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted as strings), spans of words (begin, end)."""
-    found = _searched(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, size, slice_bytes)
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [np.frombuffer(s, np.int64).reshape(-1, 2) if s else np.zeros((0, 2), np.int64)
-                     for s in batch.column(2).to_pylist()]
-            hit = pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64())
-            lists = pa.array([s.tolist() for s in spans], pa.list_(pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), hit, batch.column(3), lists],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"])
+    def report(batch: pa.RecordBatch, words, pairs: list[np.ndarray], owners: list[list[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(words.per_doc), pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in pairs], pa.int64()),
+             pa.array(owners, pa.list_(pa.string())), pa.array([s.tolist() for s in pairs], pa.list_(pa.list_(pa.int64())))],
+            names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return found.select("doc_id", "_bench_words", "_bench_spans", "_bench_items").mapInArrow(
-        unpack, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<array<long>>")
+    schema = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return _searched(texts, benchmark, size, slice_bytes, report, schema)
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -182,36 +187,29 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, s
     cut go; all others, and documents without words, stay, with n_chars (where there is such a
     column) counted anew for changed texts.
     """
-    found = _searched(docs, benchmark, size, slice_bytes)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
-            names = batch.schema.names
-            at = names.index("text")
-            spans = batch.column(names.index("_bench_spans")).to_pylist()
-            total = batch.column(names.index("_bench_words")).to_pylist()
-            text = batch.column(at)
-            stays = np.ones(batch.num_rows, bool)
-            if hits := [i for i, s in enumerate(spans) if s]:
-                new = text.to_pylist()
-                data, offsets = text_bytes(text)
-                words = find_words(text)
-                for i in hits:
-                    pairs = np.frombuffer(spans[i], np.int64).reshape(-1, 2)
-                    stays[i] = (pairs[:, 1] - pairs[:, 0]).sum() < total[i]
-                    base = words.first[i]
-                    edges = [offsets[i], *(x for b, e in pairs for x in (words.begin[base + b], words.end[base + e - 1])),
-                             offsets[i + 1]]
-                    parts = [data[a:b].tobytes().decode().strip() for a, b in zip(edges[::2], edges[1::2])]
-                    new[i] = " ".join(p for p in parts if p)
-                text = pa.array(new, pa.string())
-            columns = [text if k == at else c for k, c in enumerate(batch.columns)]
-            out = pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
-            yield out
-
-    cleaned = found.mapInArrow(cut, T.StructType(found.schema.fields))
+    at, hit = docs.columns.index("text"), unused("bench_hit", docs)
+
+    def cut(batch: pa.RecordBatch, words, pairs: list[np.ndarray], owners: list[list[str]]) -> pa.RecordBatch:
+        text, total = batch.column(at), words.per_doc
+        gone = np.array([(s[:, 1] - s[:, 0]).sum() for s in pairs], np.int64)
+        if gone.any():
+            new = text.to_pylist()
+            data, offsets = text_bytes(text)
+            for i in np.flatnonzero(gone):
+                base = words.first[i]
+                edges = [offsets[i], *(x for b, e in pairs[i] for x in (words.begin[base + b], words.end[base + e - 1])),
+                         offsets[i + 1]]
+                parts = [data[a:b].tobytes().decode().strip() for a, b in zip(edges[::2], edges[1::2])]
+                new[i] = " ".join(p for p in parts if p)
+            text = pa.array(new, pa.string())
+        columns = [text if k == at else c for k, c in enumerate(batch.columns)]
+        out = pa.RecordBatch.from_arrays([*columns, pa.array(gone > 0)], names=[*batch.schema.names, hit])
+        return out.filter(pa.array((gone == 0) | (gone < total)))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(hit, T.BooleanType())])
+    cleaned = _searched(docs, benchmark, size, slice_bytes, cut, schema)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(
-            F.col("_bench_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+            F.col(hit), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return cleaned.select(*docs.columns)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.crf import Crf, train
 from emberline.llm.pii_labels import LABELLED
-from emberline.llm.words import SPACED_BYTES, U64, by_bytes, find_words, mix, spans_hash, text_bytes
+from emberline.llm.words import SPACED_BYTES, U64, by_bytes, find_words, light_batches, mix, spans_hash, text_bytes, unused
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -224,6 +224,16 @@ def tagged(column: pa.Array, model: Crf) -> dict[int, list[tuple[int, int, int]]
     return found
 
 
+def _found(text: pa.Array, model: Crf) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+    """Per text: spans of the patterns, and all spans."""
+    base = [patterns(t) if t else [] for t in text.to_pylist()]
+    every = list(base)
+    for row, more in tagged(text, model).items():
+        free = [s for s in more if all(s[2] <= b or s[0] >= e for b, _, e in base[row])]
+        every[row] = sorted({*base[row], *free})
+    return base, every
+
+
 def find_personal_data(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """``docs`` with pii_base and pii_spans: arrays of (begin, kind, end), in order."""
     model = model or learn()
@@ -232,20 +242,14 @@ def find_personal_data(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
         for batch in by_bytes(batches):
-            text = batch.column(at)
-            base = [patterns(t) if t else [] for t in text.to_pylist()]
-            every = list(base)
-            for row, more in tagged(text, model).items():
-                free = [s for s in more if all(s[2] <= b or s[0] >= e for b, _, e in base[row])]
-                every[row] = sorted({*base[row], *free})
             named = [pa.array([[{"begin": b, "kind": KINDS[k], "end": e} for b, k, e in row] for row in rows], kind)
-                     for rows in (base, every)]
+                     for rows in _found(batch.column(at), model)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *named], names=[*batch.schema.names, "pii_base", "pii_spans"])
 
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("kind", T.StringType()),
                                      T.StructField("end", T.LongType())]))
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField("pii_base", span),
-                                               T.StructField("pii_spans", span)]))
+    return light_batches(docs).mapInArrow(scan, T.StructType(
+        [*docs.schema.fields, T.StructField("pii_base", span), T.StructField("pii_spans", span)]))
 
 
 def redact(docs: DataFrame, model: Crf | None = None) -> DataFrame:
@@ -253,30 +257,29 @@ def redact(docs: DataFrame, model: Crf | None = None) -> DataFrame:
 
     Spans that overlap become one, named after the first.
     """
-    found = find_personal_data(docs, model)
+    model = model or learn()
+    at, hit_name = docs.columns.index("text"), unused("pii_hit", docs)
+
+    def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+        out, done = [], 0
+        for begin, kind, end in spans:
+            if begin >= done:
+                out += [text[done:begin], f"[{KINDS[kind].upper()}]"]
+            done = max(done, end)
+        return "".join(out) + text[done:]
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            at = names.index("text")
-            spans = batch.column(names.index("pii_spans")).to_pylist()
-            hits = [i for i, s in enumerate(spans) if s]
+        for batch in by_bytes(batches):
             text = batch.column(at)
-            if hits:
-                new = text.to_pylist()
-                for i in hits:
-                    out, done = [], 0
-                    for s in spans[i]:
-                        if s["begin"] >= done:
-                            out += [new[i][done:s["begin"]], f"[{s['kind'].upper()}]"]
-                        done = max(done, s["end"])
-                    new[i] = "".join(out) + new[i][done:]
-                text = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(batch.columns)], names=names)
-
-    masked = found.mapInArrow(replace, found.schema)
+            _, every = _found(text, model)
+            hit = [bool(s) for s in every]
+            if any(hit):
+                text = pa.array([masked(t, s) if s else t for t, s in zip(text.to_pylist(), every)], pa.string())
+            columns = [text if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hit)], names=[*batch.schema.names, hit_name])
+
+    out = light_batches(docs).mapInArrow(replace, T.StructType([*docs.schema.fields, T.StructField(hit_name, T.BooleanType())]))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        masked = masked.withColumn("n_chars", F.when(
-            F.size("pii_spans") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(hit_name), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -110,7 +111,7 @@ def find_words(column: pa.Array, table: np.ndarray = WORD_BYTES) -> Words:
     return Words(begin, end, spans_hash(_BYTE_VALUE[low], begin, end), first)
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``most`` bytes of text; one longer text stays whole."""
     for batch in batches:
         if not batch.num_rows:
@@ -121,3 +122,19 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+
+
+def unused(name: str, frame: DataFrame) -> str:
+    """``name``, or a longer one if ``frame`` has such a column."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def light_batches(texts: DataFrame) -> DataFrame:
+    """``texts``, which from now on reach Python in batches of bounded bytes, as texts can be long."""
+    conf = texts.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return texts
