@@ -28,12 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberline.llm.words import SPACED_BYTES, U64, find_words, mix
+from emberline.llm.words import SPACED_BYTES, U64, by_bytes, find_words, mix
 from emberline.session import cut_lineage
 
 ORDER = 2
 MASS = 100.0
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 # Hash of the end of a text; no word has it but by a 64-bit accident.
 END = 0xE4D0F7E27C5A3B19
 
@@ -55,16 +55,22 @@ def _expand(block: bytes, count: int, kind: type) -> np.ndarray:
 class Shard:
     """Tokens of a shard's texts and its distinct n-grams of every order, sorted by hash."""
 
-    def __init__(self, texts: pa.Array, order: int):
-        words = find_words(texts, SPACED_BYTES)
-        self.tokens_per_doc = words.per_doc + 1
+    def __init__(self, rows: pa.Table, order: int):
+        # Bytes are worked on in small slices; only the words' hashes are kept.
+        slices = [find_words(b.column(b.schema.get_field_index("text")), SPACED_BYTES)
+                  for b in by_bytes(rows.to_batches(), most=1 << 20)]
+        per_doc = np.concatenate([np.zeros(0, np.int64), *(w.per_doc for w in slices)])
+        word_hashes = np.concatenate([np.zeros(0, U64), *(w.hash for w in slices)])
+        del slices
+        self.tokens_per_doc = per_doc + 1
         self.ends = np.cumsum(self.tokens_per_doc) - 1
-        hashes = np.full(len(words.hash) + len(texts), U64(END))
+        hashes = np.full(len(word_hashes) + len(per_doc), U64(END))
         is_word = np.ones(len(hashes), bool)
         is_word[self.ends] = False
-        hashes[is_word] = words.hash
-        start = np.repeat(self.ends + 1 - self.tokens_per_doc, self.tokens_per_doc)
-        self.place = np.arange(len(hashes)) - start  # position in its document
+        hashes[is_word] = word_hashes
+        del is_word, word_hashes
+        self.place = np.arange(len(hashes), dtype=np.int32)  # position in its document
+        self.place -= np.repeat((self.ends + 1 - self.tokens_per_doc).astype(np.int32), self.tokens_per_doc)
         self.keys: list[np.ndarray] = []
         self.index: list[np.ndarray] = []  # of each token: its n-gram, -1 where the document has none yet
         gram = hashes
@@ -75,8 +81,9 @@ class Shard:
                 gram = longer
             at = np.flatnonzero(self.place >= n - 1)
             keys, inverse = np.unique(gram[at], return_inverse=True)
-            index = np.full(len(gram), -1)
+            index = np.full(len(gram), -1, np.int32)
             index[at] = inverse
+            del at, inverse
             self.keys.append(keys)
             self.index.append(index)
 
@@ -147,14 +154,9 @@ def _dealt(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def _opened(blocks: pa.ChunkedArray) -> pa.Table:
-    """A shard's documents in an order of their own, whatever order the blocks came in."""
+    """A shard's documents."""
     parts = [b for block in blocks for b in pa.ipc.open_stream(block.as_buffer())]
-    return pa.Table.from_batches(parts).combine_chunks()
-
-
-def _text(rows: pa.Table) -> pa.Array:
-    column = rows["text"].combine_chunks()
-    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+    return pa.Table.from_batches(parts)
 
 
 def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -166,8 +168,8 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, shard_bytes:
 
     def gather(table: pa.Table) -> pa.Table:
         rows = _opened(table["block"])
-        shard = Shard(_text(rows), order)
-        train = rows["train"].to_numpy()
+        shard = Shard(rows, order)
+        train = rows["train"].combine_chunks().to_numpy(zero_copy_only=False)
         out = {"n": [], "part": [], "count": [], "keys": [], "totals": []}
         for n in range(1, order + 1):
             keys, counts = shard.keys[n - 1], shard.counts(n, train)
@@ -210,7 +212,7 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, shard_bytes:
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         rows = _opened(texts["block"])
-        shard = Shard(_text(rows), order)
+        shard = Shard(rows, order)
         n = answers["n"].to_numpy()
         by_part = np.lexsort((answers["part"].to_numpy(), n))
         counts, blocks = answers["count"].to_pylist(), answers["totals"]
