@@ -2,9 +2,10 @@ import copy
 import hashlib
 import json
 import random
+from datetime import datetime, timezone
 
 import pytest
-from messages import uplink
+from messages import EUI, uplink
 
 from emberline.operators import audit as A
 from emberline.operators.claims import turned_away
@@ -12,18 +13,18 @@ from emberline.sources.baseline import baseline_document, baseline_table
 from emberline.sources.pages import page_lines, source_file_summary
 from emberline.sources.sinks import write_manifest, write_replay
 
-AFTER, BEFORE = 1785542400000, 1788220800000  # August 2026
-EUI = "A84041A47C61C1E2"
+AFTER, BEFORE = (round(datetime(2031, month, 1, tzinfo=timezone.utc).timestamp() * 1000) for month in (3, 4))
+# A line of the archive: the first channel is the heater.
+LINE = {"at": "2031-03-05T01:00:00.000Z", "first": 142.5, "second": 33.25, "counter": 18}
 
 
-def message(received_at="2026-08-05T01:00:00.000Z", correlation="gs:uplink:test-1", counter=1,
-            channel_1=120, channel_2=30, session="session-a", **changes):
-    return uplink(received_at, correlation, session, counter, channel_1, channel_2, EUI, **changes)
+def message(**changes):
+    return uplink(**(LINE | changes))
 
 
 def live_row(archived, **changes):
     link = archived["uplink_message"]
-    return {"message_key": "gs:uplink:live", "application_id": "field", "device_id": "probe-1",
+    return {"message_key": "gs:uplink:live", "application_id": "field", "device_id": "kiln-3",
             "dev_eui": EUI, "received_at": archived["received_at"], "frame_counter": link["f_cnt"],
             "temp_channel_1_c": link["decoded_payload"]["Temp_Channel1"],
             "temp_channel_2_c": link["decoded_payload"]["Temp_Channel2"], **changes}
@@ -66,10 +67,10 @@ def test_wrapper(run):
 
 
 @pytest.mark.parametrize(("second", "expected"), [
-    (message(channel_1=200), ("error", A.KEY_CONFLICT)),
+    (message(first=200), ("error", A.KEY_CONFLICT)),
     (message(), ("duplicate", A.KEY_DUPLICATE)),
-    (message(correlation="as:up:two"), ("error", A.PACKET_CONFLICT)),
-    (message(correlation="as:up:two", counter=2), ("error", A.TIME_CONFLICT)),
+    (message(key="as:up:two"), ("error", A.PACKET_CONFLICT)),
+    (message(key="as:up:two", counter=2), ("error", A.TIME_CONFLICT)),
 ])
 def test_conflicts(run, second, expected):
     audit = run([message(), second])
@@ -81,8 +82,8 @@ def test_conflicts(run, second, expected):
 
 
 def test_replay_is_oldest_first(run):
-    times = ["2026-08-05T01:10:00Z", "2026-08-05T01:00:00Z", "2026-08-05T01:05:00Z"]
-    audit = run([message(t, f"gs:uplink:{n}", n) for n, t in enumerate(times)])
+    times = ["2031-03-05T01:10:00Z", "2031-03-05T01:00:00Z", "2031-03-05T01:05:00Z"]
+    audit = run([message(at=t, key=f"gs:uplink:{n}", counter=n) for n, t in enumerate(times)])
     assert [m["received_at"] for m in replayed(audit)] == sorted(times)
     summary = audit.summary().first()
     assert (summary.first_observed_at, summary.last_observed_at) == (times[1], times[0])
@@ -103,7 +104,7 @@ def test_live_overlap(run):
 
 @pytest.mark.parametrize(("changes", "reason"), [
     ({"temp_channel_1_c": 999}, A.LIVE_VALUE_CONFLICT),
-    ({"message_key": "gs:uplink:test-1", "received_at": "2026-08-05T02:00:00.000Z"}, A.LIVE_KEY_CONFLICT),
+    ({"message_key": "gs:uplink:m-17", "received_at": "2031-03-05T02:00:00.000Z"}, A.LIVE_KEY_CONFLICT),
     ({"message_key": ""}, A.ROW_INCOMPLETE),
     ({"frame_counter": 1.5}, A.ROW_INCOMPLETE),
     ({"temp_channel_1_c": None, "temp_channel_2_c": None}, A.ROW_INCOMPLETE),
@@ -116,7 +117,7 @@ def test_live_errors(run, changes, reason):
 
 
 def test_live_rows_that_repeat(run):
-    row = live_row(message(), received_at="2026-08-05T03:00:00Z")
+    row = live_row(message(), received_at="2031-03-05T03:00:00Z")
     audit = run([message()], baseline=[
         row, {**row, "frame_counter": 9}, {**row, "message_key": "gs:uplink:other"}, "text",
         {**row, "message_key": "gs:uplink:3", "frame_counter": 3}])
@@ -127,8 +128,8 @@ def test_live_rows_that_repeat(run):
 
 
 def test_counter_reuse_is_reported_only(run):
-    audit = run([message("2026-08-05T01:00:00Z", "gs:uplink:1", 7),
-                 message("2026-08-06T01:00:00Z", "gs:uplink:2", 7)])
+    audit = run([message(at="2031-03-05T01:00:00Z", key="gs:uplink:1", counter=7),
+                 message(at="2031-03-06T01:00:00Z", key="gs:uplink:2", counter=7)])
     assert len(replayed(audit)) == 2
     assert audit.summary().first().frame_counter_reuse_groups == 1
 
@@ -149,15 +150,15 @@ def test_row_rules(run):
         (changed(("end_device_ids", "device_id"), ""), [A.NO_DEVICE]),
         (changed(("end_device_ids", "dev_eui"), "00"), [A.WRONG_EUI]),
         (changed(("received_at",), "soon"), [A.BAD_TIME]),
-        (message("2026-08-01T00:00:00Z"), [A.OUT_OF_BOUNDS]),
-        (message("2026-09-01T00:00:00Z"), [A.OUT_OF_BOUNDS]),
+        (message(at="2031-03-01T00:00:00Z"), [A.OUT_OF_BOUNDS]),
+        (message(at="2031-04-01T00:00:00Z"), [A.OUT_OF_BOUNDS]),
         (changed(decoded, {"Temp_Channel1": None, "Temp_Channel2": "x"}),
          ["Temp_Channel1" + A.NOT_FINITE, "Temp_Channel2" + A.NOT_FINITE]),
         (changed(decoded, {"BatV": 3}), ["Uplink contained no temperature readings"]),
         (changed(decoded, None), ["Uplink had no decoded payload"]),
-        (message(channel_2=150.5), [A.IMPLAUSIBLE]),
-        (message(channel_1=601), [A.IMPLAUSIBLE]),
-        (message(channel_1=600, channel_2=-40), [None]),
+        (message(second=150.5), [A.IMPLAUSIBLE]),
+        (message(first=601), [A.IMPLAUSIBLE]),
+        (message(first=600, second=-40), [None]),
     ]
     audit = run([m for m, _ in cases])
     got = {}
@@ -242,7 +243,7 @@ def test_baseline_shapes(spark, tmp_path):
 
 
 def test_baseline_from_a_table(spark):
-    rows = [("k", "field", "probe-1", EUI, "2026-08-05T01:00:00Z", 1, 1.0, None)]
+    rows = [("k", "field", "kiln-3", EUI, "2031-03-05T01:00:00Z", 1, 1.0, None)]
     table = spark.createDataFrame(rows, "message_key string, application_id string, device_id string, "
                                   "dev_eui string, received_at string, frame_counter long, "
                                   "temp_channel_1_c double, temp_channel_2_c double")

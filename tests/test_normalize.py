@@ -2,7 +2,7 @@ import json
 import math
 
 import pytest
-from messages import text, uplink, with_payload
+from messages import EUI, text, uplink, with_payload
 from pyspark.sql import functions as F
 
 from emberline import RuntimeConfig
@@ -25,14 +25,14 @@ def parse(spark, bodies, cfg=CFG):
 
 def test_outcomes(spark):
     status = with_payload(uplink(), BatV=3.6)
-    second = uplink(correlation="gs:uplink:test-2")
-    null_key = with_payload(uplink(correlation="gs:uplink:null"), Temp_Channel1=None)
+    second = uplink(key="gs:uplink:m-18")
+    null_key = with_payload(uplink(key="gs:uplink:null"), Temp_Channel1=None)
     no_application = uplink(end_device_ids={"device_id": "d", "application_ids": {}})
     cases = [
-        (uplink(), "gs:uplink:test-1"),
-        ({"data": uplink()}, "gs:uplink:test-1"),
-        ({"result": uplink()}, "gs:uplink:test-1"),
-        ([{"data": status}, {"data": second}], "gs:uplink:test-2"),
+        (uplink(), "gs:uplink:m-17"),
+        ({"data": uplink()}, "gs:uplink:m-17"),
+        ({"result": uplink()}, "gs:uplink:m-17"),
+        ([{"data": status}, {"data": second}], "gs:uplink:m-18"),
         ([5, None, {"data": status}], M.NO_TEMPERATURE),
         ([{"data": null_key}, {"data": second}], M.NO_TEMPERATURE),
         (status, M.NO_TEMPERATURE),
@@ -41,8 +41,8 @@ def test_outcomes(spark):
         ("null", M.NO_MESSAGE),
         ({"uplink_message": {}}, M.NO_UPLINK),
         ({"uplink_message": {}, "end_device_ids": {}}, M.NO_PAYLOAD),
-        (uplink(received_at="not-a-time"), M.BAD_TIME),
-        (uplink(received_at=1), M.BAD_TIME),
+        (uplink(at="not-a-time"), M.BAD_TIME),
+        (uplink(at=1), M.BAD_TIME),
         (no_application, M.NO_IDENTITY),
         (with_payload(uplink(), Temp_Channel1=True, Temp_Channel2="x"), M.NO_TEMPERATURE),
     ]
@@ -55,26 +55,26 @@ def test_outcomes(spark):
 def test_reading_fields(spark):
     reading = parse(spark, [uplink()])[0].reading
     assert reading.asDict() == {
-        "message_key": "gs:uplink:test-1", "observed_at_ms": 1785893364000,
-        "received_at": "2026-08-05T01:29:24.000Z", "application_id": "field", "device_id": "probe-1",
-        "dev_eui": "A84041A47C61C1E2", "session_key_id": "session-a", "f_port": 2, "frame_counter": 42,
-        "temp_channel_1_c": 25.2, "temp_channel_2_c": 250.4, "sauna_temp_c": 25.2,
-        "stovepipe_temp_c": 250.4, "battery_v": 3.618, "rssi_dbm": -55.0, "snr_db": 9.5}
+        "message_key": "gs:uplink:m-17", "observed_at_ms": 1931020805250,
+        "received_at": "2031-03-11T18:40:05.250Z", "application_id": "field", "device_id": "kiln-3",
+        "dev_eui": EUI, "session_key_id": "k-7", "f_port": 2, "frame_counter": 903,
+        "temp_channel_1_c": 18.75, "temp_channel_2_c": 311.5, "sauna_temp_c": 18.75,
+        "stovepipe_temp_c": 311.5, "battery_v": 3.125, "rssi_dbm": -48.0, "snr_db": 11.25}
 
 
 def test_one_probe_and_swapped_channels(spark):
     one = parse(spark, [with_payload(uplink(), Temp_Channel2=120)])[0].reading
     assert (one.sauna_temp_c, one.stovepipe_temp_c) == (None, 120.0)
     swapped = parse(spark, [uplink()], RuntimeConfig(air_channel=2, heater_channel=1))[0].reading
-    assert (swapped.sauna_temp_c, swapped.stovepipe_temp_c) == (250.4, 25.2)
+    assert (swapped.sauna_temp_c, swapped.stovepipe_temp_c) == (311.5, 18.75)
 
 
 @pytest.mark.parametrize(("changes", "key"), [
     ({"correlation_ids": ["x", 5, "as:up:1", "gs:uplink:2"]}, "as:up:1"),
-    ({"correlation_ids": "gs:uplink:2"}, "A84041A47C61C1E2:session-a:42"),
+    ({"correlation_ids": "gs:uplink:2"}, f"{EUI}:k-7:903"),
     ({"correlation_ids": [], "session": None, "counter": 1.5},
-     "A84041A47C61C1E2:2026-08-05T01:29:24.000Z:2026-08-05T01:29:24.000Z"),
-    ({"correlation_ids": [], "eui": "zz"}, "probe-1:session-a:42"),
+     f"{EUI}:2031-03-11T18:40:05.250Z:2031-03-11T18:40:05.250Z"),
+    ({"correlation_ids": [], "eui": "zz"}, "kiln-3:k-7:903"),
 ])
 def test_message_key(spark, changes, key):
     assert parse(spark, [uplink(**changes)])[0].reading.message_key == key
@@ -106,11 +106,11 @@ def test_finite_numbers(spark):
 
 def test_instants(spark):
     cases = {
-        "2026-08-05T01:29:24.000Z": 1785893364000, "2026-08-05T01:29:24.123456789Z": 1785893364123,
-        "2026-08-05T03:29:24+02:00": 1785893364000, "2026-08-05T01:29:24": 1785893364000,
-        "2026-08-05 01:29:24Z": 1785893364000, "2026-08-05": 1785888000000, "2026-08": 1785542400000,
-        "2026": 1767225600000, "1969-12-31T23:59:59.999Z": -1, "not-a-time": None, "": None,
-        "2026-13-01": None, "2026-08-05T25:00:00Z": None, " 2026-08-05": None,
+        "2031-03-11T18:40:05.250Z": 1931020805250, "2031-03-11T18:40:05.250999999Z": 1931020805250,
+        "2031-03-11T23:10:05+04:30": 1931020805000, "2031-03-11T18:40:05": 1931020805000,
+        "2031-03-11 18:40:05Z": 1931020805000, "2031-03-11": 1930953600000, "2031-03": 1930089600000,
+        "2031": 1924992000000, "1969-12-31T23:59:59.998Z": -2, "soon": None, "": None,
+        "2031-14-01": None, "2031-03-11T24:30:00Z": None, " 2031-03-11": None,
     }
     frame = spark.createDataFrame([(k,) for k in cases], "s string")
     assert {r.s: r.ms for r in frame.select("s", epoch_ms(F.col("s")).alias("ms")).collect()} == cases
@@ -123,7 +123,7 @@ def test_expected_source(spark):
         cfg = RuntimeConfig(**settings)
         return [r.reason for r in M.expect_source(M.normalize_uplinks(frame, cfg), cfg).collect()]
     assert reasons() == [None, None, M.NO_TEMPERATURE]
-    assert reasons(dev_eui="A84041A47C61C1E2") == [None, M.OTHER_DEVICE, M.NO_TEMPERATURE]
+    assert reasons(dev_eui=EUI) == [None, M.OTHER_DEVICE, M.NO_TEMPERATURE]
     assert reasons(application_id="other") == [M.OTHER_APPLICATION] * 2 + [M.NO_TEMPERATURE]
 
 

@@ -44,11 +44,11 @@ def test_units(spark):
 
 def test_settings():
     cfg = RuntimeConfig.from_settings({"SAUNA_CHANNEL": "2", "STOVEPIPE_CHANNEL": "1", "RATE_WINDOW_MINUTES": "5",
-                                       "EXPECTED_INTERVAL_SECONDS": "-1", "EXPECTED_DEV_EUI": "a8 40",
+                                       "EXPECTED_INTERVAL_SECONDS": "-1", "EXPECTED_DEV_EUI": "0c 11",
                                        "SESSION_END_HOLD_MINUTES": "x", "REPORT_TIME_ZONE": ""})
     assert (cfg.air_channel, cfg.heater_channel, cfg.rate_span_min, cfg.expected_interval_s) == (2, 1, 5, 300)
     assert (cfg.hold_ms, cfg.stale_after_s, cfg.max_gap_ms) == (45 * MINUTE, 1_200, 750_000)
-    assert (cfg.time_zone, cfg.dev_eui, cfg.application_id) == ("America/New_York", "A840", None)
+    assert (cfg.time_zone, cfg.dev_eui, cfg.application_id) == ("America/New_York", "0C11", None)
     for bad in ({"SAUNA_CHANNEL": "2"}, {"SESSION_END_PIPE_C": "75"}):
         with pytest.raises(ValueError):
             RuntimeConfig.from_settings(bad)

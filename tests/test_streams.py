@@ -28,11 +28,11 @@ def test_ingest_stores_each_message_once(spark, tmp_path):
         (source / name).write_text("\n".join(b if isinstance(b, str) else json.dumps(b) for b in bodies) + "\n")
         run(ingest(stream, RuntimeConfig(), stored, quarantine, offsets))
 
-    one, two = uplink(correlation="gs:uplink:1"), uplink(correlation="gs:uplink:2")
+    one, two = uplink(key="gs:uplink:1"), uplink(key="gs:uplink:2")
     deliver("a.json", one, one, "{", with_payload(uplink(), BatV=1))
-    deliver("b.json", two, uplink(correlation="gs:uplink:1", channel_1=99))
+    deliver("b.json", two, uplink(key="gs:uplink:1", first=99))
     got = spark.read.parquet(stored).orderBy("message_key").collect()
-    assert [(r.message_key, r.temp_channel_1_c) for r in got] == [("gs:uplink:1", 25.2), ("gs:uplink:2", 25.2)]
+    assert [(r.message_key, r.temp_channel_1_c) for r in got] == [("gs:uplink:1", 18.75), ("gs:uplink:2", 18.75)]
     assert spark.read.parquet(quarantine).count() == 2
 
 
