@@ -16,8 +16,9 @@ TIME = "observed_at_ms"
 SLICE = "_slice"
 OWN = "_own"
 
-# A slice is this many look-back spans long, so about one row in 16 is copied to the next slice.
-SPANS_PER_SLICE = 16
+# A slice is this many look-back spans long: short enough that a device is many slices, at the
+# price of a copy of about every second row in the next slice.
+SPANS_PER_SLICE = 2
 
 
 def slice_length(look_back_ms: int, cfg: RuntimeConfig) -> int:

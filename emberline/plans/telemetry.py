@@ -36,12 +36,8 @@ def events(spark: SparkSession, sf_dir: str, from_ms: int | None = None,
 
 
 def for_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a table of few splits before JSON work, which costs far more than moving its rows.
-
-    A table of many splits keeps them: there the shuffle would be for nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out before texts are made of them, which costs far more than moving the rows."""
+    return df.repartition("event_id")
 
 
 def as_readings(df: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
 """Rates and sessions of a readings stream, as the readings arrive.
 
-Each reading gets its rates from what has arrived by then, and the session it belongs to as far as
-it is known.  A late reading is taken into account for later rates only; the detector ignores it.
-The batch operators recompute everything in event-time order.
+Each reading gets its rates from all readings of its window that have arrived by then, however late
+it or they are: a device's readings stay in keyed state by blocks of one window length, and a
+reading touches only the blocks that its window and a run of start samples reach.  Where batches
+begin and end makes no difference.  The detector is the set/reset latch of the batch form; it
+ignores readings that are not newer than all before.  The batch operators recompute everything in
+event-time order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,114 +20,159 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.config import MINUTE_MS, RuntimeConfig
 
-RECENT = "t bigint, air double, heater double, rate double"
-DETECTOR = ("updated bigint, candidate bigint, count int, started bigint, hot bigint, air double, "
-            "heater double, rate double, rows bigint")
+# A block's readings in order of arrival: rows of time, air, heater and heater rate as doubles.
+BLOCK = "rows binary"
+LATCH = ("seen bigint, run_start bigint, run_length int, warm bigint, opened bigint, hot bigint, air double, "
+         "heater double, rate double, rows bigint")
 OUTPUT = ("device_id string, message_key string, observed_at_ms bigint, sauna_rate_c_per_min double, "
           "stovepipe_rate_c_per_min double, started_at_ms bigint, ended_at_ms bigint, "
           "last_hot_at_ms bigint, peak_sauna_c double, peak_stovepipe_c double, "
           "max_stovepipe_rate_c_per_min double, sample_count bigint")
-IDLE = (None, None, 0, None, None, None, None, None, 0)
-
-
-def _or_none(value: float | None) -> float | None:
-    return None if value is None or value != value else float(value)
-
-
-def _highest(*values: float | None) -> float | None:
-    present = [v for v in values if v is not None]
-    return max(present) if present else None
-
-
-def _slope(times: np.ndarray, values: np.ndarray, span_ms: int) -> float | None:
+TIME, AIR, HEATER, RATE = range(4)
+
+
+@dataclass
+class Latch:
+    """What the detector knows of a device; ``run`` is the current row of hot readings."""
+    seen: int | None = None
+    run_start: int | None = None
+    run_length: int = 0
+    warm: int | None = None
+    opened: int | None = None
+    hot: int | None = None
+    air: float | None = None
+    heater: float | None = None
+    rate: float | None = None
+    rows: int = 0
+
+    def advance(self, cfg: RuntimeConfig, reading: np.ndarray, since) -> tuple:
+        """Take one reading; ``since(t)`` are the readings from ``t`` to now.  Returns its session."""
+        now, heater = int(reading[TIME]), reading[HEATER]
+        if self.seen is not None and now <= self.seen:
+            return (None,) * 7
+        joined = self.run_length > 0 and now - self.seen <= cfg.max_gap_ms
+        self.seen = now
+        if heater >= cfg.start_c:
+            self.run_start, self.run_length = (self.run_start, self.run_length + 1) if joined else (now, 1)
+        else:
+            self.run_start, self.run_length = None, 0
+        sets = self.run_length == cfg.start_samples
+        resets = heater < cfg.end_c and (self.warm is None or now - self.warm >= cfg.hold_ms)
+        if heater >= cfg.end_c:
+            self.warm = now
+        if self.opened is None:
+            if not sets:
+                return (None,) * 7
+            self.opened, self.rows = self.run_start, 0
+            self.air = self.heater = self.rate = None
+            news = since(self.run_start)
+        else:
+            news = reading[None, :]
+        self.rows += len(news)
+        self.air, self.heater, self.rate = (
+            _peak(old, news[:, column]) for old, column in ((self.air, AIR), (self.heater, HEATER), (self.rate, RATE)))
+        self.hot = self.warm if self.warm is not None and self.warm >= self.opened else self.hot
+        session = (self.opened, self.hot if resets else None, self.hot, self.air, self.heater, self.rate, self.rows)
+        if resets:
+            self.opened = self.hot = None
+        return session
+
+
+def _peak(old: float | None, values: np.ndarray) -> float | None:
+    top = np.fmax.reduce(values, initial=np.nan if old is None else old)
+    return None if np.isnan(top) else float(top)
+
+
+def _slope(minutes: np.ndarray, values: np.ndarray, span: float) -> float:
+    """Least-squares slope by centred moments, NaN without three samples over the least span."""
     known = np.isfinite(values)
-    times, values = times[known], values[known]
-    if len(times) < 3 or times[-1] - times[0] < span_ms:
-        return None
-    x = (times - times[-1]) / MINUTE_MS
-    x = x - x.mean()
-    below = float((x * x).sum())
-    return float((x * (values - values.mean())).sum()) / below if below > 0 else None
+    x, y = minutes[known], values[known]
+    if len(x) < 3 or x[-1] - x[0] < span:
+        return np.nan
+    centred = x - x.mean()
+    spread = centred @ centred
+    return centred @ (y - y.mean()) / spread if spread > 0 else np.nan
+
+
+class Timeline:
+    """Readings of some blocks and of a batch, by time; those of the batch arrive one by one."""
+
+    def __init__(self, stored: np.ndarray, arriving: np.ndarray):
+        every = np.concatenate([stored, arriving])
+        # Stored readings came first, in their stored order.
+        self.order = np.argsort(every[:, TIME], kind="stable")
+        self.rows = every[self.order]
+        self.time = self.rows[:, TIME]
+        self.came = self.order - len(stored)  # negative: already there
+        self.place = np.empty(len(every), np.int64)
+        self.place[self.order] = np.arange(len(every))
+        self.place = self.place[len(stored):]
+        # As long as the batch is in time order behind all stored readings, nobody is still to come.
+        self.plain = bool((np.diff(self.came) >= 0).all())
+
+    def between(self, low: float, high: float, now: int) -> np.ndarray:
+        """Readings of a time range that had arrived with the batch's reading ``now``."""
+        begin, end = np.searchsorted(self.time, low, "left"), np.searchsorted(self.time, high, "right")
+        if self.plain:
+            return self.rows[begin:min(end, self.place[now] + 1)]
+        return self.rows[begin:end][self.came[begin:end] <= now]
 
 
 class DeviceProcessor(StatefulProcessor):
-    """State per device: the readings of the last window and the detector, both of bounded size."""
+    """State per device: its readings in blocks of one window, and the latch."""
 
-    def __init__(self, cfg: RuntimeConfig, lateness_ms: int) -> None:
+    def __init__(self, cfg: RuntimeConfig) -> None:
         self.cfg = cfg
-        run = cfg.start_samples * cfg.max_gap_ms
-        self.kept_ms = max(cfg.window_ms, run) + lateness_ms
+        self.reach_ms = max(cfg.window_ms, cfg.start_samples * cfg.max_gap_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", RECENT)
-        self.detector = handle.getValueState("detector", DETECTOR)
+        self.blocks = handle.getMapState("blocks", "number bigint", BLOCK)
+        self.latch = handle.getValueState("latch", LATCH)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        latch = Latch(*self.latch.get()) if self.latch.exists() else Latch()
+        # Arrival order is that of the whole micro-batch, whose size the trigger bounds.
         arrived = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        recent = [tuple(map(_or_none, row)) for row in self.recent.get()] if self.recent.exists() else []
-        recent = [(int(t), *rest) for t, *rest in recent]
-        state = tuple(self.detector.get()) if self.detector.exists() else IDLE
-        output = []
-        for row in arrived.itertuples(index=False):
-            now, air, heater = int(row.observed_at_ms), _or_none(row.air), _or_none(row.heater)
-            rates = self._rates(recent, now, air, heater)
-            recent.append((now, air, heater, rates[1]))
-            state, session = self._advance(state, recent, now, air, heater, rates[1])
-            output.append((key[0], row.message_key, now, *rates, *session))
-        newest = max(t for t, *_ in recent)
-        kept = [r for r in sorted(recent, key=lambda r: r[0]) if r[0] >= newest - self.kept_ms]
-        self.recent.put(kept)
-        self.detector.update(state)
-        yield pd.DataFrame(output, columns=[part.split()[0] for part in OUTPUT.split(", ")]).astype(object)
-
-    def _rates(self, recent, now, air, heater):
-        cfg = self.cfg
-        near = sorted((r for r in recent if now - cfg.window_ms <= r[0] <= now), key=lambda r: r[0])
-        times = np.array([r[0] for r in near] + [now], dtype="int64")
-        breaks = np.flatnonzero(np.diff(times) > cfg.max_gap_ms)
-        first = breaks[-1] + 1 if len(breaks) else 0
-        return tuple(
-            _slope(times[first:], np.array([r[c] for r in near] + [value], dtype="float64")[first:], cfg.span_ms)
-            for c, value in ((1, air), (2, heater)))
-
-    def _advance(self, state, recent, now, air, heater, rate):
-        """New detector state and what is known of the session this reading belongs to."""
+        yield self._arrive(key[0], arrived, latch)
+        self.latch.update(astuple(latch))
+
+    def _arrive(self, device: str, part: pd.DataFrame, latch: Latch) -> pd.DataFrame:
         cfg = self.cfg
-        nothing = (None,) * 7
-        updated, candidate, count, started, hot, top_air, top_heater, top_rate, rows = state
-        if updated is not None and now <= updated:
-            return state, nothing
-        if started is not None:
-            peaks = (_highest(top_air, air), _highest(top_heater, heater), _highest(top_rate, rate), rows + 1)
-            if heater is not None and heater >= cfg.end_c:
-                hot = now
-            elif heater is not None and now - hot >= cfg.hold_ms:
-                return (now, *IDLE[1:]), (started, hot, hot, *peaks)
-            return (now, None, 0, started, hot, *peaks), (started, None, hot, *peaks)
-        if heater is None or heater < cfg.start_c:
-            return (now, *IDLE[1:]), nothing
-        follows = candidate is not None and now - updated <= cfg.max_gap_ms
-        candidate, count = (candidate, count + 1) if follows else (now, 1)
-        if count < cfg.start_samples:
-            return (now, candidate, count, *IDLE[3:]), nothing
-        inside = [r for r in recent if candidate <= r[0] <= now]
-        peaks = (*[_highest(*[r[c] for r in inside]) for c in (1, 2, 3)], len(inside))
-        return (now, None, 0, candidate, now, *peaks), (candidate, None, now, *peaks)
-
-
-def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str,
-                  lateness_ms: int = 3_600_000) -> DataFrame:
+        news = np.full((len(part), 4), np.nan)
+        news[:, TIME], news[:, AIR], news[:, HEATER] = part.observed_at_ms, part.air, part.heater
+        number = news[:, TIME] // cfg.window_ms
+        reach = -(-self.reach_ms // cfg.window_ms)
+        touched = sorted({int(n) - back for n in np.unique(number) for back in range(reach + 1)})
+        held = {n: self.blocks.getValue((n,))[0] for n in touched if self.blocks.containsKey((n,))}
+        stored = [np.frombuffer(held[n]).reshape(-1, 4) for n in touched if n in held]
+        line = Timeline(np.concatenate([np.zeros((0, 4)), *stored]), news)
+        output = []
+        for i, message in enumerate(part.message_key):
+            now = news[i, TIME]
+            sample = line.between(now - cfg.window_ms, now, i)
+            gaps = np.flatnonzero(np.diff(sample[:, TIME]) > cfg.max_gap_ms)
+            sample = sample[gaps[-1] + 1:] if len(gaps) else sample
+            minutes = (sample[:, TIME] - now) / MINUTE_MS
+            rates = [_slope(minutes, sample[:, c], cfg.span_ms / MINUTE_MS) for c in (AIR, HEATER)]
+            news[i, RATE] = line.rows[line.place[i], RATE] = rates[1]
+            session = latch.advance(cfg, news[i], lambda t, at=i, end=now: line.between(t, end, at))
+            output.append((device, message, int(now), *(None if np.isnan(r) else float(r) for r in rates), *session))
+        for n in np.unique(number):
+            self.blocks.updateValue((int(n),), (held.get(int(n), b"") + news[number == n].tobytes(),))
+        return pd.DataFrame(output, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype(object)
+
+
+def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str) -> DataFrame:
     """Rates and session state of each arriving reading.
 
-    A micro-batch's readings of one device are processed in arrival order by one task, so bound the
-    batch size (files or offsets per trigger) where a device can send very much at once.
+    A micro-batch's readings of one device are put in arrival order by one task, so bound the batch
+    size (files or offsets per trigger) where a device can send very much at once.
     """
     narrow = readings.select(
         "device_id", "message_key", "observed_at_ms", F.col("sauna_temp_c").alias("air"),
         F.col("stovepipe_temp_c").alias("heater"), F.col(arrival).alias("arrival"))
     return narrow.groupBy("device_id").transformWithStateInPandas(
-        DeviceProcessor(cfg, lateness_ms), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="None")
+        DeviceProcessor(cfg), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
 def sessions_of(device_rows: DataFrame) -> DataFrame:

@@ -1,17 +1,15 @@
 """Plain one-reading-at-a-time loops that the distributed operators are compared with."""
 
+import numpy as np
+
 
 def slope(points, min_span_ms):
-    """Least-squares slope per minute of (ms, value) pairs, None when the guards fail."""
-    points = [(t, v) for t, v in points if v is not None]
-    if len(points) < 3 or points[-1][0] - points[0][0] < min_span_ms:
+    """Least-squares slope per minute of (ms, value) pairs, None without three over the least span."""
+    points = np.array([p for p in points if p[1] is not None], dtype=float).reshape(-1, 2)
+    if len(points) < 3 or np.ptp(points[:, 0]) < min_span_ms or np.ptp(points[:, 0]) == 0:
         return None
-    xs = [(t - points[-1][0]) / 60_000 for t, _ in points]
-    mean_x = sum(xs) / len(xs)
-    mean_y = sum(v for _, v in points) / len(points)
-    below = sum((x - mean_x) ** 2 for x in xs)
-    above = sum((x - mean_x) * (v - mean_y) for x, (_, v) in zip(xs, points, strict=True))
-    return above / below if below > 0 else None
+    minutes = (points[:, 0] - points[0, 0]) / 60_000
+    return float(np.polyfit(minutes, points[:, 1], 1)[0])
 
 
 def rates(rows, cfg):
@@ -24,50 +22,45 @@ def rates(rows, cfg):
                 break
             sample.append(earlier)
         sample.reverse()
-        result.append((slope([(t, a) for t, a, _ in sample], cfg.span_ms),
-                       slope([(t, h) for t, _, h in sample], cfg.span_ms)))
+        result.append(tuple(slope([(r[0], r[c]) for r in sample], cfg.span_ms) for c in (1, 2)))
     return result
 
 
-def highest(*values):
-    present = [v for v in values if v is not None]
-    return max(present) if present else None
+def top(values):
+    return max((v for v in values if v is not None), default=None)
 
 
 def sessions(rows, cfg, heater_rates=None):
-    """Sessions of rows (ms, air, heater) in arrival order; late rows are stored but not looked at."""
+    """Sessions of rows (ms, air, heater) in arrival order; late rows are stored but not looked at.
+
+    First the rows that set or reset the detector are marked, from the rows alone; then a session
+    is whatever lies between a set row met while none is open and the next reset row.
+    """
     heater_rates = heater_rates or [None] * len(rows)
-    done, current = [], None
-    updated = candidate = None
-    count = 0
-    for at, (now, air, heater) in enumerate(rows):
-        if updated is not None and now <= updated:
+    marks, run, warm, newest = [], [], None, None
+    for at, (now, _, heater) in enumerate(rows):
+        if newest is not None and now <= newest:
+            continue
+        hot = heater is not None and heater >= cfg.start_c
+        run = (run if run and now - newest <= cfg.max_gap_ms else []) + [now] if hot else []
+        cold = heater is not None and heater < cfg.end_c
+        reset = cold and (warm is None or now - warm >= cfg.hold_ms)
+        warm = now if heater is not None and heater >= cfg.end_c else warm
+        marks.append((at, run[0] if len(run) == cfg.start_samples else None, reset, warm))
+        newest = now
+    found, members = [], None
+    for at, start, reset, warm in marks:
+        now = rows[at][0]
+        if members is None and start is not None:
+            members = [i for i in range(at + 1) if start <= rows[i][0] <= now]
+            found.append({"start": start, "end": None})
+        elif members is not None:
+            members.append(at)
+        if members is None:
             continue
-        if current:
-            current["rows"] += 1
-            current["air"] = highest(current["air"], air)
-            current["heater"] = highest(current["heater"], heater)
-            current["rate"] = highest(current["rate"], heater_rates[at])
-            if heater is not None and heater >= cfg.end_c:
-                current["hot"] = now
-            elif heater is not None and now - current["hot"] >= cfg.hold_ms:
-                current["end"] = current["hot"]
-                done.append(current)
-                current = None
-            candidate, count = None, 0
-        elif heater is None or heater < cfg.start_c:
-            candidate, count = None, 0
-        else:
-            if candidate is not None and now - updated <= cfg.max_gap_ms:
-                count += 1
-            else:
-                candidate, count = now, 1
-            if count >= cfg.start_samples:
-                inside = [i for i in range(at + 1) if candidate <= rows[i][0] <= now]
-                current = {"start": candidate, "end": None, "hot": now, "rows": len(inside),
-                           "air": highest(*[rows[i][1] for i in inside]),
-                           "heater": highest(*[rows[i][2] for i in inside]),
-                           "rate": highest(*[heater_rates[i] for i in inside])}
-                candidate, count = None, 0
-        updated = now
-    return done + ([current] if current else [])
+        air, heater = zip(*(rows[i][1:] for i in members))
+        found[-1] |= {"hot": warm, "rows": len(members), "air": top(air), "heater": top(heater),
+                      "rate": top(heater_rates[i] for i in members)}
+        if reset:
+            found[-1]["end"], members = warm, None
+    return found

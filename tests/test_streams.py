@@ -1,13 +1,16 @@
 import json
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import sequential
 from messages import uplink, with_payload
 
 from emberline import RuntimeConfig
 from emberline.session import shared_folder
 from emberline.sources.messages import json_message_stream
-from emberline.streaming.devices import OUTPUT, device_stream, sessions_of
+from emberline.streaming.devices import OUTPUT, DeviceProcessor, Latch, device_stream, sessions_of
 from emberline.streaming.ingest import ingest
 
 MINUTE = 60_000
@@ -36,6 +39,40 @@ def test_ingest_stores_each_message_once(spark, tmp_path):
     assert spark.read.parquet(quarantine).count() == 2
 
 
+def test_one_dense_device_is_fast_and_borders_do_not_matter():
+    cfg = RuntimeConfig()
+    rng = np.random.default_rng(2)
+    times = np.sort(rng.integers(0, 8_000 * 20_000, 8_000))
+    late = times[1_000] + 1
+    frame = pd.DataFrame({"observed_at_ms": [*times, late], "air": 20.0, "heater": rng.uniform(20, 90, 8_001),
+                          "message_key": [str(i) for i in range(8_001)], "arrival": range(8_001)})
+
+    class Held(dict):
+        def getValue(self, key):  # noqa: N802
+            return self[key]
+
+        def containsKey(self, key):  # noqa: N802
+            return key in self
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+
+    def run_in(parts):
+        device, latch = DeviceProcessor(cfg), Latch()
+        device.blocks = Held()
+        return pd.concat([device._arrive("d", part, latch) for part in parts], ignore_index=True)
+
+    begun = time.perf_counter()
+    whole = run_in([frame])
+    assert time.perf_counter() - begun < 10
+    cut = run_in([frame[:700], frame[700:5_000], frame[5_000:]])
+    rate = "stovepipe_rate_c_per_min"
+    assert np.allclose(whole[rate].astype(float), cut[rate].astype(float), rtol=0, atol=1e-9, equal_nan=True)
+    assert whole.iloc[-1].sauna_rate_c_per_min == 0 and pd.isna(whole.iloc[-1].started_at_ms)
+    assert whole.drop(columns=["sauna_rate_c_per_min", rate, "max_stovepipe_rate_c_per_min"]).equals(
+        cut.drop(columns=["sauna_rate_c_per_min", rate, "max_stovepipe_rate_c_per_min"]))
+
+
 def test_devices_match_a_sequential_loop_over_several_batches(spark, tmp_path):
     rng = random.Random(11)
     cfg = RuntimeConfig()
