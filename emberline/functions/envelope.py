@@ -14,9 +14,9 @@ from pyspark.sql import Column, functions as F
 _SPACE = r"[\s   -     　﻿]"
 _PADDING = f"^{_SPACE}+|{_SPACE}+$"
 _DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-_HEX = r"^0[xX][0-9a-fA-F]{1,15}$"
-_OCTAL = r"^0[oO][0-7]{1,20}$"
-_BINARY = r"^0[bB][01]{1,60}$"
+_HEX = r"^0[xX][0-9a-fA-F]+$"
+_OCTAL = r"^0[oO][0-7]+$"
+_BINARY = r"^0[bB][01]+$"
 
 # Fixed value: prefixes of the correlation ids that identify an uplink.
 UPLINK_ID_PREFIXES = ("gs:uplink:", "as:up:")
@@ -51,12 +51,27 @@ def numeric_text(raw: Column) -> Column:
     bare = F.regexp_replace(raw, _PADDING, "")
     return (
         F.when(bare.rlike(_DECIMAL), bare.try_cast("double"))
-        .when(bare.rlike(_HEX), F.conv(F.substring(bare, 3, 20), 16, 10).cast("double"))
-        .when(bare.rlike(_OCTAL), F.conv(F.substring(bare, 3, 24), 8, 10).cast("double"))
-        .when(bare.rlike(_BINARY), F.conv(F.substring(bare, 3, 64), 2, 10).cast("double"))
+        .when(bare.rlike(_HEX), _of_base(bare, 4))
+        .when(bare.rlike(_OCTAL), _of_base(bare, 3))
+        .when(bare.rlike(_BINARY), _of_base(bare, 1))
     )
 
 
+def _of_base(prefixed: Column, bits: int) -> Column:
+    """Nearest double of prefixed digits of ``bits`` bits each, however many there are.
+
+    The first 57 bits or more decide the value; whether anything follows them only matters where
+    they lie half-way between two doubles, so it is kept as their lowest bit.
+    """
+    digits = F.regexp_replace(F.substring(prefixed, 3, 1 << 30), "^0+", "")
+    kept = 60 // bits
+    rest = F.substring(digits, kept + 1, 1 << 30)
+    head = F.conv(F.substring(digits, 1, kept), 1 << bits, 10).cast("bigint")
+    sticky = head.bitwiseOR(F.when(rest.rlike("[1-9a-fA-F]"), 1).otherwise(0).cast("bigint"))
+    return F.when(digits == "", 0.0).otherwise(
+        sticky.cast("double") * F.pow(F.lit(2.0), F.length(rest) * bits))
+
+
 def finite(value: Column) -> Column:
     """A finite number from a JSON number or numeric string; booleans and the rest are null."""
     kind = F.schema_of_variant(value)

@@ -81,6 +81,7 @@ def monotone_latest(held: DataFrame, incoming: DataFrame, key: str = "device_id"
     rows = (held.withColumn("_side", F.lit(0))
             .unionByName(incoming.where("observed_at_ms IS NOT NULL").withColumn("_side", F.lit(1))))
     rest = [c for c in held.columns if c != key]
+    # Of incoming rows of one time the larger message key counts, so the order does not.
     newest = rows.groupBy(key).agg(F.max_by(
-        F.struct(*rest), F.struct("observed_at_ms", "_side")).alias("_r"))
+        F.struct(*rest), F.struct("observed_at_ms", "_side", "message_key")).alias("_r"))
     return newest.select(key, "_r.*").select(*held.columns)

@@ -36,12 +36,18 @@ def ingest(messages: DataFrame, cfg: RuntimeConfig, readings_path: str,
     return messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
-def downsample_stream(readings: DataFrame, bucket_ms: int, lateness: str = "1 hour") -> DataFrame:
-    """Tumbling epoch buckets of a readings stream; a bucket is final once the watermark passes it."""
-    timed = readings.withColumn("_at", F.timestamp_millis("observed_at_ms")).withWatermark("_at", lateness)
+def downsample_stream(readings: DataFrame, bucket_ms: int) -> DataFrame:
+    """Tumbling epoch buckets of a readings stream, in update mode.
+
+    There is no watermark, so a reading changes its bucket however late it is; the state is one row
+    of partial sums per bucket. Readings that carry rates also get their averages.
+    """
+    timed = readings.withColumn("_at", F.timestamp_millis("observed_at_ms"))
     aggregates = [
         function(f"{prefix}_temp_c").alias(f"{prefix}_{name}_c")
         for prefix in SERIES.values() for name, function in (("avg", F.avg), ("min", F.min), ("max", F.max))]
+    aggregates += [F.avg(rate).alias(f"{prefix}_rate_avg_c_per_min") for prefix in SERIES.values()
+                   if (rate := f"{prefix}_rate_c_per_min") in readings.columns]
     return (
         timed.groupBy(F.window("_at", f"{bucket_ms} milliseconds").alias("_w"))
         .agg(F.count("*").alias("readings"), *aggregates)
@@ -50,7 +56,10 @@ def downsample_stream(readings: DataFrame, bucket_ms: int, lateness: str = "1 ho
 
 
 def latest_stream(readings: DataFrame) -> DataFrame:
-    """The newest reading of each device so far: an older one that arrives later changes nothing."""
+    """The newest reading of each device so far: an older one that arrives later changes nothing.
+
+    Of readings of one time the one with the larger message key is the newest, in any order.
+    """
     rest = [c for c in readings.columns if c != "device_id"]
     return readings.where("observed_at_ms IS NOT NULL").groupBy("device_id").agg(
-        F.max_by(F.struct(*rest), "observed_at_ms").alias("_r")).select("device_id", "_r.*")
+        F.max_by(F.struct(*rest), F.struct("observed_at_ms", "message_key")).alias("_r")).select("device_id", "_r.*")

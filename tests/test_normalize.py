@@ -95,7 +95,11 @@ def test_strongest_reception(spark, receptions, expected):
 def test_finite_numbers(spark):
     cases = {
         "1": 1.0, "-2.5e1": -25.0, '"1.5"': 1.5, '" 7 "': 7.0, '"1e3"': 1000.0, '".5"': 0.5, '"5."': 5.0,
-        '"0x10"': 16.0, '"0b11"': 3.0, '"0o17"': 15.0, "true": None, '"true"': None, '""': None,
+        '"0x10"': 16.0, '"0x1234567890abcdef0"': float(0x1234567890ABCDEF0), '"0x00"': 0.0,
+        '"0x100000000000008000000000001"': float(0x100000000000008000000000001),
+        '"0x10000000000000800000000000000"': float(0x10000000000000800000000000000),
+        '"0b1111111111111111111111111111111111111111111111111111111111111111111111"': float(2**70 - 1), '"0o7777777777777777777777777"': float(8**25 - 1),
+        '"0xffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffffff"': None, '"0b11"': 3.0, '"0o17"': 15.0, "true": None, '"true"': None, '""': None,
         '"  "': None, "null": None, '"NaN"': None, '"Infinity"': None, '"1.5d"': None, '"1_0"': None,
         "[1]": None, '{"a": 1}': None, "1e999": None, "12345678901234567890": 1.2345678901234567e19,
     }
