@@ -52,6 +52,24 @@ def test_classes_equal_brute_force(documents):
     assert got == expected
 
 
+def test_close_pairs_among_texts_that_share_a_long_passage(spark):
+    # Two documents of a pair have similarity 0.82, all others 0.78: one crowded bucket per band.
+    rng = np.random.default_rng(3)
+
+    def fresh(n):
+        return [f"w{i}" for i in rng.integers(0, 10 ** 9, n)]
+
+    passage, rows = fresh(351), []
+    for pair in range(150):
+        common = passage + fresh(10)
+        rows += [(2 * pair + i, " ".join(common + fresh(39))) for i in range(2)]
+    # Rows without an id are compared too.
+    rows += [(None, rows[8][1] + " end")]
+    got = Counter((r.doc_id, r.class_id) for r in dart_minhash.near_classes(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == Counter((d, 8 if d is None else d - d % 2) for d, _ in rows)
+
+
 def test_one_document_of_a_class_stays_with_all_columns(documents, no_documents):
     rows = documents.collect()
     kept = dart_minhash.keep_one(documents)
