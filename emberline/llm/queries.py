@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, pii, pivot_topk, quotes, wrapper
+from emberline.llm import backoff_lm, best_fit, bpe_count, compression_langid, dart_minhash, decontaminate, importance, merkle, one_bit, pii, pivot_topk, quotes, wrapper
 from emberline.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -137,3 +137,100 @@ def op6_quotes(spark, sf_dir):
 
 
 ORACLES["op6_quotes"] = quotes.SQL
+
+
+@query
+def op11_importance(spark, sf_dir):
+    """A quarter of the documents of 20 words or more, drawn by their likeness to the benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_importance"] = r"""
+WITH steps AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c
+                                       FROM (SELECT unnest(range(256)) AS n))),
+d AS (SELECT row_number() OVER () AS r, 'd' AS side, doc_id, text FROM documents UNION ALL SELECT row_number() OVER (), 'b', NULL, text FROM benchmark),
+w AS (SELECT r, side, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM d),
+f AS (SELECT r, side, unnest(w) AS f FROM w UNION ALL
+      SELECT r, side, w[i] || ' ' || w[i + 1] FROM (SELECT r, side, w, unnest(range(1, len(w))) AS i FROM w)),
+per AS (SELECT r, side, f, count(*) AS n FROM f GROUP BY ALL),
+crc AS (SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 AS k FROM (SELECT DISTINCT f FROM f), steps),
+n AS (SELECT k, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM per JOIN crc USING (f) GROUP BY k),
+g AS (SELECT k, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM n) + 10000 AS DOUBLE)
+        / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM n) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
+m AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight
+      FROM per JOIN crc USING (f) JOIN g USING (k) WHERE side = 'd' GROUP BY r),
+x AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+        (CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+      FROM w LEFT JOIN m USING (r) WHERE side = 'd')
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * n_all // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+             count(*) FILTER (n_words >= 20) OVER () AS n_all FROM x)
+"""
+
+
+@query
+def op12_one_bit(spark, sf_dir):
+    """The ten nearest vectors found for every hundredth vector."""
+    return one_bit.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_one_bit"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+           FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+             AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query
+def op13_merkle(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and what a tampered leaf folds to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def _field(text: str) -> str:
+    return f"coalesce(octet_length(encode({text})) || ':' || {text}, '-')"
+
+
+_LEAF = " || ".join(_field(c if c in ("source", "lang") else f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
+
+ORACLES["op13_merkle"] = f"""
+WITH RECURSIVE
+steps AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c
+                                       FROM (SELECT unnest(range(256)) AS n))),
+d AS (SELECT doc_id, source, sha256({_LEAF} || {_field('text')}) AS leaf, sha256({_LEAF} || {_field("replace(text, chr(10), '')")}) AS torn,
+             doc_id IS NOT NULL AND xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                                        lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 2 = 0 AS hit
+      FROM documents, steps),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+                  dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM d),
+tree AS (SELECT s, 0 AS level, i, n, leaf AS node FROM leaves UNION ALL
+         SELECT s, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY s, level, i // 3, n),
+subroots AS (SELECT s, node, level AS height FROM tree WHERE n = 1),
+top AS (SELECT 0 AS level, s AS i, count(*) OVER () AS n, node FROM subroots UNION ALL
+        SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(node, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 3, n),
+up AS (SELECT s, i AS leaf_i, level, tree.i AS i, n FROM tree WHERE level = 0 UNION ALL
+       SELECT s, leaf_i, level + 1, i // 3, (n + 2) // 3 FROM up WHERE n > 1),
+run AS (SELECT up.s, leaf_i, up.level, coalesce(string_agg(node, '' ORDER BY tree.i) FILTER (tree.i < up.i), '') AS b,
+               coalesce(string_agg(node, '' ORDER BY tree.i) FILTER (tree.i > up.i), '') AS a
+        FROM up JOIN tree ON tree.s = up.s AND tree.level = up.level AND tree.i // 3 = up.i // 3 WHERE up.n > 1 GROUP BY ALL),
+top_up AS (SELECT i AS s, level, i, n FROM top WHERE level = 0 UNION ALL SELECT s, level + 1, i // 3, (n + 2) // 3 FROM top_up WHERE n > 1),
+top_run AS (SELECT u.s, u.level, coalesce(string_agg(node, '' ORDER BY top.i) FILTER (top.i < u.i), '') AS b,
+                   coalesce(string_agg(node, '' ORDER BY top.i) FILTER (top.i > u.i), '') AS a
+            FROM top_up u JOIN top ON top.level = u.level AND top.i // 3 = u.i // 3 WHERE u.n > 1 GROUP BY u.s, u.level, u.i),
+paths AS (SELECT s, leaf_i, list(b || ',' || a ORDER BY level) AS p FROM run GROUP BY ALL),
+top_paths AS (SELECT s, list(b || ',' || a ORDER BY level) AS p FROM top_run GROUP BY ALL),
+done AS (SELECT leaves.*, subroots.node AS subroot, (SELECT node FROM top WHERE n = 1) AS root,
+                list_concat(coalesce(paths.p, []), coalesce(top_paths.p, [])) AS p
+         FROM leaves JOIN subroots USING (s) LEFT JOIN paths ON paths.s = leaves.s AND leaf_i = leaves.i LEFT JOIN top_paths ON top_paths.s = leaves.s),
+folded AS (SELECT *, list_reduce(p, lambda x, y: sha256(split_part(y, ',', 1) || x || split_part(y, ',', 2)), CASE WHEN hit THEN torn ELSE leaf END) AS f FROM done)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(p, ''), ',', '')) AS proof_sha256, f AS folded_root, f = root AS verified FROM folded
+"""
