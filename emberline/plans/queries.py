@@ -17,13 +17,16 @@ from emberline.session import prepare, shared_folder
 from emberline.sources import messages as M, pages
 from emberline.sources.sinks import insert_if_absent
 from emberline.streaming.devices import device_stream, sessions_of
-from emberline.streaming.ingest import downsample_stream, ingest, latest_stream
+from emberline.streaming import ingest as streams
+from emberline.streaming.ingest import downsample_stream, latest_stream
 
 CFG, AS_OF, ARRIVAL = T.CADENCE, T.AS_OF_MS, T.ARRIVAL
 # History buckets follow a five-minute interval, gaps and rates the table's own cadence.
 HISTORY = CFG.with_changes(expected_interval_s=300)
 ALTERNATIVE = CFG.with_changes(start_c=60, end_c=40, end_hold_min=24 * 60, start_samples=3)
 TARGET_F = 180.0
+# Streams take in so many files per micro-batch, and deal keys and loose rows into so many groups.
+FILES, LANES = 2, 64
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -523,9 +526,11 @@ def source_file_summary(spark, sf_dir):
 # Streams --------------------------------------------------------------------------------------
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The telemetry table as a stream of files."""
-    schema = T.events(spark, sf_dir).schema
-    return T.as_readings(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
+    """The telemetry table as a stream of files that arrive one after the other, a file per micro-batch."""
+    folder = shared_folder(spark, "arriving")
+    T.send_readings(spark, sf_dir, folder)
+    schema = T.readings(spark, sf_dir).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
@@ -549,14 +554,49 @@ def _last_update(updates: DataFrame, key: str) -> DataFrame:
 
 @query
 def stream_ingest(spark, sf_dir):
-    """Messages written as files, twice, then ingested as a stream: each reading is stored once."""
+    """Messages that arrive twice, over several micro-batches: each reading is stored once, as it first came."""
     source, stored = shared_folder(spark, "messages"), shared_folder(spark, "stored")
-    texts = T.messages(spark, sf_dir).select("value")
-    texts.unionByName(texts).write.text(source)
-    (ingest(M.json_message_stream(spark, source), CFG, stored, shared_folder(spark, "quarantine"),
-            shared_folder(spark, "offsets")).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(stored).select(
-        "message_key", "observed_at_ms", "device_id", "frame_counter", "sauna_temp_c", "stovepipe_temp_c")
+    T.send_messages(spark, sf_dir, source)
+    (streams.ingest(M.json_message_stream(spark, source, FILES), CFG, stored, shared_folder(spark, "offsets"), LANES)
+     .trigger(availableNow=True).start().awaitTermination())
+    return streams.stored_rows(spark, stored).select(
+        "message_key", "observed_at_ms", "device_id", "frame_counter", "f_port", "sauna_temp_c", "stovepipe_temp_c")
+
+
+def _pipeline(spark: SparkSession, sf_dir: str, late: bool) -> tuple[str, str]:
+    """Run the whole pipeline over arriving messages; where it stored rows and late readings' rates."""
+    source, stored, late_path = (shared_folder(spark, name) for name in ("messages", "stored", "late"))
+    T.send_messages(spark, sf_dir, source, late)
+    (streams.pipeline(M.json_message_stream(spark, source, FILES), CFG, stored, late_path, shared_folder(spark, "offsets"), LANES)
+     .trigger(availableNow=True).start().awaitTermination())
+    return stored, late_path
+
+
+def _rated(rows: DataFrame) -> DataFrame:
+    return rows.select("message_key", "device_id", "observed_at_ms", "f_port", *[
+        six(c).alias(c) for c in ("sauna_rate_c_per_min", "stovepipe_rate_c_per_min")])
+
+
+@query
+def stream_pipeline(spark, sf_dir):
+    """Each message twice, from text to rates on insert; the repeat derives nothing."""
+    stored, late_path = _pipeline(spark, sf_dir, late=False)
+    return _rated(streams.derived_rows(spark, stored, late_path))
+
+
+@query
+def stream_pipeline_sessions(spark, sf_dir):
+    """The sessions that the same run leaves."""
+    stored, late_path = _pipeline(spark, sf_dir, late=False)
+    return sessions_of(streams.derived_rows(spark, stored, late_path)).select(
+        "device_id", "started_at_ms", "ended_at_ms", "last_hot_at_ms", "peak_sauna_c", "peak_stovepipe_c", "sample_count", "complete")
+
+
+@query
+def stream_late(spark, sf_dir):
+    """Every tenth message comes after all others: rated by what is there, earlier ones are not revised."""
+    stored, late_path = _pipeline(spark, sf_dir, late=True)
+    return _rated(streams.derived_rows(spark, stored, late_path))
 
 
 @query

@@ -40,12 +40,12 @@ def for_all_cores(df: DataFrame) -> DataFrame:
     return df.repartition("event_id")
 
 
-def as_readings(df: DataFrame) -> DataFrame:
+def as_readings(df: DataFrame, *keep: str) -> DataFrame:
     """Each event as a reading: ``value`` heats, the air probe is missing on errors."""
     key = F.get_json_object("props", "$.k").cast("bigint")
     time = F.unix_millis(F.col("ts").cast("timestamp"))
     return df.select(
-        "event_id",
+        "event_id", *keep,
         F.concat(F.lit("ev:"), F.col("event_id").cast("string")).alias("message_key"),
         time.alias("observed_at_ms"),
         iso_utc(time).alias("received_at"),
@@ -100,10 +100,10 @@ def _message(payload: Column, correlation: Column, received_at: Column | None =
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Every event as a JSON message, in all the shapes a message may come in.
 
-    ``value`` holds the text.  Some messages carry no temperature, a bad time, no device or numbers
+    ``value`` holds the text; ``keep`` names columns of the table to be kept.  Some messages carry no temperature, a bad time, no device or numbers
     spelled as strings; every 101st is cut short and is not JSON.
     """
     df = for_all_cores(events(spark, sf_dir))
@@ -141,10 +141,47 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("[7,"), bare, F.lit("]")))
     )
     shaped = df.withColumn("_shaped", shaped)
-    return shaped.select("event_id", F.when(n % 101 == 0, F.left("_shaped", F.lit(20)))
+    return shaped.select("event_id", *keep, F.when(n % 101 == 0, F.left("_shaped", F.lit(20)))
                          .otherwise(F.col("_shaped")).alias("value"))
 
 
+# Arriving files: the table is sent in these parts, one after the other.
+PARTS_MS = tuple(AS_OF_MS - days * 86_400_000 for days in (21, 14, 7))
+
+
+def _part(time: Column) -> Column:
+    """Which part of the table a time is in."""
+    passed = [F.when(time >= F.lit(at), 1).otherwise(0) for at in PARTS_MS]
+    return passed[0] + passed[1] + passed[2]
+
+
+def _send(df: DataFrame, folder: str, writer: str) -> None:
+    """Append rows as files, each device's in one file and in time order."""
+    ordered = df.repartition("user_id").sortWithinPartitions("user_id", "ts").drop("user_id", "ts", "part")
+    getattr(ordered.write.mode("append"), writer)(folder)
+
+
+def send_readings(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The readings as files that arrive part by part."""
+    rows = as_readings(events(spark, sf_dir), "user_id", "ts").withColumn("part", _part(F.col("observed_at_ms")))
+    for part in range(len(PARTS_MS) + 1):
+        _send(rows.where(F.col("part") == part), folder, "parquet")
+
+
+def send_messages(spark: SparkSession, sf_dir: str, folder: str, late: bool = False) -> None:
+    """Messages as files that arrive part by part.
+
+    Each message comes again, from another port, with the next part.  With ``late``, every tenth is
+    held back and arrives after all others.
+    """
+    texts = messages(spark, sf_dir, "user_id", "ts").withColumn("part", _part(F.unix_millis(F.col("ts").cast("timestamp"))))
+    held = (F.col("event_id") % 10 == 3) if late else F.lit(False)
+    texts = texts.withColumn("part", F.when(held, len(PARTS_MS) + 2).otherwise(F.col("part"))).drop("event_id")
+    again = texts.withColumns({"part": F.col("part") + 1, "value": F.replace("value", F.lit('"f_port":2'), F.lit('"f_port":3'))})
+    for part in range(len(PARTS_MS) + (4 if late else 2)):
+        _send(texts.unionByName(again).where(F.col("part") == part), folder, "text")
+
+
 PAGE_LINES = 2_000
 
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings that change results, not speed.
+# Runtime settings that results, or the streams' exact state at scale, depend on.
 REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # JSON objects may repeat a key; the last one counts, as in JSON.parse.
@@ -15,6 +15,8 @@ REQUIRED_SETTINGS = {
     # Keyed state with more than one variable needs this store.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # A micro-batch uploads what it changed of the state, not the whole store.
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

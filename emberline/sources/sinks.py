@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from emberline.operators.dedupe import dedupe_first, new_rows_only
+from emberline.session import cut_lineage
 
 EVENT_DATE = "event_date"
 
@@ -18,16 +19,26 @@ def stored_readings(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if path_exists(spark, path) else None
 
 
+def already_stored(fresh: DataFrame, stored: DataFrame, key: str = "message_key") -> DataFrame:
+    """The keys of ``fresh`` that are stored.
+
+    The stored table streams past the batch's keys: as long as these fit a broadcast (``fresh`` is a
+    written table, so its size is known), nothing stored is shuffled, and only its key column is
+    read. A larger batch, a bulk load, is joined by a shuffle of that one column.
+    """
+    return stored.select(key).join(fresh.select(key), key, "left_semi")
+
+
 def insert_if_absent(batch: DataFrame, path: str, order: tuple[str, ...]) -> int:
     """Append readings whose key is not stored yet, the first of each key; returns how many.
 
-    Stored by event date and sorted by device and time within files, so time ranges prune folders
-    and row groups.
+    For batches; a stream keeps its keys in state (``streaming.keys``). Stored by event date and
+    sorted by device and time within files, so time ranges prune folders and row groups.
     """
-    fresh = dedupe_first(batch, "message_key", order)
+    fresh = cut_lineage(dedupe_first(batch, "message_key", order))
     stored = stored_readings(batch.sparkSession, path)
     if stored is not None:
-        fresh = new_rows_only(fresh, stored)
+        fresh = new_rows_only(fresh, already_stored(fresh, stored))
     counted = Observation()
     (
         fresh.observe(counted, F.count(F.lit(1)).alias("stored"))

@@ -1,34 +1,43 @@
 """Rates and sessions of a readings stream, as the readings arrive.
 
 Each reading gets its rates from all readings of its window that have arrived by then, however late
-it or they are: a device's readings stay in keyed state by blocks of one window length, and a
-reading touches only the blocks that its window and a run of start samples reach.  Where batches
-begin and end makes no difference.  The detector is the set/reset latch of the batch form; it
-ignores readings that are not newer than all before.  The batch operators recompute everything in
-event-time order.
+it or they are, and earlier ones are never revised. The detector is the set/reset latch of the batch
+form; it ignores readings that are not newer than all before. Where batches begin and end makes no
+difference. The batch operators recompute everything in event-time order.
+
+The state of a device is bounded: its latch, and its readings in blocks of one window length, as far
+back as the window and the run of start samples of its newest reading can reach. Older blocks are
+dropped, their readings are in the stored table. A reading that comes so late that it would need a
+dropped block is passed on without rates, marked ``late``; ``late_rates`` makes them from the stored
+readings, in one job for all late readings of a micro-batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.config import MINUTE_MS, RuntimeConfig
+from emberline.operators.slices import number_of
 
 # A block's readings in order of arrival: rows of time, air, heater and heater rate as doubles.
 BLOCK = "rows binary"
 LATCH = ("seen bigint, run_start bigint, run_length int, warm bigint, opened bigint, hot bigint, air double, "
-         "heater double, rate double, rows bigint")
-OUTPUT = ("device_id string, message_key string, observed_at_ms bigint, sauna_rate_c_per_min double, "
-          "stovepipe_rate_c_per_min double, started_at_ms bigint, ended_at_ms bigint, "
-          "last_hot_at_ms bigint, peak_sauna_c double, peak_stovepipe_c double, "
-          "max_stovepipe_rate_c_per_min double, sample_count bigint")
+         "heater double, rate double, rows bigint, lowest bigint")
+SESSION = ("started_at_ms bigint, ended_at_ms bigint, last_hot_at_ms bigint, peak_sauna_c double, "
+           "peak_stovepipe_c double, max_stovepipe_rate_c_per_min double, sample_count bigint")
+OUTPUT = ("device_id string, message_key string, arrival string, payload string, observed_at_ms bigint, late boolean, "
+          f"sauna_rate_c_per_min double, stovepipe_rate_c_per_min double, {SESSION}")
+NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 TIME, AIR, HEATER, RATE = range(4)
+# So many window rows are looked at in one step of the vectorised rates.
+AT_ONCE = 1 << 20
 
 
 @dataclass
@@ -44,12 +53,12 @@ class Latch:
     heater: float | None = None
     rate: float | None = None
     rows: int = 0
+    lowest: int | None = None  # the oldest block that is kept
 
-    def advance(self, cfg: RuntimeConfig, reading: np.ndarray, since) -> tuple:
+    def advance(self, cfg: RuntimeConfig, now: int, heater: float, reading: np.ndarray, since) -> tuple | None:
         """Take one reading; ``since(t)`` are the readings from ``t`` to now.  Returns its session."""
-        now, heater = int(reading[TIME]), reading[HEATER]
         if self.seen is not None and now <= self.seen:
-            return (None,) * 7
+            return None
         joined = self.run_length > 0 and now - self.seen <= cfg.max_gap_ms
         self.seen = now
         if heater >= cfg.start_c:
@@ -62,7 +71,7 @@ class Latch:
             self.warm = now
         if self.opened is None:
             if not sets:
-                return (None,) * 7
+                return None
             self.opened, self.rows = self.run_start, 0
             self.air = self.heater = self.rate = None
             news = since(self.run_start)
@@ -83,101 +92,186 @@ def _peak(old: float | None, values: np.ndarray) -> float | None:
     return None if np.isnan(top) else float(top)
 
 
-def _slope(minutes: np.ndarray, values: np.ndarray, span: float) -> float:
-    """Least-squares slope by centred moments, NaN without three samples over the least span."""
-    known = np.isfinite(values)
-    x, y = minutes[known], values[known]
-    if len(x) < 3 or x[-1] - x[0] < span:
-        return np.nan
-    centred = x - x.mean()
-    spread = centred @ centred
-    return centred @ (y - y.mean()) / spread if spread > 0 else np.nan
-
-
 class Timeline:
     """Readings of some blocks and of a batch, by time; those of the batch arrive one by one."""
 
     def __init__(self, stored: np.ndarray, arriving: np.ndarray):
         every = np.concatenate([stored, arriving])
         # Stored readings came first, in their stored order.
-        self.order = np.argsort(every[:, TIME], kind="stable")
-        self.rows = every[self.order]
+        order = np.argsort(every[:, TIME], kind="stable")
+        self.rows = every[order]
         self.time = self.rows[:, TIME]
-        self.came = self.order - len(stored)  # negative: already there
-        self.place = np.empty(len(every), np.int64)
-        self.place[self.order] = np.arange(len(every))
-        self.place = self.place[len(stored):]
-        # As long as the batch is in time order behind all stored readings, nobody is still to come.
-        self.plain = bool((np.diff(self.came) >= 0).all())
-
-    def between(self, low: float, high: float, now: int) -> np.ndarray:
-        """Readings of a time range that had arrived with the batch's reading ``now``."""
-        begin, end = np.searchsorted(self.time, low, "left"), np.searchsorted(self.time, high, "right")
-        if self.plain:
-            return self.rows[begin:min(end, self.place[now] + 1)]
+        self.came = order - len(stored)  # negative: already there
+        place = np.empty(len(every), np.int64)
+        place[order] = np.arange(len(every))
+        self.place = place[len(stored):]
+
+    def since(self, low: float, now: int) -> np.ndarray:
+        """Readings from ``low`` up to the batch's reading ``now``, of those that had arrived with it."""
+        begin = np.searchsorted(self.time, low, "left")
+        end = np.searchsorted(self.time, self.time[self.place[now]], "right")
         return self.rows[begin:end][self.came[begin:end] <= now]
 
+    def rates(self, cfg: RuntimeConfig) -> np.ndarray:
+        """Both rates of every reading of the batch, NaN where there is none."""
+        out = np.full((len(self.place), 2), np.nan)
+        now = self.time[self.place]
+        begin = np.searchsorted(self.time, now - cfg.window_ms, "left")
+        size = np.searchsorted(self.time, now, "right") - begin
+        ends = np.cumsum(size)
+        at = 0
+        while at < len(out):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + AT_ONCE, "right")))
+            out[at:upto] = self._rates(cfg, np.arange(at, upto), begin[at:upto], size[at:upto])
+            at = upto
+        return out
+
+    def _rates(self, cfg: RuntimeConfig, which: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The windows of some readings side by side: first what had arrived, then the stretch after the last gap."""
+        of = np.repeat(np.arange(len(which)), size)
+        row = np.arange(len(of)) + np.repeat(begin - np.cumsum(size) + size, size)
+        there = self.came[row] <= which[of]
+        of, row = of[there], row[there]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        time = self.time[row]
+        gap = np.r_[False, (np.diff(time) > cfg.max_gap_ms) & (of[1:] == of[:-1])]
+        last_gap = np.maximum.reduceat(np.where(gap, np.arange(len(of)), first[of]), first)
+        there = np.arange(len(of)) >= last_gap[of]
+        of, row, time = of[there], row[there], time[there]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        minutes = (time - self.time[self.place[which]][of]) / MINUTE_MS
+        out = np.empty((len(which), 2))
+        for side, column in enumerate((AIR, HEATER)):
+            value = self.rows[row, column]
+            known = np.isfinite(value)
+            n = np.add.reduceat(known.astype(float), first)
+
+            def mean(x: np.ndarray, known=known, n=n) -> np.ndarray:
+                return np.add.reduceat(np.where(known, x, 0.0), first) / np.maximum(n, 1)
+
+            x = np.where(known, minutes - mean(minutes)[of], 0.0)
+            y = np.where(known, value - mean(value)[of], 0.0)
+            span = (np.maximum.reduceat(np.where(known, minutes, -np.inf), first)
+                    - np.minimum.reduceat(np.where(known, minutes, np.inf), first))
+            spread = np.add.reduceat(x * x, first)
+            sound = (n >= 3) & (span >= cfg.span_ms / MINUTE_MS) & (spread > 0)
+            out[:, side] = np.where(sound, np.add.reduceat(x * y, first) / np.where(sound, spread, 1.0), np.nan)
+        return out
+
 
 class DeviceProcessor(StatefulProcessor):
-    """State per device: its readings in blocks of one window, and the latch."""
+    """State per device: its newest readings in blocks of one window, and the latch."""
 
     def __init__(self, cfg: RuntimeConfig) -> None:
         self.cfg = cfg
-        self.reach_ms = max(cfg.window_ms, cfg.start_samples * cfg.max_gap_ms)
+        reach_ms = max(cfg.window_ms, cfg.start_samples * cfg.max_gap_ms)
+        # With the block before the earliest one in reach, so that its readings have their windows.
+        self.blocks_back = -(-reach_ms // cfg.window_ms) + 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.blocks = handle.getMapState("blocks", "number bigint", BLOCK)
         self.latch = handle.getValueState("latch", LATCH)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        latch = Latch(*self.latch.get()) if self.latch.exists() else Latch()
+        parts = []
+        for part in rows:
+            other = part["message_key"].isna()  # no reading: passed on as it is
+            if other.any():
+                none = part[other].assign(late=False).reindex(columns=NAMES).astype(object)
+                yield none.where(none.notna(), None)
+            parts.append(part[~other])
         # Arrival order is that of the whole micro-batch, whose size the trigger bounds.
-        arrived = pd.concat(list(rows)).sort_values("arrival", kind="stable")
-        yield self._arrive(key[0], arrived, latch)
-        self.latch.update(astuple(latch))
+        arrived = pd.concat(parts).sort_values("arrival", kind="stable")
+        if len(arrived):
+            latch = Latch(*self.latch.get()) if self.latch.exists() else Latch()
+            yield self.arrive(key[0], arrived, latch)
+            self.latch.update(astuple(latch))
 
-    def _arrive(self, device: str, part: pd.DataFrame, latch: Latch) -> pd.DataFrame:
+    def arrive(self, device: str, part: pd.DataFrame, latch: Latch) -> pd.DataFrame:
+        """Take a device's readings of a micro-batch, in order of arrival."""
         cfg = self.cfg
         news = np.full((len(part), 4), np.nan)
-        news[:, TIME], news[:, AIR], news[:, HEATER] = part.observed_at_ms, part.air, part.heater
-        number = news[:, TIME] // cfg.window_ms
-        reach = -(-self.reach_ms // cfg.window_ms)
-        touched = sorted({int(n) - back for n in np.unique(number) for back in range(reach + 1)})
-        held = {n: self.blocks.getValue((n,))[0] for n in touched if self.blocks.containsKey((n,))}
-        stored = [np.frombuffer(held[n]).reshape(-1, 4) for n in touched if n in held]
-        line = Timeline(np.concatenate([np.zeros((0, 4)), *stored]), news)
-        output = []
-        for i, message in enumerate(part.message_key):
-            now = news[i, TIME]
-            sample = line.between(now - cfg.window_ms, now, i)
-            gaps = np.flatnonzero(np.diff(sample[:, TIME]) > cfg.max_gap_ms)
-            sample = sample[gaps[-1] + 1:] if len(gaps) else sample
-            minutes = (sample[:, TIME] - now) / MINUTE_MS
-            rates = [_slope(minutes, sample[:, c], cfg.span_ms / MINUTE_MS) for c in (AIR, HEATER)]
-            news[i, RATE] = line.rows[line.place[i], RATE] = rates[1]
-            session = latch.advance(cfg, news[i], lambda t, at=i, end=now: line.between(t, end, at))
-            output.append((device, message, int(now), *(None if np.isnan(r) else float(r) for r in rates), *session))
-        for n in np.unique(number):
-            self.blocks.updateValue((int(n),), (held.get(int(n), b"") + news[number == n].tobytes(),))
-        return pd.DataFrame(output, columns=[c.split()[0] for c in OUTPUT.split(", ")]).astype(object)
-
-
-def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str) -> DataFrame:
+        news[:, TIME], news[:, AIR], news[:, HEATER] = part["observed_at_ms"], part["air"], part["heater"]
+        number = (news[:, TIME] // cfg.window_ms).astype(np.int64)
+        late = np.zeros(len(part), bool) if latch.lowest is None else number - 1 < latch.lowest
+        held = {} if latch.lowest is None else {
+            n: self.blocks.getValue((n,))[0] for n in range(latch.lowest, latch.lowest + self.blocks_back + 1) if self.blocks.containsKey((n,))}
+        line = Timeline(np.concatenate([np.zeros((0, 4)), *(np.frombuffer(rows).reshape(-1, 4) for rows in held.values())]), news)
+        rates = line.rates(cfg)
+        rates[late] = np.nan
+        news[:, RATE] = line.rows[line.place, RATE] = rates[:, 1]
+        sessions = [latch.advance(cfg, now, heater, news[i], lambda t, at=i: line.since(t, at)) for i, (now, heater) in enumerate(
+            zip(news[:, TIME].astype(np.int64).tolist(), news[:, HEATER].tolist(), strict=True))]
+        newest = max(int(number.max()), -(1 << 62) if latch.lowest is None else latch.lowest + self.blocks_back)
+        latch.lowest = newest - self.blocks_back
+        for n in np.unique(number[number >= latch.lowest]).tolist():
+            self.blocks.updateValue((n,), (held.get(n, b"") + news[number == n].tobytes(),))
+        for n in held:
+            if n < latch.lowest:
+                self.blocks.removeKey((n,))
+        columns = {name: part[name].to_numpy() for name in ("message_key", "arrival", "payload")}
+        columns |= {"device_id": device, "observed_at_ms": news[:, TIME].astype(np.int64), "late": late}
+        columns |= {name: [None if np.isnan(r) else r for r in rates[:, i].tolist()] for i, name in enumerate(
+            ("sauna_rate_c_per_min", "stovepipe_rate_c_per_min"))}
+        none = (None,) * 7
+        columns |= dict(zip(NAMES[8:], zip(*(s or none for s in sessions), strict=True), strict=True))
+        return pd.DataFrame(columns, columns=NAMES, dtype=object)
+
+
+def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str = "arrival") -> DataFrame:
     """Rates and session state of each arriving reading.
 
-    A micro-batch's readings of one device are put in arrival order by one task, so bound the batch
-    size (files or offsets per trigger) where a device can send very much at once.
+    ``arrival`` sorts the readings of a micro-batch (whole numbers are made texts that sort alike). A
+    ``payload`` text is passed on; rows without ``message_key`` are passed on as they are. A
+    micro-batch's readings of one device are put in arrival order by one task, so the batch size
+    (files or offsets per trigger) bounds what a device that sends very much puts into a task.
     """
+    order = F.col(arrival)
+    if dict(readings.dtypes)[arrival] != "string":
+        order = F.lpad((order.cast("decimal(20,0)") + F.lit(Decimal(2 ** 63))).cast("string"), 20, "0")
+    payload = F.col("payload") if "payload" in readings.columns else F.lit(None).cast("string")
     narrow = readings.select(
-        "device_id", "message_key", "observed_at_ms", F.col("sauna_temp_c").alias("air"),
-        F.col("stovepipe_temp_c").alias("heater"), F.col(arrival).alias("arrival"))
+        "device_id", "message_key", F.col("observed_at_ms").cast("double"), F.col("sauna_temp_c").alias("air"),
+        F.col("stovepipe_temp_c").alias("heater"), order.alias("arrival"), payload.alias("payload"))
     return narrow.groupBy("device_id").transformWithStateInPandas(
         DeviceProcessor(cfg), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
+def late_rates(late: DataFrame, stored: DataFrame, cfg: RuntimeConfig) -> DataFrame:
+    """``late`` readings with their rates, from the stored readings that arrived before them or with them.
+
+    Both have device_id, observed_at_ms, batch and arrival (stored ones also the two temperatures); a
+    late reading meets the stored ones of its window through the numbers of its two blocks.
+    """
+    channels = {"sauna_temp_c": "sauna_rate_c_per_min", "stovepipe_temp_c": "stovepipe_rate_c_per_min"}
+    width = cfg.window_ms
+    known = stored.select("device_id", F.col("observed_at_ms").alias("t"), number_of(F.col("observed_at_ms"), width).alias("_block"),
+                          F.struct("batch", "arrival").alias("came"), *channels)
+    home = number_of(F.col("observed_at_ms"), width)
+    asked = late.select("message_key", "device_id", F.col("observed_at_ms").alias("now"), F.struct("batch", "arrival").alias("_upto"),
+                        F.explode(F.array(home - 1, home)).alias("_block"))
+    there = asked.join(known, ["device_id", "_block"]).where(
+        (F.col("t") >= F.col("now") - width) & (F.col("t") <= F.col("now")) & (F.col("came") <= F.col("_upto")))
+    line = Window.partitionBy("message_key").orderBy("t", "came")
+    gap = F.coalesce(F.col("t") - F.lag("t").over(line) > cfg.max_gap_ms, F.lit(False)).cast("int")
+    after = F.coalesce(F.sum("_gap").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    whole = there.withColumn("_gap", gap).withColumn("_after", after).where("_after = 0")
+
+    def slope(value: str):
+        known = F.col(value).isNotNull() & ~F.isnan(value)
+        y = F.when(known, F.col(value))
+        x = F.when(known, (F.col("t") - F.col("now")) / F.lit(float(MINUTE_MS)))
+        time = F.when(known, F.col("t"))
+        enough = (F.count(y) >= 3) & (F.max(time) - F.min(time) >= cfg.span_ms)
+        return F.when(enough, F.regr_slope(y, x))
+
+    rates = whole.groupBy("message_key").agg(*[slope(v).alias(rate) for v, rate in channels.items()])
+    return late.drop(*channels.values()).join(rates, "message_key", "left").select(*late.columns)
+
+
 def sessions_of(device_rows: DataFrame) -> DataFrame:
     """The sessions table from stored stream output: the furthest state of each session."""
-    fields = [part.split()[0] for part in OUTPUT.split(", ")][6:]
+    fields = NAMES[9:]
     return (
         device_rows.where("started_at_ms IS NOT NULL").groupBy("device_id", "started_at_ms")
         .agg(F.max_by(F.struct(*fields), "sample_count").alias("_s"))

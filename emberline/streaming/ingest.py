@@ -2,38 +2,118 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from emberline.config import RuntimeConfig
 from emberline.operators.history import SERIES
-from emberline.operators.normalize import expect_source, normalize_uplinks, quarantined, readings_of
-from emberline.sources.messages import parsable, unparsable
-from emberline.sources.sinks import insert_if_absent
+from emberline.operators.normalize import expect_source, normalize_uplinks
+from emberline.schema import NORMALIZED
+from emberline.sources.sinks import EVENT_DATE, path_exists
+from emberline.streaming.devices import NAMES, device_stream, late_rates
+from emberline.streaming.keys import BUCKETS, first_of_key
 
+READING, QUARANTINE = "reading", "quarantine"
+PROBLEM = "value string, reason string"
 
-def ingest(messages: DataFrame, cfg: RuntimeConfig, readings_path: str,
-           quarantine_path: str, checkpoint: str) -> DataStreamWriter:
+
+def _judged(messages: DataFrame, cfg: RuntimeConfig) -> DataFrame:
+    """Texts only, for the stateful steps: message_key, arrival and payload.
+
+    The payload is the reading as JSON or, without a key, the message and why it gave no reading.
+    """
+    parsed = expect_source(normalize_uplinks(messages, cfg), cfg)
+    problem = F.struct("value", F.coalesce("problem", "reason").alias("reason"))
+    return parsed.select(
+        F.col("reading.message_key").alias("message_key"), "arrival",
+        F.when(F.col("outcome") == "reading", F.to_json("reading")).otherwise(F.to_json(problem)).alias("payload"))
+
+
+def _is_reading() -> Column:
+    return F.col("message_key").isNotNull()
+
+
+def _opened(rows: DataFrame, *extra: str) -> DataFrame:
+    """The flat rows of judged messages: readings by date, the rest with the reason."""
+    reading = F.from_json("payload", NORMALIZED)
+    problem = F.when(~_is_reading(), F.from_json("payload", PROBLEM))
+    opened = rows.select("*", F.when(_is_reading(), reading).alias("_r"), problem.alias("_p"))
+    return opened.select(
+        *[F.col(f"_r.{name}").alias(name) for name in NORMALIZED.names], "arrival", *extra, "_p.value", "_p.reason",
+        F.when(_is_reading(), READING).otherwise(QUARANTINE).alias("kind"),
+        F.timestamp_millis("_r.observed_at_ms").cast("date").alias(EVENT_DATE))
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    """Overwrite what an interrupted try of the batch may have left."""
+    rows.sortWithinPartitions("kind", EVENT_DATE, "device_id", "observed_at_ms").write.mode("overwrite").partitionBy(
+        "kind", EVENT_DATE).parquet(path)
+
+
+def ingest(messages: DataFrame, cfg: RuntimeConfig, path: str, checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
     """Parse messages, store each reading once for ever, keep the rest with the reason.
 
-    Duplicates are looked up in the stored table, not in bounded state: a message that is repeated
-    or arrives after months is still handled exactly, and a retried batch stores nothing twice.
+    The keys seen so far are state of the stream, not looked up in the stored table. Each micro-batch
+    writes one folder, anew if it is retried.
+    """
+    firsts = first_of_key(_judged(messages, cfg), buckets=buckets)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        _write(_opened(batch), f"{path}/batch={batch_id}")
+
+    return firsts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+
+
+def pipeline(messages: DataFrame, cfg: RuntimeConfig, path: str, late_path: str, checkpoint: str,
+             buckets: int = BUCKETS) -> DataStreamWriter:
+    """From messages to rates and sessions: parse, store new readings, and derive from them on insert.
+
+    One query with two stateful steps, by message key and by device: a repeated message derives
+    nothing. A micro-batch is written once, to a folder of its own; a retried one writes the same.
+    Readings too late for the device's state get their rates from the folders written so far.
     """
+    firsts = first_of_key(_judged(messages, cfg), buckets=buckets)
+    reading = F.from_json("payload", NORMALIZED)
+    # Rows without a reading have no device; they are dealt out instead of being one group.
+    lane = F.concat(F.lit("\0"), F.pmod(F.xxhash64("arrival"), F.lit(buckets)).cast("string"))
+    opened = firsts.select("*", reading.alias("_r")).select(
+        "message_key", "arrival", "payload", F.coalesce("_r.device_id", lane).alias("device_id"), "_r.observed_at_ms",
+        "_r.sauna_temp_c", "_r.stovepipe_temp_c")
+    derived = NAMES[5:]
+
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumns({"arrived_at": F.current_timestamp(),
-                                   "arrival": F.monotonically_increasing_id()}).persist()
-        try:
-            parsed = expect_source(normalize_uplinks(parsable(batch).drop("value"), cfg), cfg)
-            readings = readings_of(parsed, "arrived_at", "arrival").withColumn(
-                "inserted_at_ms", F.unix_millis("arrived_at")).drop("arrived_at")
-            insert_if_absent(readings, readings_path, ("arrival",))
-            problems = unparsable(batch).select("value", F.col("problem").alias("reason")).unionByName(
-                quarantined(parsed).select(F.to_json("body").alias("value"), "reason"))
-            problems.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
-        finally:
-            batch.unpersist()
-
-    return messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        _write(_opened(batch, *derived), f"{path}/batch={batch_id}")
+        stored = stored_rows(spark, path).where(F.col("batch") <= batch_id)
+        late = stored.where((F.col("batch") == batch_id) & F.col("late"))
+        reach = late.agg(F.min("observed_at_ms").alias("low"), F.max("observed_at_ms").alias("high")).first()
+        if reach.low is None:
+            return
+        # Only the dates and row groups in reach of the late readings are read.
+        low = reach.low - cfg.window_ms
+        near = stored.where(F.col("observed_at_ms").between(low, reach.high) & (
+            F.col(EVENT_DATE) >= F.timestamp_millis(F.lit(low)).cast("date")) & (
+            F.col(EVENT_DATE) <= F.timestamp_millis(F.lit(reach.high)).cast("date")))
+        late_rates(late, near, cfg).drop("batch").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
+
+    return device_stream(opened, cfg).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+
+
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The readings of all batches, as they were derived on insert."""
+    return spark.read.parquet(path).where(F.col("kind") == READING).drop("kind", "value", "reason")
+
+
+def quarantined_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col("kind") == QUARANTINE).select("value", "reason", "arrival", "batch")
+
+
+def derived_rows(spark: SparkSession, path: str, late_path: str) -> DataFrame:
+    """All readings with their rates; those of late ones come from the late folder."""
+    rows = stored_rows(spark, path)
+    if not path_exists(spark, late_path):
+        return rows
+    return rows.where(~F.col("late")).unionByName(spark.read.parquet(late_path).select(*rows.columns))
 
 
 def downsample_stream(readings: DataFrame, bucket_ms: int) -> DataFrame:

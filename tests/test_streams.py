@@ -1,4 +1,7 @@
+import contextlib
+import io
 import json
+import os
 import random
 import time
 
@@ -10,13 +13,21 @@ from messages import uplink, with_payload
 from emberline import RuntimeConfig
 from emberline.session import shared_folder
 from emberline.sources.messages import json_message_stream
-from emberline.streaming.devices import OUTPUT, DeviceProcessor, Latch, device_stream, sessions_of
-from emberline.streaming.ingest import ingest
+from emberline.streaming import ingest as streams
+from emberline.streaming.devices import OUTPUT, DeviceProcessor, Latch, device_stream, late_rates, sessions_of
+from emberline.streaming.keys import in_arrival_order
 
 MINUTE = 60_000
 FIELDS = "device_id string, message_key string, observed_at_ms long, sauna_temp_c double, stovepipe_temp_c double, n long"
 
 
+def plan_of(query):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        query.explain()
+    return out.getvalue()
+
+
 def run(writer):
     writer.trigger(availableNow=True).start().awaitTermination()
 
@@ -24,53 +35,130 @@ def run(writer):
 def test_ingest_stores_each_message_once(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    stored, quarantine, offsets = (str(tmp_path / name) for name in ("stored", "quarantine", "offsets"))
+    stored, offsets = str(tmp_path / "stored"), str(tmp_path / "offsets")
     stream = json_message_stream(spark, str(source))
 
     def deliver(name, *bodies):
         (source / name).write_text("\n".join(b if isinstance(b, str) else json.dumps(b) for b in bodies) + "\n")
-        run(ingest(stream, RuntimeConfig(), stored, quarantine, offsets))
+        run(streams.ingest(stream, RuntimeConfig(), stored, offsets, buckets=3))
 
     one, two = uplink(key="gs:uplink:1"), uplink(key="gs:uplink:2")
-    deliver("a.json", one, one, "{", with_payload(uplink(), BatV=1))
+    deliver("a.json", one, uplink(key="gs:uplink:1", first=50), "{", with_payload(uplink(), BatV=1))
     deliver("b.json", two, uplink(key="gs:uplink:1", first=99))
-    got = spark.read.parquet(stored).orderBy("message_key").collect()
-    assert [(r.message_key, r.temp_channel_1_c) for r in got] == [("gs:uplink:1", 18.75), ("gs:uplink:2", 18.75)]
-    assert spark.read.parquet(quarantine).count() == 2
+    got = streams.stored_rows(spark, stored).orderBy("message_key").collect()
+    assert [(r.message_key, r.temp_channel_1_c, r.batch) for r in got] == [("gs:uplink:1", 18.75, 0), ("gs:uplink:2", 18.75, 1)]
+    assert sorted(r.reason for r in streams.quarantined_rows(spark, stored).collect()) == [
+        "Message is not valid JSON", "Uplink contained no temperature readings"]
 
 
-def test_one_dense_device_is_fast_and_borders_do_not_matter():
-    cfg = RuntimeConfig()
-    rng = np.random.default_rng(2)
-    times = np.sort(rng.integers(0, 8_000 * 20_000, 8_000))
-    late = times[1_000] + 1
-    frame = pd.DataFrame({"observed_at_ms": [*times, late], "air": 20.0, "heater": rng.uniform(20, 90, 8_001),
-                          "message_key": [str(i) for i in range(8_001)], "arrival": range(8_001)})
+def test_no_stream_plan_reads_what_is_stored(spark, tmp_path):
+    """Repeats are found in the state: the batches that ingest writes have no join."""
+    source, stored = tmp_path / "in", str(tmp_path / "stored")
+    source.mkdir()
+    plans = []
+    for n in range(2):
+        (source / f"{n}.json").write_text(json.dumps(uplink(key="gs:uplink:1")) + "\n")
+        writer = streams.ingest(json_message_stream(spark, str(source)), RuntimeConfig(), stored, str(tmp_path / "offsets"), buckets=3)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        plans.append(plan_of(query))
+    assert all("TransformWithStateInPySpark" in plan and "Join" not in plan and "stored" not in plan for plan in plans)
+    assert streams.stored_rows(spark, stored).count() == 1
+
+
+def test_a_retried_batch_writes_the_same(spark, tmp_path):
+    """The commit of the last batch is lost: run again, it replaces what it wrote."""
+    source, stored, late = tmp_path / "in", str(tmp_path / "stored"), str(tmp_path / "late")
+    source.mkdir()
+
+    def once():
+        run(streams.pipeline(json_message_stream(spark, str(source), 1), RuntimeConfig(), stored, late, str(tmp_path / "offsets"), buckets=3))
+        return sorted(map(tuple, streams.derived_rows(spark, stored, late).drop("arrival").collect()), key=str)
+
+    for n in range(3):
+        (source / f"{n}.json").write_text("".join(json.dumps(uplink(key=f"gs:uplink:{k}")) + "\n" for k in (n, n, 7)))
+        rows = once()
+    for name in ("2", ".2.crc"):
+        (tmp_path / "offsets" / "commits" / name).unlink(missing_ok=True)
+    assert once() == rows
+    assert len(rows) == 4
+
+
+def test_arrival_follows_time_file_and_line(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for n, name in enumerate(("b.json", "a.json")):
+        (source / name).write_text("".join(f"{name}-{i}\n" for i in range(30)))
+        os.utime(source / name, (1_000 + n, 1_000 + n))
+    out = str(tmp_path / "out")
+    run(in_arrival_order(spark.readStream.text(str(source))).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / "offsets")))
+    rows = spark.read.parquet(out).collect()
+    assert [r.value for r in sorted(rows, key=lambda r: r.arrival)] == [f"{f}.json-{i}" for f in "ba" for i in range(30)]
+
 
-    class Held(dict):
-        def getValue(self, key):  # noqa: N802
-            return self[key]
+class Held(dict):
+    """The map state of one device."""
 
-        def containsKey(self, key):  # noqa: N802
-            return key in self
+    def getValue(self, key):  # noqa: N802
+        return self[key]
 
-        def updateValue(self, key, value):  # noqa: N802
-            self[key] = value
+    def containsKey(self, key):  # noqa: N802
+        return key in self
 
-    def run_in(parts):
-        device, latch = DeviceProcessor(cfg), Latch()
-        device.blocks = Held()
-        return pd.concat([device._arrive("d", part, latch) for part in parts], ignore_index=True)
+    def updateValue(self, key, value):  # noqa: N802
+        self[key] = value
 
+    def removeKey(self, key):  # noqa: N802
+        del self[key]
+
+
+def dense_device(n):
+    rng = np.random.default_rng(2)
+    times = np.sort(rng.integers(0, n * 20_000, n))
+    return pd.DataFrame({"observed_at_ms": times.astype(float), "air": 20.0, "heater": rng.uniform(20, 90, n),
+                         "message_key": [str(i) for i in range(n)], "arrival": [f"{i:09d}" for i in range(n)], "payload": None})
+
+
+def run_in(cfg, parts):
+    device, latch, sizes = DeviceProcessor(cfg), Latch(), []
+    device.blocks = Held()
+    out = []
+    for part in parts:
+        out.append(device.arrive("d", part, latch))
+        sizes.append((len(device.blocks), sum(len(rows) for rows, in device.blocks.values())))
+    return pd.concat(out, ignore_index=True), sizes
+
+
+def test_one_dense_device_is_fast_and_borders_do_not_matter():
+    cfg = RuntimeConfig()
+    frame = dense_device(8_000)
+    late = frame[:1].assign(observed_at_ms=frame.observed_at_ms[7_990] + 1, heater=30.0, message_key="late", arrival="9")
+    frame = pd.concat([frame, late], ignore_index=True)
     begun = time.perf_counter()
-    whole = run_in([frame])
-    assert time.perf_counter() - begun < 10
-    cut = run_in([frame[:700], frame[700:5_000], frame[5_000:]])
+    whole, _ = run_in(cfg, [frame])
+    assert time.perf_counter() - begun < 1
+    cut, _ = run_in(cfg, [frame[:700], frame[700:5_000], frame[5_000:]])
     rate = "stovepipe_rate_c_per_min"
     assert np.allclose(whole[rate].astype(float), cut[rate].astype(float), rtol=0, atol=1e-9, equal_nan=True)
     assert whole.iloc[-1].sauna_rate_c_per_min == 0 and pd.isna(whole.iloc[-1].started_at_ms)
-    assert whole.drop(columns=["sauna_rate_c_per_min", rate, "max_stovepipe_rate_c_per_min"]).equals(
-        cut.drop(columns=["sauna_rate_c_per_min", rate, "max_stovepipe_rate_c_per_min"]))
+    others = ["sauna_rate_c_per_min", rate, "max_stovepipe_rate_c_per_min"]
+    assert whole.drop(columns=others).equals(cut.drop(columns=others))
+
+
+def test_device_state_stays_bounded():
+    """However long a device reports, its state holds the blocks in reach and no more."""
+    cfg = RuntimeConfig()
+    frame = dense_device(6_000)
+    _, sizes = run_in(cfg, [frame[at:at + 300] for at in range(0, 6_000, 300)])
+    blocks = DeviceProcessor(cfg).blocks_back + 1
+    assert max(n for n, _ in sizes) <= blocks
+    # 20 s apart on average, so about 45 readings of 32 bytes in a block of 15 minutes.
+    assert max(size for _, size in sizes) < 2 * 45 * 32 * blocks
+    early = frame[:1].assign(observed_at_ms=1.0, message_key="late", arrival="9")
+    rows, sizes = run_in(cfg, [frame, early])
+    assert rows.iloc[-1].late and rows.iloc[-1].stovepipe_rate_c_per_min is None
+    assert not rows[:-1].late.any() and sizes[-1] == sizes[0]
 
 
 def test_devices_match_a_sequential_loop_over_several_batches(spark, tmp_path):
@@ -112,3 +200,34 @@ def test_devices_match_a_sequential_loop_over_several_batches(spark, tmp_path):
     found = {(r.device_id, r.started_at_ms): (r.ended_at_ms, r.last_hot_at_ms, r.sample_count, r.peak_sauna_c, r.peak_stovepipe_c)
              for r in sessions_of(rows).collect()}
     assert found == expected
+
+
+def test_late_rates_match_a_sequential_loop(spark):
+    """Readings too late for the state: what had arrived by then counts, cut at the last gap."""
+    rng = random.Random(4)
+    cfg = RuntimeConfig()
+    rows, late, expected = [], [], {}
+    for device in range(3):
+        came = []
+        for n in range(200):
+            held = rng.random() < 0.2
+            t = rng.randrange(0, 200) * 97_000 - 3_000_000
+            came.append((t, rng.choice([None, rng.uniform(0, 50)]), rng.uniform(20, 90)))
+            row = (f"d{device}", f"{device}-{n}", t, n // 50, f"{n:04d}", came[-1][1], came[-1][2])
+            rows.append(row)
+            if held:
+                late.append(row)
+                # Of readings of one time those that came first stand first.
+                there = sorted((r for r in came if r[0] <= t), key=lambda r: r[0])
+                expected[row[1]] = sequential.rates(there, cfg)[-1]
+    schema = "device_id string, message_key string, observed_at_ms long, batch int, arrival string, sauna_temp_c double, stovepipe_temp_c double"
+    stored = spark.createDataFrame(rows, schema)
+    asked = spark.createDataFrame(late, schema).selectExpr(
+        "*", "cast(null as double) sauna_rate_c_per_min", "cast(null as double) stovepipe_rate_c_per_min")
+    got = late_rates(asked, stored, cfg).collect()
+    assert len(got) == len(late)
+    assert any(r.stovepipe_rate_c_per_min is not None for r in got)
+    for r in got:
+        for have, want in zip((r.sauna_rate_c_per_min, r.stovepipe_rate_c_per_min), expected[r.message_key], strict=True):
+            assert (have is None) == (want is None)
+            assert want is None or abs(have - want) < 1e-6
