@@ -8,6 +8,8 @@ only when its key is missing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Fixed value: white space that may surround a numeric string.
@@ -46,15 +48,19 @@ def nonempty_text(value: Column) -> Column:
     return F.nullif(text(value), F.lit(""))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once and the expression built once, however often it is mentioned."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
 def numeric_text(raw: Column) -> Column:
     """The number a string spells, null when it spells none."""
-    bare = F.regexp_replace(raw, _PADDING, "")
-    return (
+    return _bound(F.regexp_replace(raw, _PADDING, ""), lambda bare: (
         F.when(bare.rlike(_DECIMAL), bare.try_cast("double"))
         .when(bare.rlike(_HEX), _of_base(bare, 4))
         .when(bare.rlike(_OCTAL), _of_base(bare, 3))
         .when(bare.rlike(_BINARY), _of_base(bare, 1))
-    )
+    ))
 
 
 def _of_base(prefixed: Column, bits: int) -> Column:
@@ -63,13 +69,16 @@ def _of_base(prefixed: Column, bits: int) -> Column:
     The first 57 bits or more decide the value; whether anything follows them only matters where
     they lie half-way between two doubles, so it is kept as their lowest bit.
     """
-    digits = F.regexp_replace(F.substring(prefixed, 3, 1 << 30), "^0+", "")
     kept = 60 // bits
-    rest = F.substring(digits, kept + 1, 1 << 30)
-    head = F.conv(F.substring(digits, 1, kept), 1 << bits, 10).cast("bigint")
-    sticky = head.bitwiseOR(F.when(rest.rlike("[1-9a-fA-F]"), 1).otherwise(0).cast("bigint"))
-    return F.when(digits == "", 0.0).otherwise(
-        sticky.cast("double") * F.pow(F.lit(2.0), F.length(rest) * bits))
+
+    def value(digits: Column) -> Column:
+        rest = F.substring(digits, kept + 1, 1 << 30)
+        head = F.conv(F.substring(digits, 1, kept), 1 << bits, 10).cast("bigint")
+        sticky = head.bitwiseOR(F.when(rest.rlike("[1-9a-fA-F]"), 1).otherwise(0).cast("bigint"))
+        return F.when(digits == "", 0.0).otherwise(
+            sticky.cast("double") * F.pow(F.lit(2.0), F.length(rest) * bits))
+
+    return _bound(F.regexp_replace(F.substring(prefixed, 3, 1 << 30), "^0+", ""), value)
 
 
 def finite(value: Column) -> Column:
@@ -80,13 +89,22 @@ def finite(value: Column) -> Column:
         .when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
               F.try_variant_get(value, "$", "double"))
     )
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    return _bound(number, lambda x: F.when(F.abs(x) < F.lit(float("inf")), x))
+
+
+def finite_numbers(*values: Column) -> Column:
+    """``finite`` of several values as an array; the expression is built once for all of them."""
+    return F.transform(F.array(*values), finite)
+
+
+def whole(number: Column) -> Column:
+    """A number without a fraction as a whole number, else null."""
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 
 def integral(value: Column) -> Column:
     """A finite number without a fraction, else null."""
-    number = finite(value)
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    return _bound(finite(value), whole)
 
 
 def hex_identity(raw: Column) -> Column:
@@ -125,9 +143,8 @@ def chosen_message(body: Column) -> Column:
 def strongest_reception(receptions: Column) -> Column:
     """Struct (rssi, snr) of the reception with the greatest rssi, the first one on a tie."""
     heard = F.filter(
-        F.transform(elements(receptions), lambda entry: F.struct(
-            finite(opened(entry, "rssi", "snr").rssi).alias("rssi"),
-            finite(opened(entry, "rssi", "snr").snr).alias("snr"))),
+        F.transform(elements(receptions), lambda entry: _bound(opened(entry, "rssi", "snr"), lambda e: _bound(
+            finite_numbers(e.rssi, e.snr), lambda both: F.struct(both[0].alias("rssi"), both[1].alias("snr"))))),
         lambda entry: entry.rssi.isNotNull(),
     )
     nothing = F.lit(None).cast("struct<rssi:double,snr:double>")

@@ -5,20 +5,27 @@ either key; otherwise it is turned away.  (A turned-away row holds nothing, so t
 is not always the one accepted.)
 
 Rows that want the same pair of keys are reduced to the first of them before any shuffle: the others
-can never be accepted.  Pairs whose keys nobody else wants are accepted at once.  What is left, the
-contested pairs, is settled in rounds: accept pairs that are first for both keys, drop every pair
-that wants a key just taken, repeat.  Each round's result is stored in the shared folder.
+can never be accepted.  Pairs whose keys nobody else wants are accepted at once.  The rest, the
+contested pairs, depend on each other: a pair is accepted exactly if all *earlier* pairs that share
+a key with it are turned away.
+
+They are settled in rounds, each stored in the shared folder.  A round accepts the front, the pairs
+that are first for both keys, and drops all that share a key with an accepted pair.  From the second
+round on it also follows chains: an undecided pair with one undecided earlier neighbour is the
+opposite of that neighbour, so along a run of such pairs acceptance alternates.  Pointers to the
+neighbour, with the parity of the way, are doubled until they reach the head of the chain; where the
+head is in the front, the whole chain is decided.  A chain of any length takes a logarithmic number
+of steps; only pairs with several undecided earlier neighbours wait for the front.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from emberline.session import cut_lineage
 
-
 def _first_in_both(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs whose first row is the first of both keys.
 
@@ -31,14 +38,55 @@ def _first_in_both(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return leading
 
 
+def _without(pairs: DataFrame, taken: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.join(taken.select(a), a, "left_anti").join(taken.select(b), b, "left_anti")
+
+
+def _chained(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """first, up, odd: the pairs with exactly one earlier neighbour, that neighbour, and that they are opposites.
+
+    Such a pair is the second of one key and the first of the other. Of a key only its first two
+    pairs are looked at; the rank filter is a group limit, so each task sends on two rows of a key.
+    """
+    places = []
+    for key in (a, b):
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("first"))
+        two = pairs.select(key, "first").withColumn("_rank", rank).where("_rank <= 2").groupBy(key).agg(
+            F.min("first").alias("_low"), F.max("first").alias("_next"), F.count("*").alias("_n"))
+        places.append(two.where("_n = 2").select(F.col("_next").alias("first"), F.col("_low").alias("up")))
+    second_a, second_b = places
+    leads_b = pairs.groupBy(b).agg(F.min("first").alias("first")).select("first")
+    leads_a = pairs.groupBy(a).agg(F.min("first").alias("first")).select("first")
+    links = second_a.join(leads_b, "first", "left_semi").unionByName(second_b.join(leads_a, "first", "left_semi"))
+    return links.withColumn("odd", F.lit(True))
+
+
+def _heads(links: DataFrame) -> DataFrame:
+    """first, up, odd: where each chain of links ends, and the parity of the way, by pointer doubling."""
+    chains = cut_lineage(links.withColumn("moved", F.lit(True)))
+    while not chains.where("moved").isEmpty():
+        above = chains.select(F.col("first").alias("up"), F.col("up").alias("_up"), F.col("odd").alias("_odd"))
+        chains = cut_lineage(chains.join(above, "up", "left").select(
+            "first", F.coalesce("_up", "up").alias("up"),
+            (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), F.col("_up").isNotNull().alias("moved")))
+    return chains
+
+
 def _settle(contested: DataFrame, a: str, b: str) -> DataFrame:
-    rounds = []
+    """The accepted pairs of the contested ones."""
+    accepted = []
     undecided = cut_lineage(contested)
     while not undecided.isEmpty():
-        winners = cut_lineage(_first_in_both(undecided, a, b))
-        rounds.append(winners)
-        undecided = cut_lineage(undecided.join(winners, a, "left_anti").join(winners, b, "left_anti"))
-    return reduce(DataFrame.unionByName, rounds) if rounds else undecided
+        winners = _first_in_both(undecided, a, b)
+        if accepted:
+            # Beyond the first round, chains that hang on an accepted pair are decided along their whole length.
+            heads = _heads(_chained(undecided, a, b))
+            even = heads.where("NOT odd").join(winners.select(F.col("first").alias("up")), "up", "left_semi").select("first")
+            winners = winners.unionByName(undecided.join(even, "first", "left_semi"))
+        winners = cut_lineage(winners)
+        accepted.append(winners)
+        undecided = cut_lineage(undecided.join(winners.select(a), a, "left_anti").join(winners.select(b), b, "left_anti"))
+    return reduce(DataFrame.unionByName, accepted) if accepted else undecided
 
 
 def turned_away(rows: DataFrame, a: str, b: str, first: tuple[str, ...]) -> DataFrame:

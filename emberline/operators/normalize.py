@@ -37,15 +37,19 @@ def message_fields(df: DataFrame, message: Column, cfg: RuntimeConfig) -> DataFr
         "_device_id": E.nonempty_text(F.col("_ids.device_id")),
         "_dev_eui": E.hex_identity(E.text(F.col("_ids.dev_eui"))),
         "_session_key_id": E.nonempty_text(F.col("_link.session_key_id")),
-        "_f_port": E.integral(F.col("_link.f_port")),
-        "_frame_counter": E.integral(F.col("_link.f_cnt")),
         "_reception": E.strongest_reception(F.col("_link.rx_metadata")),
     })
+    df = df.withColumn("_numbers", E.finite_numbers(
+        F.col("_link.f_port"), F.col("_link.f_cnt"), *[F.col(f"_decoded.{name}") for name in ("Temp_Channel1", "Temp_Channel2", "BatV")]))
+    df = df.withColumns({
+        "_f_port": E.whole(F.col("_numbers")[0]),
+        "_frame_counter": E.whole(F.col("_numbers")[1]),
+        "_channel_1": F.col("_numbers")[2],
+        "_channel_2": F.col("_numbers")[3],
+        "_battery": F.col("_numbers")[4],
+    })
     df = df.withColumns({
         "_observed_at_ms": epoch_ms(F.col("_received_at")),
-        "_channel_1": E.finite(F.col("_decoded.Temp_Channel1")),
-        "_channel_2": E.finite(F.col("_decoded.Temp_Channel2")),
-        "_battery": E.finite(F.col("_decoded.BatV")),
         "_key": E.message_key(
             E.uplink_id(F.col("_up.correlation_ids")), F.col("_dev_eui"), F.col("_device_id"),
             F.col("_session_key_id"), F.col("_frame_counter"), F.col("_received_at")),

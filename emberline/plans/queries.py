@@ -25,8 +25,8 @@ CFG, AS_OF, ARRIVAL = T.CADENCE, T.AS_OF_MS, T.ARRIVAL
 HISTORY = CFG.with_changes(expected_interval_s=300)
 ALTERNATIVE = CFG.with_changes(start_c=60, end_c=40, end_hold_min=24 * 60, start_samples=3)
 TARGET_F = 180.0
-# Streams take in so many files per micro-batch, and deal keys and loose rows into so many groups.
-FILES, LANES = 2, 64
+# Streams take in two parts of the table per micro-batch, and deal keys and loose rows into so many groups.
+PARTS, LANES = 2, 64
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -526,11 +526,11 @@ def source_file_summary(spark, sf_dir):
 # Streams --------------------------------------------------------------------------------------
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The telemetry table as a stream of files that arrive one after the other, a file per micro-batch."""
+    """The telemetry table as a stream of files that arrive part by part, over several micro-batches."""
     folder = shared_folder(spark, "arriving")
     T.send_readings(spark, sf_dir, folder)
     schema = T.readings(spark, sf_dir).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", PARTS * T.files_per_part(spark)).parquet(folder)
 
 
 def _run(stream: DataFrame, mode: str) -> DataFrame:
@@ -557,7 +557,7 @@ def stream_ingest(spark, sf_dir):
     """Messages that arrive twice, over several micro-batches: each reading is stored once, as it first came."""
     source, stored = shared_folder(spark, "messages"), shared_folder(spark, "stored")
     T.send_messages(spark, sf_dir, source)
-    (streams.ingest(M.json_message_stream(spark, source, FILES), CFG, stored, shared_folder(spark, "offsets"), LANES)
+    (streams.ingest(M.json_message_stream(spark, source, PARTS * T.files_per_part(spark)), CFG, stored, shared_folder(spark, "offsets"), LANES)
      .trigger(availableNow=True).start().awaitTermination())
     return streams.stored_rows(spark, stored).select(
         "message_key", "observed_at_ms", "device_id", "frame_counter", "f_port", "sauna_temp_c", "stovepipe_temp_c")
@@ -567,7 +567,7 @@ def _pipeline(spark: SparkSession, sf_dir: str, late: bool) -> tuple[str, str]:
     """Run the whole pipeline over arriving messages; where it stored rows and late readings' rates."""
     source, stored, late_path = (shared_folder(spark, name) for name in ("messages", "stored", "late"))
     T.send_messages(spark, sf_dir, source, late)
-    (streams.pipeline(M.json_message_stream(spark, source, FILES), CFG, stored, late_path, shared_folder(spark, "offsets"), LANES)
+    (streams.pipeline(M.json_message_stream(spark, source, PARTS * T.files_per_part(spark)), CFG, stored, late_path, shared_folder(spark, "offsets"), LANES)
      .trigger(availableNow=True).start().awaitTermination())
     return stored, late_path
 

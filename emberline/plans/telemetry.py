@@ -155,9 +155,13 @@ def _part(time: Column) -> Column:
     return passed[0] + passed[1] + passed[2]
 
 
+def files_per_part(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def _send(df: DataFrame, folder: str, writer: str) -> None:
     """Append rows as files, each device's in one file and in time order."""
-    ordered = df.repartition("user_id").sortWithinPartitions("user_id", "ts").drop("user_id", "ts", "part")
+    ordered = df.repartition(files_per_part(df.sparkSession), "user_id").sortWithinPartitions("user_id", "ts").drop("user_id", "ts", "part")
     getattr(ordered.write.mode("append"), writer)(folder)
 
 
