@@ -35,14 +35,23 @@ def half_up(x: Column, digits: int = 2) -> Column:
     )
 
 
-def settled(x: Column) -> Column:
-    """Clear the last bits of a sum or average.
+# A value is counted in steps of 2^-20 and, for what is left, of 2^-73.
+_STEP, _REST = float(2**20), float(2**53)
 
-    The order in which partial sums meet differs from run to run, and with it the last bit of an
-    average.  Where the exact value lies half-way between two published values that bit would
-    decide the result, so averages are brought to nine decimals before they are rounded.
+
+def exact_mean(x: Column) -> Column:
+    """The average as an aggregate that does not depend on the order in which rows and partial sums meet.
+
+    Each value is split into whole numbers, these are added up exactly, and the one rounding is that
+    of the final division. Null without values; NaN, infinity and values from 2^70 on are averaged as
+    they are.
     """
-    return F.when(F.abs(x) < 1_000_000, half_up(x, 9)).otherwise(x)
+    fits = F.abs(x) < F.lit(float(2**70))  # also false for NaN
+    scaled = F.when(fits, x) * F.lit(_STEP)
+    rest = scaled % F.lit(1.0)
+    steps = F.sum((scaled - rest).cast("decimal(28,0)")).cast("double")
+    rests = F.sum((rest * F.lit(_REST)).cast("bigint").cast("decimal(16,0)")).cast("double")
+    return F.when(F.count(x) == F.count(F.when(fits, x)), (steps + rests / F.lit(_REST)) / F.lit(_STEP) / F.count(x)).otherwise(F.avg(x))
 
 
 def temperature(x: Column, unit: str) -> Column:

@@ -51,7 +51,7 @@ def current_summary(current: DataFrame, sessions: DataFrame, as_of_ms: int, cfg:
     rows = current if devices is None else devices.select(DEVICE).join(current, DEVICE, "left")
 
     def probe(prefix: str) -> Column:
-        temp, rate = F.col(f"{prefix}_temp_c"), N.settled(F.col(f"{prefix}_rate_c_per_min"))
+        temp, rate = F.col(f"{prefix}_temp_c"), F.col(f"{prefix}_rate_c_per_min")
         return F.struct(
             N.half_up(temp, 2).alias("c"), N.temperature(temp, "f").alias("f"),
             N.half_up(rate, 3).alias("rate_c_per_min"), N.rate(rate, "f").alias("rate_f_per_min"),

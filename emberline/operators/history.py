@@ -87,16 +87,16 @@ def rates_within(readings: DataFrame, bounds: HistoryBounds, cfg: RuntimeConfig,
 def downsample(readings: DataFrame, bounds: HistoryBounds, by: tuple[str, ...] = ()) -> DataFrame:
     """Average, lowest and highest per bucket, over all devices or ``by`` device.
 
-    The mean time is taken from whole offsets, so it is exact however the partial sums meet.
+    Means are exact sums and one division, so they are the same however the partial sums meet.
     """
     time, width = F.col(TIME), F.lit(bounds.bucket_ms)
     bucketed = bounds.within(readings).withColumn("bucket_ms", time - time % width)
     aggregates = []
     for prefix in SERIES.values():
         value = F.col(f"{prefix}_temp_c")
-        aggregates += [F.avg(value).alias(f"{prefix}_avg_c"), F.min(value).alias(f"{prefix}_min_c"),
+        aggregates += [N.exact_mean(value).alias(f"{prefix}_avg_c"), F.min(value).alias(f"{prefix}_min_c"),
                        F.max(value).alias(f"{prefix}_max_c")]
-    aggregates += [F.avg(f"{prefix}_rate_c_per_min").alias(f"{prefix}_rate_avg_c_per_min")
+    aggregates += [N.exact_mean(F.col(f"{prefix}_rate_c_per_min")).alias(f"{prefix}_rate_avg_c_per_min")
                    for prefix in SERIES.values()]
     grouped = bucketed.groupBy(*by, "bucket_ms").agg(
         F.sum(time - F.col("bucket_ms")).alias("_offsets"), F.count("*").alias("_rows"), *aggregates)
@@ -111,10 +111,10 @@ def to_long_form(buckets: DataFrame, unit: str, by: tuple[str, ...] = ()) -> Dat
     def point(series: str, prefix: str) -> Column:
         return F.struct(
             F.lit(series).alias("series"),
-            N.temperature(N.settled(F.col(f"{prefix}_avg_c")), unit).alias("temp"),
+            N.temperature(F.col(f"{prefix}_avg_c"), unit).alias("temp"),
             N.temperature(F.col(f"{prefix}_min_c"), unit).alias("temp_min"),
             N.temperature(F.col(f"{prefix}_max_c"), unit).alias("temp_max"),
-            N.rate(N.settled(F.col(f"{prefix}_rate_avg_c_per_min")), unit).alias("rate"),
+            N.rate(F.col(f"{prefix}_rate_avg_c_per_min"), unit).alias("rate"),
         )
 
     points = F.array(*[point(series, prefix) for series, prefix in SERIES.items()])

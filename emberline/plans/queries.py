@@ -43,8 +43,8 @@ def query(run: Query) -> Query:
 
 
 def six(column: str | Column) -> Column:
-    """Six decimals of a sum or mean whose last bits depend on the order of summation."""
-    return N.half_up(N.settled(F.col(column) if isinstance(column, str) else column), 6)
+    """Six decimals of a regression rate: the two engines' formulas differ in the last bits."""
+    return N.half_up(F.col(column) if isinstance(column, str) else column, 6)
 
 
 # Readings and identity ------------------------------------------------------------------------
@@ -196,8 +196,8 @@ def _bounded(spark: SparkSession, sf_dir: str, range_name: str) -> tuple[H.Histo
 def _buckets(spark: SparkSession, sf_dir: str, range_name: str, by: tuple[str, ...] = ()) -> DataFrame:
     bounds, part = _bounded(spark, sf_dir, range_name)
     buckets = H.downsample(part, bounds, by)
-    averages = {c for c in buckets.columns if "_avg_" in c}
-    return buckets.select(*[six(c).alias(c) if c in averages else c for c in buckets.columns])
+    # Mean temperatures are equal to the last bit; mean rates are as near as the rates they are of.
+    return buckets.select(*[six(c).alias(c) if "_rate_avg_" in c else c for c in buckets.columns])
 
 
 @query
@@ -616,9 +616,18 @@ def stream_sessions(spark, sf_dir):
 @query
 def stream_downsample(spark, sf_dir):
     updates = _run(downsample_stream(_stream(spark, sf_dir), H.HOUR_MS), "update")
-    last = _last_update(updates, "bucket_ms")
-    return last.select("bucket_ms", "readings", *[
-        six(c).alias(c) for c in last.columns if c not in ("bucket_ms", "readings")])
+    return _last_update(updates, "bucket_ms")
+
+
+@query
+def stream_bucket_rates(spark, sf_dir):
+    """Hourly buckets of readings that arrive with their rates: also the average rates."""
+    folder = shared_folder(spark, "rated")
+    R.with_rates(T.readings(spark, sf_dir), CFG, ARRIVAL).write.parquet(folder)
+    rated = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    last = _last_update(_run(downsample_stream(rated, H.HOUR_MS), "update"), "bucket_ms")
+    return last.select("bucket_ms", "readings", "sauna_avg_c", *[
+        six(f"{probe}_rate_avg_c_per_min").alias(f"{probe}_rate_avg_c_per_min") for probe in ("sauna", "stovepipe")])
 
 
 @query

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from emberline.config import RuntimeConfig
+from emberline.functions.numeric import exact_mean
 from emberline.operators.history import SERIES
 from emberline.operators.normalize import expect_source, normalize_uplinks
 from emberline.schema import NORMALIZED
@@ -124,9 +125,9 @@ def downsample_stream(readings: DataFrame, bucket_ms: int) -> DataFrame:
     """
     timed = readings.withColumn("_at", F.timestamp_millis("observed_at_ms"))
     aggregates = [
-        function(f"{prefix}_temp_c").alias(f"{prefix}_{name}_c")
-        for prefix in SERIES.values() for name, function in (("avg", F.avg), ("min", F.min), ("max", F.max))]
-    aggregates += [F.avg(rate).alias(f"{prefix}_rate_avg_c_per_min") for prefix in SERIES.values()
+        function(F.col(f"{prefix}_temp_c")).alias(f"{prefix}_{name}_c")
+        for prefix in SERIES.values() for name, function in (("avg", exact_mean), ("min", F.min), ("max", F.max))]
+    aggregates += [exact_mean(F.col(rate)).alias(f"{prefix}_rate_avg_c_per_min") for prefix in SERIES.values()
                    if (rate := f"{prefix}_rate_c_per_min") in readings.columns]
     return (
         timed.groupBy(F.window("_at", f"{bucket_ms} milliseconds").alias("_w"))

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from emberline.operators import current, heat, history as H, months
 
 MINUTE = 60_000
 HOUR = 60 * MINUTE
-NOW = 1786981200000
+NOW = 1_801_000_000_000
 
 
 def value(spark, column):
@@ -26,19 +27,35 @@ def test_rounding(spark):
     assert numbers(spark, lambda x: N.half_up(x, 0), cases) == list(cases.values())
     assert numbers(spark, lambda x: N.half_up(x, 2), [1.005, 2.675, 1.255, None, float("nan"), float("inf")]) == [
         1.0, 2.68, 1.25, None, None, None]
-    assert numbers(spark, N.settled, [10.015000000000001, 10.014999999999999]) == [10.015, 10.015]
+
+
+def test_means_do_not_depend_on_the_order(spark):
+    """The mean is that of exact fractions, rounded once, and is published as it is."""
+    rng = random.Random(6)
+    series = [[20.0049999999995], [20.005, 20.005, 20.005], [1e15, 0.1, -1e15], [rng.uniform(-40, 600) for _ in range(5_000)],
+              [0.1] * 10, [1e-9, -3e-9], [2.0**60, 1.0]]
+    for values in series:
+        expected = float(sum(map(Fraction, values)) / len(values))
+        for n in (1, 7):
+            rows = rng.sample(values, len(values))
+            got = spark.createDataFrame([(x,) for x in [*rows, None]], "x double").repartition(n).agg(N.exact_mean(F.col("x")).alias("m")).first().m
+            assert got == pytest.approx(expected, rel=4e-16, abs=1e-21)
+    one = spark.createDataFrame([(20.0049999999995,)], "x double").agg(N.exact_mean(F.col("x")).alias("m"))
+    assert one.select(N.temperature(F.col("m"), "c")).first()[0] == 20.0
+    odd = spark.createDataFrame([(1e300, 1.0, None), (3e300, float("inf"), None)], "a double, b double, c double")
+    assert odd.agg(*[N.exact_mean(F.col(c)) for c in "abc"]).first()[:] == (2e300, float("inf"), None)
 
 
 def test_fixed_text(spark):
-    cases = {0.25: "0.3", 0.15: "0.1", 0.35: "0.3", -0.04: "-0.0", -2.16: "-2.2", 184.1: "184.1",
+    cases = {0.25: "0.3", 0.15: "0.1", 0.35: "0.3", -0.04: "-0.0", -2.16: "-2.2", 307.2: "307.2",
              99.95: "100.0", 0.0: "0.0", None: "—", float("inf"): "—"}
     assert numbers(spark, lambda x: N.fixed(x, 1), cases) == list(cases.values())
-    assert numbers(spark, lambda x: N.fixed(x, 0), [130.5, 498.4, None]) == ["131", "498", "—"]
+    assert numbers(spark, lambda x: N.fixed(x, 0), [77.5, 391.4, None]) == ["78", "391", "—"]
 
 
 def test_units(spark):
     assert value(spark, N.c_rate_to_f(F.lit(2.0))) == 3.6
-    assert value(spark, N.temperature(F.lit(25.2), "f")) == 77.36
+    assert value(spark, N.temperature(F.lit(31.7), "f")) == 89.06
     assert [N.requested_unit(u) for u in ("C", "c", "f", "k", None)] == ["c", "c", "f", "f", "f"]
 
 
@@ -80,33 +97,35 @@ def test_history_of_known_readings(spark):
 
 
 def test_readouts(spark):
-    points = spark.createDataFrame([(184.1, 184.1, -0.036), (180.0, 184.0, None)],
+    points = spark.createDataFrame([(61.3, 61.3, -0.055), (60.0, 72.5, None)],
                                    "temp_min double, temp_max double, rate double")
     got = H.history_readouts(points).collect()
-    assert got[0].rate_per_hour == pytest.approx(-2.16)
+    assert got[0].rate_per_hour == pytest.approx(-3.3)
     assert [(r.temperature_readout, r.rate_readout) for r in got] == [
-        ("184.1 °F", "-2.2 °F/hour"), ("180.0–184.0 °F", None)]
+        ("61.3 °F", "-3.3 °F/hour"), ("60.0–72.5 °F", None)]
     assert H.with_valid_rate(points).count() == 1
 
 
 @pytest.mark.parametrize(("changes", "expected"), [
-    ({"current": 180.0}, ("hot", "HOT", "")),
-    ({}, ("eta", "2H 30M", "2:10 PM")),
-    ({"later": 4 * MINUTE}, ("eta", "2H 30M", "2:10 PM")),
-    ({"rate": 0.01}, ("warming", "WARMING", "CALCULATING")),
-    ({"current": 100.0, "rate": 0.1}, ("warming", "WARMING", "CALCULATING")),
+    ({"current": 150.0}, ("hot", "HOT", "")),
+    ({}, ("eta", "2H", "1:15 PM")),
+    ({"later": 4 * MINUTE}, ("eta", "2H", "1:15 PM")),
+    ({"current": 101.0}, ("eta", "1H 40M", "12:50 PM")),
+    ({"current": 149.9}, ("eta", "5M", "11:15 AM")),
+    ({"rate": 0.02}, ("warming", "WARMING", "CALCULATING")),
+    ({"rate": 0.06}, ("warming", "WARMING", "CALCULATING")),
     ({"rate": 0.0}, ("heating", "HEATING", "CALCULATING")),
-    ({"rate": -0.1}, ("cooling", "COOLING", "")),
+    ({"rate": -0.3}, ("cooling", "COOLING", "")),
     ({"rate": None, "active": False}, ("idle", "NOT HEATING", "")),
-    ({"status": "stale"}, ("unavailable", "—", "UNAVAILABLE")),
+    ({"status": "delayed"}, ("unavailable", "—", "UNAVAILABLE")),
     ({"current": None}, ("unavailable", "—", "UNAVAILABLE")),
 ])
 def test_heat_status(spark, changes, expected):
-    case = {"current": 120.0, "rate": 0.4, "status": "live", "active": True, "later": 0, **changes}
-    observed = value(spark, moments.epoch_ms(F.lit("2026-08-17T15:40:00Z")))
+    case = {"current": 90.0, "rate": 0.5, "status": "live", "active": True, "later": 0, **changes}
+    observed = value(spark, moments.epoch_ms(F.lit("2027-02-03T10:12:00Z")))
     got = value(spark, heat.heat_status(
         F.lit(case["current"]).cast("double"), F.lit(case["rate"]).cast("double"), F.lit(observed),
-        F.lit(case["status"]), F.lit(case["active"]), 180, observed + case["later"], "America/New_York"))
+        F.lit(case["status"]), F.lit(case["active"]), 150, observed + case["later"], "Europe/Berlin"))
     assert tuple(got) == expected
 
 
@@ -115,9 +134,9 @@ def test_freshness_and_snapshot(spark):
     ages = {-5: "live", 600: "live", 601: "delayed", 1200: "delayed", 1201: "stale"}
     frame = spark.createDataFrame([(NOW - s * 1_000,) for s in ages], "t long")
     assert [r[0] for r in frame.select(current.freshness(F.col("t"), NOW, cfg)).collect()] == list(ages.values())
-    rows = spark.createDataFrame([("d", NOW, 54.72, 259.11), ("e", NOW, None, 259.11)],
+    rows = spark.createDataFrame([("d", NOW, 37.25, 201.5), ("e", NOW, None, 201.5)],
                                  "device_id string, observed_at_ms long, sauna_temp_c double, stovepipe_temp_c double")
-    assert [(r.sauna_f, r.stovepipe_f) for r in current.display_snapshot(rows).collect()] == [("131", "498"), ("—", "498")]
+    assert [(r.sauna_f, r.stovepipe_f) for r in current.display_snapshot(rows).collect()] == [("99", "395"), ("—", "395")]
 
 
 def test_months(spark):
