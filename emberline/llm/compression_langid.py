@@ -9,13 +9,17 @@ The score is the margin between the best and the second-best language, 1 - best
 both sums are taken net of what an empty block costs; it lies between 0 and 1. A text is rejected
 if it has no letter (``und``, score 0) or a margin under ``MARGIN``.
 
-Fitting uses a bounded sample: at most ``SAMPLE_DOCS`` labelled documents of each language, those
-of the smallest hash of text and id; the dictionaries hold ``DICTIONARY_BYTES`` of their lines,
-taken in hash order. Predictions read the text alone.
+Fitting uses a bounded sample: at most ``SAMPLE_DOCS`` different labelled documents of each language,
+those of the smallest hash of the id, and the ``MOST_LANGUAGES`` languages with most documents; the
+dictionaries hold ``DICTIONARY_BYTES`` of their lines, taken in hash order. The sample is chosen and
+cut to that size in the plan: a share of the hash range, from an estimate of the different documents
+of each language, is all that is shuffled, and the driver receives the dictionaries. Predictions
+read the text alone.
 
 Defined cases: null texts and texts without letters are ``und`` and rejected; ties go to the
 language with more labelled documents, then the smaller name; labels that are null are not learned
-from; without any labelled text every prediction is ``und``.
+from; rows that repeat an id are one document of the sample, with the smallest of their texts;
+without any labelled text every prediction is ``und``.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from emberline.llm.words import light_batches, unused
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 400
+MOST_LANGUAGES = 256
 # A dictionary is cut to this size from whole lines of the sample.
 DICTIONARY_BYTES = 96 << 10
 BLOCK = 1 << 10
@@ -47,35 +52,41 @@ def letters(text: str) -> str:
     return " ".join(text.lower().translate(_BLANKS).split())
 
 
-def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
-    """(language, dictionary) from rows (doc_id, text, lang), languages with more rows first.
-
-    The driver receives at most ``sample_docs`` texts of each language.
-    """
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), "lang").where("lang is not null and text is not null and doc_id is not null")
-    keys = rows.select("doc_id", F.col("lang").alias("_lang"), F.xxhash64("doc_id").alias("h"))
-    # The group limit cuts each task's rows before the shuffle.
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("h", "doc_id"))
-    chosen = keys.withColumn("n", rank).where(F.col("n") <= sample_docs)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    ids = [(r.doc_id, r._lang) for r in chosen.select("doc_id", "_lang").collect()]
-    texts: dict[str, list[str]] = {lang: [] for lang in counts}
-    if ids:
-        few = labelled.sparkSession.createDataFrame(ids, "doc_id long, _lang string")
-        picked = rows.join(F.broadcast(few), ["doc_id"]).where("lang = _lang").select("lang", "text")
-        for r in picked.collect():
-            texts[r.lang].append(r.text)
-    out = []
-    for lang in sorted(counts, key=lambda x: (-counts[x], x)):
-        lines = {letters(line) for text in texts[lang] for line in text.split("\n")} - {""}
-        content = bytearray()
-        for line in sorted(lines, key=lambda x: (zlib.crc32(x.encode()), x)):
-            content += line.encode() + b" "
-            if len(content) >= size:
-                break
-        if content:
-            out.append((lang, bytes(content[:size])))
-    return out
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, line, place): the different lines of each text in letters, with their place by hash."""
+    for batch in batches:
+        rows = [(lang, line) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+                for line in {letters(part) for part in text.split("\n")} - {""}]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
+             pa.array([zlib.crc32(r[1].encode()) for r in rows], pa.int64())], names=["lang", "line", "place"])
+
+
+def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES,
+          languages: int = MOST_LANGUAGES) -> list[tuple[str, bytes]]:
+    """(language, dictionary) from rows (doc_id, text, lang), languages with more rows first."""
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
+    rows = labelled.where("lang is not null and text is not null and doc_id is not null").select(
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), hashed.alias("h"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).orderBy(
+        F.desc("n"), "lang").limit(languages).collect()
+    if not counts:
+        return []
+    # Four times the share of the hash range that the sample needs.
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, 4.0 * sample_docs / max(1, r.different)))])
+    share = (F.col("h").cast("double") + 2.0 ** 63) / 2.0 ** 64
+    near = rows.where(share <= F.try_element_at(bounds, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = near.withColumn("n", rank).where(F.col("n") <= sample_docs).select("lang", "text")
+    lines = light_batches(sample).mapInArrow(_lines, "lang string, line string, place long").distinct()
+    before = Window.partitionBy("lang").orderBy("place", "line").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0))
+    # Of a line that is longer than the dictionary only its beginning can be in it.
+    taken = lines.withColumn("filled", filled).where(F.col("filled") < size).select("lang", "place", F.left("line", F.lit(size)).alias("line"))
+    content: dict[str, list] = {}
+    for r in taken.collect():
+        content.setdefault(r.lang, []).append((r.place, r.line))
+    return [(r.lang, b"".join(line.encode() + b" " for _, line in sorted(content[r.lang]))[:size]) for r in counts if r.lang in content]
 
 
 class Compressors:

@@ -17,8 +17,9 @@ some query; within it only the part of the annulus that the bound leaves is scor
 
 All scores are exact (whole numbers). Defined cases: vectors that are null or hold a null or
 non-finite component take no part, neither as queries nor as candidates; shorter vectors are padded
-with zeros; a query never finds a row of its own id; fewer candidates give fewer results; ties go
-to the smaller vec_id; an empty table gives no rows.
+with zeros; a query never finds a row of its own id; a repeated row is a row of its own, as query
+(each row is answered, so an id that two rows have is answered twice) and as candidate; fewer
+candidates give fewer results; ties go to the smaller vec_id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ SLACK = 1e-9
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v: array<long>) of the vectors that take part."""
+    """(vec_id, v: array<long>, row: unique) of the vectors that take part."""
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     sound = F.col("embedding").isNotNull() & F.forall(
         "embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(
-        F.col("vec_id").cast("long"), scaled.alias("v"))
+        F.col("vec_id").cast("long"), scaled.alias("v"), F.monotonically_increasing_id().alias("row"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -156,14 +157,14 @@ def _rows(block: pa.Scalar, count: int, width: int) -> np.ndarray:
 def _scorer(frame: Frame, k: int):
     """Scores the queries of (ids, q, bars) rows against one block; at most k results per query."""
     def score(block: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if block.num_rows and asked.num_rows:
             ids = np.frombuffer(block["ids"][0].as_buffer(), np.int64)
             x = _rows(block["rows"][0], len(ids), frame.width)
             radii = np.frombuffer(block["radii"][0].as_buffer(), np.float64)
             pivot = block["pivot"][0].as_py()
-            for qid, q, bar in zip(asked["ids"], asked["q"], asked["bars"]):
-                qid, bar = np.frombuffer(qid.as_buffer(), np.int64), np.frombuffer(bar.as_buffer(), np.float64)
+            for qid, seq, q, bar in zip(asked["ids"], asked["seqs"], asked["q"], asked["bars"], strict=True):
+                qid, seq, bar = (np.frombuffer(x.as_buffer(), kind) for x, kind in ((qid, np.int64), (seq, np.int64), (bar, np.float64)))
                 q = _rows(q, len(qid), frame.width)
                 # Triangle inequality: only radii within reach of some query of the group.
                 reach = _reach(q, bar, frame)
@@ -175,9 +176,9 @@ def _scorer(frame: Frame, k: int):
                     scores = products[row]
                     good = np.flatnonzero((scores >= bar[row]) & (ids[low:high] != own))
                     best = good[_best(scores[good], ids[low:high][good], k)]
-                    out.append((np.full(len(best), own), ids[low:high][best], scores[best]))
-        columns = [np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in range(3)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns))))
+                    out.append((np.full(len(best), own), np.full(len(best), seq[row]), ids[low:high][best], scores[best]))
+        columns = [np.concatenate([np.zeros(0, np.int64), *(o[i] for o in out)]) for i in range(4)]
+        return pa.table(dict(zip(("query_id", "row", "vec_id", "score"), map(pa.array, columns), strict=True)))
 
     return score
 
@@ -188,8 +189,8 @@ def _reach(q: np.ndarray, bar: np.ndarray, frame: Frame) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-_ASKED = "ids binary, q binary, bars binary"
-_FOUND = "query_id long, vec_id long, score long"
+_ASKED = "ids binary, seqs binary, q binary, bars binary"
+_FOUND = "query_id long, row long, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS,
@@ -214,12 +215,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
             home = distance.argmin(axis=1)
             n = len(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(home.astype(np.int64)), pa.array(distance[np.arange(n), home]),
-                 pa.array([i.tobytes() for i in batch.column(0).to_numpy()], pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(home.astype(np.int64)), pa.array(distance[np.arange(n), home]),
+                 *(pa.array([i.tobytes() for i in batch.column(c).to_numpy()], pa.binary()) for c in (0, 2)),
                  pa.array([_bytes(r) for r in x], pa.binary()), pa.array([np.float64(-np.inf).tobytes()] * n, pa.binary())],
-                names=["query_id", "home", "away", "ids", "q", "bars"])
+                names=["query_id", "row", "home", "away", "ids", "seqs", "q", "bars"])
 
-    queries = cut_lineage(whole.where(is_query).mapInArrow(aim, f"query_id long, home long, away double, {_ASKED}"))
+    queries = cut_lineage(whole.where(is_query).mapInArrow(aim, f"query_id long, row long, home long, away double, {_ASKED}"))
     per_pivot = max(1, -(-int(facts.queries or 0) // (group * len(centre))))
 
     def meet(pairs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -231,28 +232,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
 
     # Round 1: the annulus of the own pivot that is nearest to the query's own distance.
     gap = F.greatest(F.lit(0.0), F.col("low") - F.col("away"), F.col("away") - F.col("high"))
-    nearest = queries.join(annuli, queries.home == annuli.pivot).groupBy("query_id").agg(
+    nearest = queries.join(annuli, queries.home == annuli.pivot).groupBy("row").agg(
         F.min(F.struct(gap.alias("gap"), "low", "block")).alias("near"))
-    first = queries.join(nearest, "query_id").select(
-        F.col("near.block").alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(per_pivot)).alias("part"), "ids", "q", "bars")
+    first = queries.join(nearest, "row").select(
+        F.col("near.block").alias("block"), F.pmod(F.xxhash64("row"), F.lit(per_pivot)).alias("part"), "ids", "seqs", "q", "bars")
     first_found = meet(first, first)
     # The k-th best so far; a query without k candidates has no bar.
-    bars = first_found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(
-        "query_id", F.when(F.size("s") >= k, F.element_at("s", k).cast("double")).alias("bar"))
-    barred = cut_lineage(queries.join(bars, "query_id", "left").select(
-        "query_id", "home", "q", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"),
-        F.pmod(F.xxhash64("query_id"), F.lit(per_pivot)).alias("share")))
+    bars = first_found.groupBy("row").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select(
+        "row", F.when(F.size("s") >= k, F.element_at("s", k).cast("double")).alias("bar"))
+    barred = cut_lineage(queries.join(bars, "row", "left").select(
+        "query_id", "row", "home", "q", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"),
+        F.pmod(F.xxhash64("row"), F.lit(per_pivot)).alias("share")))
 
     # Round 2: groups of queries of one pivot and all annuli within their reach.
     def bundle(table: pa.Table) -> pa.Table:
-        table = table.sort_by("query_id")
-        ids, bar = table["query_id"].to_numpy(), table["bar"].to_numpy()
+        table = table.sort_by([("query_id", "ascending"), ("row", "ascending")])
+        ids, seqs, bar = (table[name].to_numpy() for name in ("query_id", "row", "bar"))
         q = np.concatenate([_rows(x, 1, width) for x in table["q"]])
         away = frame.distances(q, query=True)
         reach = _reach(q, bar, frame)[:, None]
         return pa.table({
             "home": table["home"][:1], "share": table["share"][:1],
-            "ids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([_bytes(q)], pa.binary()),
+            "ids": pa.array([ids.tobytes()], pa.binary()), "seqs": pa.array([seqs.tobytes()], pa.binary()), "q": pa.array([_bytes(q)], pa.binary()),
             "bars": pa.array([bar.tobytes()], pa.binary()),
             "inner": pa.array([(away - reach).min(axis=0).tolist()]), "outer": pa.array([(away + reach).max(axis=0).tolist()])})
 
@@ -263,8 +264,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     # So many groups at a time meet a block: the part bounds what one call holds.
     pairs = spans.join(annuli, "pivot").where(near).select(
         "block", "home", "share", F.pmod(F.xxhash64("home", "share"), F.lit(per_pivot)).alias("part"))
-    asked = pairs.join(groups.select("home", "share", "ids", "q", "bars"), ["home", "share"]).select(
-        "block", "part", "ids", "q", "bars")
+    asked = pairs.join(groups.select("home", "share", "ids", "seqs", "q", "bars"), ["home", "share"]).select(
+        "block", "part", "ids", "seqs", "q", "bars")
     found = meet(pairs, asked)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -35,6 +35,18 @@ def test_language_of_held_out_texts(documents, no_documents):
     assert compression_langid.learn(no_documents) == []
 
 
+def test_language_sample_is_bounded(spark, documents):
+    """One id many times is one document of the sample; the plan broadcasts nothing by force."""
+    one = documents.where("doc_id = 5").crossJoin(spark.range(600)).drop("id")
+    labelled = documents.where("lang is not null and text is not null and doc_id is not null")
+    assert compression_langid.learn(labelled.unionByName(one.select(*labelled.columns)), sample_docs=400) == sorted(
+        compression_langid.learn(labelled, sample_docs=400), key=lambda x: x[0] != one.first().lang)
+    for lang, content in compression_langid.learn(labelled, size=1000):
+        assert lang in ("en", "fr")
+        assert 0 < len(content) <= 1000
+    assert [lang for lang, _ in compression_langid.learn(labelled, languages=1)] == ["en"]
+
+
 def test_fm_index_finds_every_occurrence():
     rng = np.random.default_rng(3)
     for _ in range(30):

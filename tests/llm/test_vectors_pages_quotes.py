@@ -26,6 +26,7 @@ def test_top_k_equals_brute_force(spark, block_rows):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(150)]
     rows += [(200 + i, rows[3][1]) for i in range(60)]  # one vector many times
+    rows += [rows[7], rows[7], (14, rows[1][1])]  # rows that repeat a query, and a second row of its id
     rows += [(7 * 50, None), (301, [1.0, None] + [0.0] * 4), (302, [float("nan")] + [0.0] * 5), (303, [float("inf")] + [0.0] * 5),
              (304, [1.0, 2.0]), (305, []), (None, [1.0] * 6), (308, [0.0] * 6)]
     table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, v string")
@@ -33,6 +34,13 @@ def test_top_k_equals_brute_force(spark, block_rows):
     assert sorted(map(tuple, got.collect())) == sorted(brute_top(rows, 5))
 
 
+def test_top_k_answers_every_row_of_a_repeated_query(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (1, [2.0]), (2, [3.0]), (3, [0.5])]
+    got = pivot_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, k=3)
+    once = [(0, 1, 2, 256 * 768), (0, 2, 1, 256 * 512), (0, 3, 3, 256 * 128)]
+    assert sorted(map(tuple, got.collect())) == sorted(once * 2)
+
+
 def test_top_k_of_few_or_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], kind)
