@@ -260,7 +260,7 @@ def validate_baseline(baseline: DataFrame, options: AuditOptions) -> tuple[DataF
                       F.col("frame_counter")).alias("packet")))
 
     complete_rows = df.where("_complete").drop("_is_object", "_complete")
-    away = cut_lineage(turned_away(complete_rows, "message_key", "packet", ("row_no",)))
+    away = turned_away(complete_rows, "message_key", "packet", ("row_no",))
     by_key = F.col("holder_a").isNotNull()
     problems = df.where("NOT _complete").select(*_baseline_record(
         F.when(F.col("_is_object"), ROW_INCOMPLETE).otherwise(ROW_NOT_OBJECT))).unionByName(
@@ -293,16 +293,17 @@ def baseline_matches(accepted: DataFrame, usable: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Audit:
-    """A finished audit; ``records`` and everything derived from it read the stored result."""
+    """A finished audit: every frame is lazy and reads the stored parse of the lines and the small
+    verdicts, so each use reads just the columns it needs; the payload is written once."""
 
     options: AuditOptions
     records: DataFrame          # one row per record of the manifest
     entries: DataFrame          # the same rows with file number, time and envelope
     accepted: DataFrame         # lines accepted after the conflict rules
-    baseline_rows: int
+    problems: DataFrame         # records that belong to no line
+    baseline: DataFrame | None
     usable_baseline: DataFrame | None
     matches: DataFrame | None
-    baseline_supplied: bool
     source_files: DataFrame | None = None
 
     def errors(self) -> int:
@@ -325,46 +326,57 @@ class Audit:
         return frame_counter_reuse(self.accepted)
 
     def summary(self) -> DataFrame:
-        """One row: counts by status, replay bounds and baseline coverage."""
-        replay = self.replay()
-        counts = self.records.agg(
-            *[F.count_if(F.col("status") == status).alias(name) for name, status in (
-                ("valid", "valid"), ("live_overlaps", "live_overlap"), ("duplicates", "duplicate"),
-                ("ignored", "ignored"), ("errors", "error"))],
-        )
+        """One row: counts by status, replay bounds and baseline coverage; a single lazy query.
+
+        Every part contributes a row with its own figures, the rows are put together at the end.
+        """
         position = F.struct("observed_at_ms", *[
             c.alias(n) for c, n in zip(self.replay_order()[1:], ("d", "k"), strict=True)])
-        bounds = replay.agg(
-            F.count("*").alias("replay_envelopes"),
-            F.min_by("received_at", position).alias("first_observed_at"),
-            F.max_by("received_at", position).alias("last_observed_at"))
-        reuse = self.frame_counter_reuse().agg(F.count("*").alias("frame_counter_reuse_groups"))
-        matched, unmatched = 0, 0
+        valid = F.col("status") == "valid"
+
+        def figure(name: str) -> Column:
+            return F.when(valid, F.col(name))
+
+        parts = [
+            self.entries.agg(
+                F.count_if(F.col("part") == 0).alias("storage_events"),
+                *[F.count_if(F.col("status") == status).alias(name) for name, status in (
+                    ("valid", "valid"), ("live_overlaps", "live_overlap"), ("duplicates", "duplicate"),
+                    ("ignored", "ignored"), ("errors", "error"))],
+                F.min_by(figure("received_at"), F.when(valid, position)).alias("first_observed_at"),
+                F.max_by(figure("received_at"), F.when(valid, position)).alias("last_observed_at")),
+            self.problems.agg(F.count_if(F.col("status") == "error").alias("errors")),
+            self.frame_counter_reuse().agg(F.count("*").alias("frame_counter_reuse_groups")),
+        ]
         if self.matches is not None:
-            row = self.matches.agg(F.count_if("equal").alias("equal"), F.count("*").alias("all")).first()
-            matched = row["equal"]
-            unmatched = max(0, self.usable_baseline.count() - row["all"])
-        figures = {**counts.first().asDict(), **bounds.first().asDict(), **reuse.first().asDict(),
-                   "storage_events": self.entries.where("part = 0").count(),
-                   "baseline_supplied": self.baseline_supplied,
-                   "baseline_rows": self.baseline_rows,
-                   "matched_archive_rows": matched, "unmatched_rows": unmatched}
-        schema = ("storage_events bigint, valid bigint, live_overlaps bigint, duplicates bigint, "
-                  "ignored bigint, errors bigint, replay_envelopes bigint, first_observed_at string, "
-                  "last_observed_at string, frame_counter_reuse_groups bigint, "
-                  "baseline_supplied boolean, baseline_rows bigint, matched_archive_rows bigint, "
-                  "unmatched_rows bigint")
-        names = [part.split()[0] for part in schema.split(", ")]
-        return self.records.sparkSession.createDataFrame(
-            [tuple(figures[name] for name in names)], schema)
+            parts += [
+                self.baseline.agg(F.count("*").alias("baseline_rows")),
+                self.usable_baseline.agg(F.count("*").alias("unmatched_rows")),
+                self.matches.agg(F.count_if("equal").alias("matched_archive_rows"), (-F.count("*")).alias("unmatched_rows"))]
+        rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        counts = ("storage_events", "valid", "live_overlaps", "duplicates", "ignored", "errors", "frame_counter_reuse_groups",
+                  "baseline_rows", "matched_archive_rows", "unmatched_rows")
+        whole = rows.agg(*[F.coalesce(F.sum(c) if c in rows.columns else F.lit(None), F.lit(0)).cast("bigint").alias(c) for c in counts],
+                         F.max("first_observed_at").alias("first"), F.max("last_observed_at").alias("last"))
+        clean = F.col("errors") == 0
+        return whole.select(
+            "storage_events", "valid", "live_overlaps", "duplicates", "ignored", "errors",
+            F.when(clean, F.col("valid")).otherwise(0).alias("replay_envelopes"),
+            F.when(clean, F.col("first")).alias("first_observed_at"), F.when(clean, F.col("last")).alias("last_observed_at"),
+            "frame_counter_reuse_groups", F.lit(self.matches is not None).alias("baseline_supplied"), "baseline_rows",
+            "matched_archive_rows", F.greatest(F.lit(0), F.col("unmatched_rows")).alias("unmatched_rows"))
 
 
 def audit_pages(lines: DataFrame, options: AuditOptions, baseline: DataFrame | None = None,
                 source_files: DataFrame | None = None) -> Audit:
-    """Audit page lines (``file_no, file, line_no, line``) against an optional live baseline."""
+    """Audit page lines (``file_no, file, line_no, line``) against an optional live baseline.
+
+    Stored are the parsed lines, the verdicts on lines that conflict, and the parsed baseline; the
+    conflict rules work on keys alone and add a step for each round that conflicts need.
+    """
     parsed = cut_lineage(row_rules(lines, options))
     verdicts = cut_lineage(key_conflicts(parsed))
-    judged = cut_lineage(
+    judged = (
         parsed.join(verdicts, ["file_no", "source_line"], "left")
         .withColumns({
             # The packet hash is shown for valid lines and for conflicts found after the key rule.
@@ -377,13 +389,12 @@ def audit_pages(lines: DataFrame, options: AuditOptions, baseline: DataFrame | N
         }).drop("verdict", "verdict_reason", "by_key"))
     accepted = judged.where("status = 'valid'").withColumnRenamed("physical_packet_sha256", "packet")
 
-    problems = [count_check(judged.where("part = 0"), options.expected_count)]
+    problems = [count_check(parsed.where("part = 0"), options.expected_count)]
     usable = matches = None
     entries = judged.withColumn("live_message_key", F.lit(None).cast("string"))
     if baseline is not None:
         usable, rejected = validate_baseline(baseline, options)
-        usable = cut_lineage(usable)
-        matches = cut_lineage(baseline_matches(accepted, usable))
+        matches = baseline_matches(accepted, usable)
         differing = matches.where("NOT equal").select(*_baseline_record(
             LIVE_VALUE_CONFLICT, _place("source_file", "source_line")))
         problems += [rejected, baseline_key_conflicts(accepted, usable), differing]
@@ -395,8 +406,5 @@ def audit_pages(lines: DataFrame, options: AuditOptions, baseline: DataFrame | N
     extra = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), problems)
     columns = ["source_file", "source_line", "status", "reason", "duplicate_of", "message_key",
                "live_message_key", "physical_packet_sha256", "observed_at", *READING_FIELDS]
-    entries = cut_lineage(entries)
-    records = cut_lineage(entries.select(*columns).unionByName(extra, allowMissingColumns=True))
-    return Audit(options, records, entries, accepted,
-                 0 if baseline is None else baseline.count(), usable, matches, baseline is not None,
-                 source_files)
+    records = entries.select(*columns).unionByName(extra, allowMissingColumns=True)
+    return Audit(options, records, entries, accepted, extra, baseline, usable, matches, source_files)

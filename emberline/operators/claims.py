@@ -73,9 +73,9 @@ def _heads(links: DataFrame) -> DataFrame:
 
 
 def _settle(contested: DataFrame, a: str, b: str) -> DataFrame:
-    """The accepted pairs of the contested ones."""
+    """The accepted pairs of the contested ones (a stored table)."""
     accepted = []
-    undecided = cut_lineage(contested)
+    undecided = contested
     while not undecided.isEmpty():
         winners = _first_in_both(undecided, a, b)
         if accepted:
@@ -97,7 +97,8 @@ def turned_away(rows: DataFrame, a: str, b: str, first: tuple[str, ...]) -> Data
     either returned here or accepted.
     """
     here = F.struct(*first)
-    pairs = cut_lineage(rows.groupBy(a, b).agg(F.min(here).alias("first"), F.count("*").alias("rows")))
+    # Mentioned three times below, shuffled once: Spark reuses the exchange within the one query.
+    pairs = rows.groupBy(a, b).agg(F.min(here).alias("first"), F.count("*").alias("rows"))
 
     def wanted_twice(key: str) -> DataFrame:
         return pairs.groupBy(key).agg(F.count("*").alias("_pairs")).where("_pairs > 1").select(key)
