@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -83,6 +84,26 @@ class AuditOptions:
                 raise ValueError(f"The {label} temperature range must be finite and increasing")
 
 
+    def described(self) -> dict[str, object]:
+        """The validation block of a manifest: what the archive was checked against."""
+        def moment(ms: float) -> str:
+            return datetime.fromtimestamp(ms / 1_000, timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+        def span(bounds: tuple[float, float]) -> dict[str, float]:
+            return {"minimum": float(bounds[0]), "maximum": float(bounds[1])}
+
+        return {
+            "expected_application_id": self.application_id, "expected_dev_eui": self.dev_eui or "any",
+            "after_exclusive": moment(self.after_ms), "before_exclusive": moment(self.before_ms),
+            "expected_storage_events": self.expected_count,
+            "channel_mapping": {"sauna": f"Temp_Channel{self.channels.air_channel}",
+                                "stovepipe": f"Temp_Channel{self.channels.heater_channel}"},
+            "physical_identity": "dev_eui, device_id, exact received_at, frame_counter and raw channels",
+            "frame_counter_only_deduplication": "not used",
+            "sauna_range_c": span(self.air_range_c), "stovepipe_range_c": span(self.heater_range_c),
+        }
+
+
 def row_rules(lines: DataFrame, options: AuditOptions) -> DataFrame:
     """Status and reason of every non-blank line, and the reading of those that may be valid.
 

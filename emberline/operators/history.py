@@ -134,12 +134,37 @@ def history_segments(points: DataFrame, max_gap_ms: float, by: tuple[str, ...] =
     return gap_segments(points, max_gap_ms, (*by, "series"), ("point_ms",))
 
 
+@dataclass(frozen=True)
+class History:
+    """The answer to a history request: its bounds and units, and its points."""
+
+    bounds: HistoryBounds
+    unit: str
+    as_of_ms: int
+    points: DataFrame
+
+    def described(self) -> DataFrame:
+        """The points, each with the request's range, bounds, bucket and units."""
+        facts = {
+            "range": F.lit(self.bounds.range_name), "from": iso_utc(F.lit(self.bounds.from_ms)), "to": iso_utc(F.lit(self.as_of_ms)),
+            "bucket_seconds": F.lit(self.bounds.bucket_ms / 1_000), "unit": F.lit(self.unit),
+            "temperature_unit": F.lit(f"°{self.unit.upper()}"), "rate_unit": F.lit(f"°{self.unit.upper()}/min"),
+        }
+        return self.points.select(*[value.alias(name) for name, value in facts.items()], *self.points.columns)
+
+
+def history_request(readings: DataFrame, range_name: str | None, as_of_ms: int, cfg: RuntimeConfig,
+                    unit: str | None = None, by: tuple[str, ...] = ()) -> History:
+    """A whole request over readings that carry their rates: any range name, any unit name."""
+    bounds, known = HistoryBounds.of(readings, range_name, as_of_ms, cfg), N.requested_unit(unit)
+    points = to_long_form(downsample(readings, bounds, by), known, by)
+    return History(bounds, known, as_of_ms, history_segments(points, bounds.max_gap_ms(cfg), by).drop("point_ms"))
+
+
 def history(readings: DataFrame, range_name: str | None, as_of_ms: int, cfg: RuntimeConfig,
             unit: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Long-form history points of readings that carry their rates."""
-    bounds = HistoryBounds.of(readings, range_name, as_of_ms, cfg)
-    points = to_long_form(downsample(readings, bounds, by), N.requested_unit(unit), by)
-    return history_segments(points, bounds.max_gap_ms(cfg), by).drop("point_ms")
+    return history_request(readings, range_name, as_of_ms, cfg, unit, by).points
 
 
 def history_readouts(points: DataFrame, unit: str = "f") -> DataFrame:

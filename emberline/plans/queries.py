@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberline.functions import envelope as E
 from emberline.functions import moments, numeric as N
 from emberline.operators import (
-    audit as A, current as C, dedupe as D, heat, history as H, months, normalize, rates as R,
+    audit as A, constraints, current as C, dedupe as D, heat, history as H, months, normalize, rates as R,
     sessions as S,
 )
 from emberline.plans import telemetry as T
 from emberline.session import prepare, shared_folder
 from emberline.sources import messages as M, pages
-from emberline.sources.sinks import insert_if_absent
+from emberline.sources.baseline import baseline_document
+from emberline.sources.sinks import export_readings, insert_if_absent, publish_audit, published
 from emberline.streaming.devices import device_stream, sessions_of
 from emberline.streaming import ingest as streams
 from emberline.streaming.ingest import downsample_stream, latest_stream
@@ -245,6 +247,21 @@ def history_readouts(spark, sf_dir):
         "temperature_readout", "rate_readout")
 
 
+# Requests as they come: range and unit names, known or not.
+REQUESTS = (("1h", "C"), ("3h", "f"), ("12h", "c"), ("90d", "kelvin"), (None, None))
+
+
+@query
+def history_requests(spark, sf_dir):
+    """Whole requests a day before the end of the table, with their bounds, buckets and units."""
+    as_of = AS_OF - H.DAY_MS
+    near = T.readings(spark, sf_dir, as_of - H.DAY_MS - CFG.window_ms, as_of + 1)
+    rated = R.with_rates(near, CFG, ARRIVAL)
+    answers = [H.history_request(rated, name, as_of, HISTORY, unit).described().withColumn("request", F.lit(n))
+               for n, (name, unit) in enumerate(REQUESTS)]
+    return reduce(DataFrame.unionByName, answers)
+
+
 # Current state --------------------------------------------------------------------------------
 
 def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,6 +542,69 @@ def source_file_summary(spark, sf_dir):
     return files.select(_page_number(F.col("path")).alias("page"), "sha256", "json_lines", "blank_lines")
 
 
+@query
+def published_audit(spark, sf_dir):
+    """The manifest that is published: an unclean version, replaced by a clean one."""
+    folder = shared_folder(spark, "published")
+    for flawed in (True, False):
+        publish_audit(_audit(spark, sf_dir, flawed), folder)
+    replay = published(spark, folder, "replay").agg(F.count("*").alias("replay_lines"))
+    manifest = published(spark, folder, "manifest").withColumn("_one", F.lit(1))
+    checked = F.col("validation")
+    return manifest.join(replay.withColumn("_one", F.lit(1)), "_one").select(
+        "schema_version", "storage_events", "valid", "live_overlaps", "duplicates", "errors", "replay_envelopes", "replay_lines",
+        "first_observed_at", checked.expected_application_id.alias("application"), checked.expected_dev_eui.alias("eui"),
+        checked.after_exclusive.alias("after"), checked.before_exclusive.alias("before"),
+        checked.expected_storage_events.alias("expected"), checked.sauna_range_c.maximum.alias("sauna_maximum"),
+        checked.channel_mapping.sauna.alias("sauna_channel"))
+
+
+@query
+def live_baseline(spark, sf_dir):
+    """The live rows written as a JSON document of result pages and read back."""
+    folder = shared_folder(spark, "baseline")
+    rows = T.live_rows(spark, sf_dir, flawed=True).select("row_no", F.to_json("row").alias("row"))
+    pages_of_rows = rows.groupBy(F.floor(F.col("row_no") / 5_000).alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct("row_no", "row"))).alias("rows"))
+    texts = pages_of_rows.select("page", F.concat(F.lit('{"results":['), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]}")).alias("text"))
+    # A document is one object per page here; the page's number tells the rows of documents apart.
+    texts.repartition("page").write.partitionBy("page").text(folder)
+    read = baseline_document(spark, folder, "page")
+    key = E.opened(F.col("row"), "message_key", "frame_counter")
+    return read.select("page", "row_no", E.text(key.message_key).alias("message_key"), E.integral(key.frame_counter).alias("frame_counter"))
+
+
+@query
+def exported_readings(spark, sf_dir):
+    """A snapshot in each format, read back."""
+    rows = T.readings(spark, sf_dir).select("event_id", "message_key", "observed_at_ms", "sauna_temp_c", "stovepipe_temp_c")
+    back = []
+    for kind in ("parquet", "json", "csv"):
+        folder = shared_folder(spark, kind)
+        export_readings(rows, folder, kind)
+        reader = spark.read.schema(rows.schema).option("header", "true")
+        back.append(reader.format(kind).load(folder).withColumn("format", F.lit(kind)))
+    return reduce(DataFrame.unionByName, back)
+
+
+@query
+def constraint_violations(spark, sf_dir):
+    """Tables with planted faults: readings met twice, second open sessions, sessions nobody measured."""
+    rows = T.readings(spark, sf_dir)
+    twice = rows.unionByName(rows.where("event_id % 50 = 0"))
+    first, last = F.min("observed_at_ms"), F.max("observed_at_ms")
+    devices = rows.groupBy("device_id").agg(first.alias("first"), last.alias("last"))
+    number, open_end = F.col("device_id").cast("bigint"), F.lit(None).cast("bigint")
+
+    def session(start, end):
+        return [F.col("device_id"), start.alias("started_at_ms"), end.alias("ended_at_ms"), F.coalesce(end, start).alias("last_hot_at_ms")]
+
+    sound = devices.select(*session(F.col("first"), F.when(number % 10 != 0, F.col("last"))))
+    second = devices.where(number % 10 == 0).select(*session(F.col("last"), open_end))
+    unmeasured = devices.where(number % 15 == 0).select(*session(F.col("first") - 1, F.col("last")))
+    return constraints.violations(twice, sound.unionByName(second).unionByName(unmeasured))
+
+
 # Streams --------------------------------------------------------------------------------------
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,12 @@ from emberline.functions import envelope as E
 from emberline.schema import BASELINE
 
 
-def baseline_document(spark: SparkSession, path: str) -> DataFrame:
+def baseline_document(spark: SparkSession, path: str, *keep: str) -> DataFrame:
     """A JSON document: an array of rows, or ``results`` arrays (one object or an array of them).
 
-    A document is one VARIANT and so limited in size; a large baseline comes as a table.
+    ``path`` may be a folder of documents, read in parallel: rows are numbered within each, and
+    ``keep`` names the partition columns that tell the documents apart. A document is one VARIANT
+    and so limited in size; a large baseline comes as many documents or as a table.
     """
     document = (spark.read.option("singleVariantColumn", "document").option("multiLine", "true")
                 .json(path))
@@ -25,8 +27,8 @@ def baseline_document(spark: SparkSession, path: str) -> DataFrame:
     rows = F.coalesce(F.when(wrapped, F.flatten(nested)).otherwise(entries),
                       results(F.col("document")))
     wrong = F.raise_error(F.lit("Live baseline must be a JSON row array or have results arrays"))
-    return document.select(F.posexplode(F.coalesce(rows, wrong)).alias("_at", "row")).select(
-        (F.col("_at") + 1).cast("bigint").alias("row_no"), "row")
+    return document.select(*keep, F.posexplode(F.coalesce(rows, wrong)).alias("_at", "row")).select(
+        *keep, (F.col("_at") + 1).cast("bigint").alias("row_no"), "row")
 
 
 def baseline_table(readings: DataFrame, order: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from emberline.operators.dedupe import dedupe_first, new_rows_only
@@ -50,20 +52,58 @@ def insert_if_absent(batch: DataFrame, path: str, order: tuple[str, ...]) -> int
     return counted.get["stored"]
 
 
-def write_manifest(audit, folder: str) -> None:
-    """The audit manifest: records, source files and the one-row summary, always written."""
-    audit.records.write.mode("overwrite").json(f"{folder}/records")
-    audit.summary().write.mode("overwrite").json(f"{folder}/summary")
-    if audit.source_files is not None:
-        audit.source_files.write.mode("overwrite").json(f"{folder}/source_files")
+POINTER = "current"
+
+
+def _point_to(spark: SparkSession, folder: str, version: str) -> None:
+    """Make a version the published one: a small file, written aside and renamed over the old one."""
+    hadoop = spark._jvm.org.apache.hadoop
+    target, aside = hadoop.fs.Path(f"{folder}/{POINTER}"), hadoop.fs.Path(f"{folder}/.{POINTER}-{version}")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(aside, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    overwrite[0] = hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.fs.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration()).rename(aside, target, overwrite)
+
 
+def published_version(spark: SparkSession, folder: str) -> str | None:
+    """The version readers are to use, None before the first is published."""
+    if not path_exists(spark, f"{folder}/{POINTER}"):
+        return None
+    return spark.read.text(f"{folder}/{POINTER}").first().value
 
-def write_replay(audit, folder: str) -> bool:
-    """The replay set, oldest first over the part files; an unclean audit leaves none behind."""
-    replay = audit.replay()
-    ordered = replay.orderBy(*audit.replay_order())
-    ordered.select("envelope").write.mode("overwrite").text(folder)
-    return audit.can_replay()
+
+def publish_audit(audit, folder: str) -> bool:
+    """Write manifest and, after a clean audit, replay set as one new version, then switch to it.
+
+    The manifest is the records, the source files and one row with validation block, summary and
+    baseline coverage. Readers see the old version until all of the new one is there; an unclean
+    audit's version has no replay set, which withdraws the one before. Returns whether there is one.
+    """
+    spark = audit.records.sparkSession
+    version = uuid.uuid4().hex
+    path = f"{folder}/versions/{version}"
+    audit.records.write.json(f"{path}/records")
+    if audit.source_files is not None:
+        audit.source_files.write.json(f"{path}/source_files")
+    validation = F.struct(*[F.lit(value).alias(name) if not isinstance(value, dict) else F.struct(
+        *[F.lit(v).alias(k) for k, v in value.items()]).alias(name) for name, value in audit.options.described().items()])
+    audit.summary().withColumns({"schema_version": F.lit(1), "validation": validation}).write.json(f"{path}/manifest")
+    clean = spark.read.json(f"{path}/manifest").first().errors == 0
+    if clean:
+        replay = audit.entries.where("status = 'valid'").orderBy(*audit.replay_order())
+        replay.select("envelope").write.text(f"{path}/replay")
+    _point_to(spark, folder, version)
+    return clean
+
+
+def published(spark: SparkSession, folder: str, part: str) -> DataFrame | None:
+    """A part of the published version: manifest, records, source_files or replay; None if it has none."""
+    path = f"{folder}/versions/{published_version(spark, folder)}/{part}"
+    if not path_exists(spark, path):
+        return None
+    return spark.read.text(path) if part == "replay" else spark.read.json(path)
 
 
 def export_readings(readings: DataFrame, path: str, format: str = "parquet") -> None:

@@ -2,16 +2,18 @@ import copy
 import hashlib
 import json
 import random
+import tracemalloc
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from messages import EUI, uplink
 
 from emberline.operators import audit as A
 from emberline.operators.claims import turned_away
 from emberline.sources.baseline import baseline_document, baseline_table
-from emberline.sources.pages import page_lines, source_file_summary
-from emberline.sources.sinks import write_manifest, write_replay
+from emberline.sources.pages import file_hashes, page_lines, running_hashes, source_file_summary
+from emberline.sources.sinks import publish_audit, published, published_version
 
 AFTER, BEFORE = (round(datetime(2031, month, 1, tzinfo=timezone.utc).timestamp() * 1000) for month in (3, 4))
 # A line of the archive: the first channel is the heater.
@@ -182,15 +184,70 @@ def test_options(changes):
                           "application_id": "x", **changes})
 
 
-def test_outputs(run, spark, tmp_path):
-    target = tmp_path / "out"
-    clean = run([message()])
-    write_manifest(clean, str(target / "manifest"))
-    assert write_replay(clean, str(target / "replay"))
-    assert spark.read.json(str(target / "manifest/summary")).first().replay_envelopes == 1
-    assert [json.loads(r.value) for r in spark.read.text(str(target / "replay")).collect()] == [message()]
-    assert not write_replay(run([message()], wrap=lambda m: {"data": m}), str(target / "replay"))
-    assert spark.read.text(str(target / "replay")).isEmpty()
+def test_published_versions(run, spark, tmp_path):
+    """Readers see one whole version: a clean one has a replay set, an unclean one withdraws it."""
+    folder = str(tmp_path / "out")
+    assert published_version(spark, folder) is None
+    assert publish_audit(run([message()]), folder)
+    first = published_version(spark, folder)
+    manifest = published(spark, folder, "manifest").first()
+    assert (manifest.replay_envelopes, manifest.errors, manifest.schema_version) == (1, 0, 1)
+    assert manifest.validation.expected_storage_events == 1
+    assert manifest.validation.after_exclusive < manifest.validation.before_exclusive
+    assert manifest.validation.channel_mapping.asDict() == {"sauna": "Temp_Channel2", "stovepipe": "Temp_Channel1"}
+    assert [json.loads(r.value) for r in published(spark, folder, "replay").collect()] == [message()]
+    assert not publish_audit(run([message()], wrap=lambda m: {"data": m}), folder)
+    assert published_version(spark, folder) != first
+    assert published(spark, folder, "replay") is None
+    assert published(spark, folder, "records").first().reason == A.NOT_WRAPPED
+    assert published(spark, folder, "manifest").first().errors == 1
+
+
+def test_an_interrupted_publication_changes_nothing(run, spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "out")
+    publish_audit(run([message()]), folder)
+    before = published_version(spark, folder)
+    monkeypatch.setattr("emberline.sources.sinks._point_to", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        publish_audit(run([]), folder)
+    assert published_version(spark, folder) == before
+    assert published(spark, folder, "manifest").first().storage_events == 1
+
+
+@pytest.mark.parametrize("content", [
+    b"", b"\n", b"a", b"a\n", b"a\r\nb\rc\n\n", b"\xef\xbb\xbfa\nb", b"\xef\xbb\xbfa\n", b"\xef\xbb\xbf", b"\x00\xff\xfe\n\x80",
+    b"x" * 5_000 + b"\n" + b"y" * 700])
+def test_hash_of_any_bytes(spark, tmp_path, content):
+    (tmp_path / "one.ndjson").write_bytes(content)
+    (tmp_path / "two.ndjson").write_bytes(b"other\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        got = {r.file: r.sha256 for r in file_hashes(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {"one.ndjson": hashlib.sha256(content).hexdigest(), "two.ndjson": hashlib.sha256(b"other\n").hexdigest()}
+
+
+def test_hashing_holds_a_chunk_at_a_time():
+    """A file of a gigabyte passes through in a few megabytes."""
+    chunk = b"z" * ((1 << 20) - 1) + b"\n"
+    count = 1 << 10
+
+    def batches():
+        for n in range(count):
+            yield pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array([count << 20]), pa.array([n]), pa.array([chunk], pa.binary())],
+                                             names=["path", "file_size", "at", "bytes"])
+
+    expected = hashlib.sha256()
+    for _ in range(count):
+        expected.update(chunk)
+    tracemalloc.start()
+    (batch,) = running_hashes(batches())
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert batch.column(1)[0].as_py() == expected.hexdigest()
+    assert peak < 8 << 20
 
 
 def test_line_numbers_across_blocks(spark, tmp_path):
