@@ -7,9 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from emberline.config import RuntimeConfig
 from emberline.functions import numeric as N
 from emberline.functions.moments import iso_utc
-from emberline.operators.dedupe import latest_of
 from emberline.operators.rates import ARRIVAL, DEVICE, with_rates
-from emberline.operators.sessions import open_sessions
 from emberline.operators.slices import TIME
 
 
@@ -33,21 +31,25 @@ def current_readings(readings: DataFrame, cfg: RuntimeConfig,
     """The newest reading of each device, with its rates.
 
     Only one rate window before a device's newest reading is looked at: the newest times (a hash
-    aggregate over two columns) are joined to the readings before any rate is computed.
+    aggregate over two columns) are joined to the readings before any rate is computed, and the
+    newest of the few rows that remain is taken in one aggregate.
     """
     newest = readings.groupBy(DEVICE).agg(F.max(TIME).alias("_newest"))
     recent = readings.join(newest, DEVICE).where(
         F.col(TIME) >= F.col("_newest") - F.lit(cfg.window_ms)).drop("_newest")
-    return latest_of(with_rates(recent, cfg, arrival))
+    rated = with_rates(recent, cfg, arrival)
+    rest = [c for c in rated.columns if c != DEVICE]
+    return rated.groupBy(DEVICE).agg(F.max_by(F.struct(*rest), F.struct(TIME, "message_key")).alias("_r")).select(
+        DEVICE, "_r.*").select(*rated.columns)
 
 
-def current_summary(current: DataFrame, sessions: DataFrame, as_of_ms: int, cfg: RuntimeConfig,
+def current_summary(current: DataFrame, active: DataFrame, as_of_ms: int, cfg: RuntimeConfig,
                     devices: DataFrame | None = None) -> DataFrame:
-    """State of each device; ``devices`` adds those without any reading, as offline.
+    """State of each device; ``devices`` names all of them, those without any reading are offline.
 
-    ``current`` holds one row per device, sessions at most one open one: both joins are one to one.
+    ``current`` holds one row per device, ``active`` the devices in a session: both joins are one to one.
     """
-    active = open_sessions(sessions).select(DEVICE, F.lit(True).alias("_active"))
+    active = active.select(DEVICE, F.lit(True).alias("_active"))
     rows = current if devices is None else devices.select(DEVICE).join(current, DEVICE, "left")
 
     def probe(prefix: str) -> Column:

@@ -154,6 +154,19 @@ def detect_sessions(readings: DataFrame, cfg: RuntimeConfig, arrival: tuple[str,
     return _latched(_stretches(_marked(sliced, cfg, arrival), arrival))
 
 
+def active_devices(readings: DataFrame, cfg: RuntimeConfig, arrival: tuple[str, ...] = ARRIVAL) -> DataFrame:
+    """The devices that are in a session: those whose last change of the latch is a set.
+
+    Needs neither rates nor the sessions' metrics; a device leaves one row per task.
+    """
+    look_back = detection_look_back(cfg)
+    narrow = readings.select(DEVICE, TIME, *arrival, HEATER)
+    marked = _marked(spread(narrow, slice_length(look_back, cfg), look_back), cfg, arrival)
+    changes = marked.where("_set OR _reset").select(DEVICE, TIME, "_set")
+    # Of readings of one time the detector sees the first only, so a time has one change.
+    return changes.groupBy(DEVICE).agg(F.max_by("_set", TIME).alias("_set")).where("_set").select(DEVICE)
+
+
 def open_sessions(sessions: DataFrame) -> DataFrame:
     """The newest open session of each device."""
     return sessions.where("ended_at_ms IS NULL").groupBy(DEVICE).agg(

@@ -285,11 +285,11 @@ def current_fleet(spark, sf_dir):
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of all devices; one in seven is also known under a number that never reported."""
-    current = _current(spark, sf_dir)
-    silent = T.events(spark, sf_dir).where("user_id % 7 = 0").select(
-        F.concat(F.lit("silent-"), F.col("user_id").cast("string")).alias("device_id"))
-    devices = current.select("device_id").unionByName(silent.distinct())
-    return C.current_summary(current, _sessions(spark, sf_dir), AS_OF, CFG, devices)
+    name = F.col("user_id").cast("string")
+    names = F.array_compact(F.array(name, F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("silent-"), name))))
+    devices = T.events(spark, sf_dir).select("user_id").distinct().select(F.explode(names).alias("device_id"))
+    active = S.active_devices(T.readings(spark, sf_dir), CFG, ARRIVAL)
+    return C.current_summary(_current(spark, sf_dir), active, AS_OF, CFG, devices)
 
 
 @query
