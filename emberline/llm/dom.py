@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 # How HTML treats these elements.
@@ -20,7 +21,7 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
              "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
           "option": {"select"}}
-DEPTH = 120  # deeper elements are read as part of the element at this depth
+DEPTH = 120  # deeper elements are read as part of the element at this depth, but for those asked for
 
 _TAG = re.compile(r"""<!--|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -51,13 +52,20 @@ class _Open:
             self.node.children.append(Node("#text", texts=[text]))
 
 
-def parse(page: str | None) -> Node:
+def parse(page: str | None, decides: Callable[[str, str], bool] = lambda tag, key: False) -> Node:
+    """The tree of a page; elements that ``decides`` names by tag and key are kept at any depth.
+
+    One such element within another adds nothing below ``DEPTH``, which bounds the depth of the tree.
+    """
     page = page or ""
+    kept = 0  # of the open elements, those beyond the depth
     stack = [_Open("#page", "")]
     swallowed: dict[str, int] = {}
 
     def close(count: int) -> None:
+        nonlocal kept
         for _ in range(count):
+            kept -= len(stack) > DEPTH
             done = stack.pop()
             done.flush()
             node = done.node
@@ -111,13 +119,15 @@ def parse(page: str | None) -> Node:
             close_to({"p"}, BLOCKS - {"p"})
         if tag in CLOSED_BY:
             close_to(CLOSED_BY[tag], SCOPES[tag])
-        if len(stack) >= DEPTH:
-            swallowed[tag] = swallowed.get(tag, 0) + 1
-            stack[-1].flush()
-            continue
         stack[-1].flush()
         found = _ATTRIBUTE.findall(m[3])
-        stack.append(_Open(tag, " ".join(sorted(v.strip("\"'").lower() for _, v in found))))
+        key = " ".join(sorted(v.strip("\"'").lower() for _, v in found))
+        if len(stack) >= DEPTH:
+            if kept >= 2 or not decides(tag, key):
+                swallowed[tag] = swallowed.get(tag, 0) + 1
+                continue
+            kept += 1
+        stack.append(_Open(tag, key))
     close(len(stack) - 1)
     stack[0].flush()
     return _folded(stack[0].node)

@@ -76,6 +76,51 @@ def test_main_text_of_pages(spark):
     assert wrapper.main_text(table.limit(0)).count() == 0
 
 
+KINDS = "page_id long, url string, html string"
+
+
+def test_templates_of_all_pages_decide(spark):
+    """Constant paragraphs of a host are template, wherever they stand; copies of one article are not."""
+    rng = random.Random(9)
+
+    def words(n):
+        return " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+
+    rows, expected = [], {}
+    for i in range(60):
+        title, first, second = words(4), words(30), words(20)
+        rows.append((i, f"http://news.example.com/{i}", page(i, (
+            f"<article><div class='article-header'><h1>{title}</h1></div><p class='byline'>By the staff desk</p><p>{first}</p>"
+            f"<section class='menu-items'><p>{second}</p></section><div class='promo-box'>Buy {i}</div>"
+            f"<div class='after'>Subscribe to our letter</div></article>"))))
+        expected[i] = "\n\n".join((title, first, second))
+    body = words(50)
+    for i in range(100, 120):  # the same article again and again, but for a word
+        rows.append((i, f"http://copies.example.com/{i}", page(i, f"<article><h1>One</h1><p>{body}</p><p>copy {i}</p></article>")))
+        expected[i] = f"One\n\n{body}\n\ncopy {i}"
+    table = spark.createDataFrame(rows, KINDS)
+    for parts in (1, 7):
+        got = {r.page_id: r.text for r in wrapper.main_text(table.repartition(parts)).collect()}
+        assert got == expected
+    # Without a template the landmark would keep what the host repeats.
+    assert "Subscribe" in wrapper.extract(rows[0][2], None)
+
+
+@pytest.mark.parametrize("block", [
+    "<h1 class='entry-header'>Kept words</h1>", "<div class='article-header'><h1>Kept words</h1></div>",
+    "<section class='menu-items'><p>Kept words</p></section>", "<p class='ad-free'>Kept words</p>",
+    "<blockquote class='reply'>Kept words</blockquote>"])
+def test_class_words_of_an_article_drop_nothing(block):
+    assert wrapper.extract(page(1, f"<article>{block}<p>x</p><div class='cookie-notice'>gone</div><div class='ad'>gone</div></article>"),
+                           None) == "Kept words\n\nx"
+
+
+@pytest.mark.parametrize("depth", [1, 100, 125, 400])
+def test_asides_count_at_any_depth(depth):
+    html = "<div>" * depth + "<nav><ul><li>menu entry</li></ul></nav><p>words</p>" + "</div>" * depth
+    assert wrapper.extract(html, None) == "words"
+
+
 def test_matching_is_the_largest_order_preserving_one():
     left = parse("<div><h1>a</h1><ul><li>x</ul><p>b</div><section><p>c</section>")
     right = parse("<div><p>z</div><section><p>c</section><div><h1>a</h1><p>b</div>")
