@@ -56,8 +56,8 @@ CHUNK_BYTES = 1 << 18
 BYTE_ORDER_MARK = b"\xef\xbb\xbf"
 
 
-def chunks_of_lines(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Lines of splits (path, block, bytes) put together, each with its line feed, into chunks of about ``size`` bytes."""
+def chunks_of_lines(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES, end: bytes = b"\n") -> Iterator[pa.RecordBatch]:
+    """Lines of splits (path, block, bytes) put together, each with its end, into chunks of about ``size`` bytes."""
     held: list[bytes] = []
     place, at, length = None, 0, 0
 
@@ -73,7 +73,7 @@ def chunks_of_lines(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES)
                 yield chunk()
                 held, length, at = [], 0, at + 1
             place = (path, block)
-            held += (line.as_buffer().to_pybytes(), b"\n")
+            held += (line.as_buffer().to_pybytes(), end)
             length += len(held[-2]) + 1
     if held:
         yield chunk()

@@ -11,7 +11,7 @@ from messages import EUI, uplink
 
 from emberline.operators import audit as A
 from emberline.operators.claims import turned_away
-from emberline.sources.baseline import baseline_document, baseline_table
+from emberline.sources.baseline import RowScanner, baseline_document, baseline_table
 from emberline.sources.pages import file_hashes, page_lines, running_hashes, source_file_summary
 from emberline.sources.sinks import publish_audit, published, published_version
 
@@ -299,6 +299,70 @@ def test_baseline_shapes(spark, tmp_path):
         rows({"rows": []})
 
 
+def scanned(document, size):
+    """The rows that the scanner finds in a text that comes in chunks, None for a wrong shape."""
+    scanner, found = RowScanner(), {"entry": [], "inner": []}
+    # As from the reader: every piece gets an end, the last one too.
+    text = document if document.endswith("}") else document + "}"
+    for at in range(0, len(text), size):
+        for kind, number, item in scanner.feed(text[at:at + size]):
+            found[kind].append(item)
+            assert number == len(found[kind])
+    shape = scanner.shape()
+    return shape and [json.loads(x) for x in found[shape]]
+
+
+@pytest.mark.parametrize("size", [1, 7, 10_000])
+def test_scanning_equals_parsing(size):
+    rng = random.Random(size)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 5)
+        if kind < 5:
+            return rng.choice([None, True, 1.5, -3, "", "a,b", 'q"}]', "back\\", "results", "{[:", "é\n"])
+        if kind == 5:
+            return [value(depth - 1) for _ in range(rng.randrange(3))]
+        return {rng.choice(["results", "a", "b}"]): value(depth - 1) for _ in range(rng.randrange(3))}
+
+    def rows(document):
+        entries = document if isinstance(document, list) else [document]
+        if all(isinstance(e, dict) and isinstance(e.get("results"), list) for e in entries):
+            return [r for e in entries for r in e["results"]]
+        return entries if isinstance(document, list) else None
+
+    for _ in range(400):
+        document = rng.choice([
+            [value(3) for _ in range(rng.randrange(4))],
+            {"meta": value(2), "results": [value(2) for _ in range(rng.randrange(4))], "ok": value(1)},
+            [{"results": [value(2) for _ in range(rng.randrange(3))], "x": value(2)} for _ in range(rng.randrange(3))],
+            {"a": value(2)}])
+        text = json.dumps(document, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        expected = rows(document)
+        got = scanned(text, size)
+        if isinstance(document, list) and expected is document:
+            # Entries that have results lose what these hold when they are rows themselves.
+            assert len(got) == len(document)
+            assert all(g == d for g, d in zip(got, document) if not (isinstance(d, dict) and isinstance(d.get("results"), list)))
+        else:
+            assert got == expected
+    for bad in ("", "5", "[1, 2", '{"results": [1}', "[1] x", '{"rows": []}'):
+        assert scanned(bad, size) is None
+
+
+def test_scanning_holds_a_row_at_a_time():
+    """A document of some hundred megabytes, on one line, passes through in a few."""
+    row = json.dumps({"message_key": "k", "text": "x" * 900}) + ", "
+    scanner, count = RowScanner(), 0
+    tracemalloc.start()
+    list(scanner.feed('{"results": ['))
+    for _ in range(400):
+        count += sum(1 for _ in scanner.feed(row * 300))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert count == 120_000
+    assert peak < 8 << 20
+
+
 def test_baseline_from_a_table(spark):
     rows = [("k", "field", "kiln-3", EUI, "2031-03-05T01:00:00Z", 1, 1.0, None)]
     table = spark.createDataFrame(rows, "message_key string, application_id string, device_id string, "
