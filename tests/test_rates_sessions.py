@@ -8,7 +8,7 @@ from emberline import RuntimeConfig
 from emberline.operators import slices
 from emberline.operators.rates import gap_segments, with_rates
 from emberline.operators.sessions import (
-    any_open_session, detect_sessions, open_sessions, sessions_since,
+    active_devices, any_open_session, detect_sessions, open_sessions, sessions_since,
 )
 from emberline.schema import devices_with_two_open_sessions
 
@@ -131,6 +131,16 @@ def test_stored_rates_give_the_same_sessions(spark):
     assert sorted(stored.collect()) == sorted(computed.collect())
 
 
+@pytest.mark.parametrize("seed", [21, 22])
+def test_active_devices_are_those_with_an_open_session(spark, seed):
+    rng = random.Random(seed)
+    cfg = RuntimeConfig(start_samples=seed % 2 + 1, end_hold_min=20)
+    readings = frame(spark, {f"d{n}": random_series(rng, ties=True) for n in range(80)})
+    active = {r.device_id for r in active_devices(readings, cfg).collect()}
+    assert active == {r.device_id for r in open_sessions(detect_sessions(readings, cfg)).collect()}
+    assert 0 < len(active) < 80
+
+
 def test_open_and_recent_sessions(spark):
     sessions = detect_sessions(frame(spark, {
         "closed": [(0, None, 80.0), (5 * MINUTE, None, 80.0), (60 * MINUTE, None, 10.0)],
