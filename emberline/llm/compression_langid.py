@@ -7,7 +7,10 @@ Every block of the whole text is compressed with each dictionary. The smallest s
 
 The score is the margin between the best and the second-best language, 1 - best / second, where
 both sums are taken net of what an empty block costs; it lies between 0 and 1. A text is rejected
-if it has no letter (``und``, score 0) or a margin under ``MARGIN``.
+if it has no letter (``und``, score 0), a margin under ``MARGIN``, or, where no dictionary explains
+it, a margin that chance gives as well: sizes of n bytes of noise differ by a few times the root of
+n, so a text whose best share of its bytes is over ``SHARE`` + ``SHORT`` / sqrt(n) needs a margin of
+``NOISE`` / sqrt(n), ``NOISE_FLOOR`` at least. Texts that a dictionary does explain, as those in two languages, need ``MARGIN``.
 
 Fitting uses a bounded sample: at most ``SAMPLE_DOCS`` different labelled documents of each language,
 those of the smallest hash of the id, and the ``MOST_LANGUAGES`` languages with most documents; the
@@ -24,6 +27,7 @@ without any labelled text every prediction is ``und``.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,6 +48,12 @@ BLOCK = 1 << 10
 # Lower levels look up too few places of a dictionary to tell languages apart.
 LEVEL = 5
 MARGIN = 0.002
+# Of texts of a learned language 99.5 % shrink below this share of their n bytes, random letters never do.
+SHARE, SHORT = 0.47, 2.0
+# About the widest margin of random letters, times the root of their bytes.
+NOISE = 0.7
+# Dictionaries differ a little for noise of any length.
+NOISE_FLOOR = 0.015
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANKS = {c: " " for c in range(128) if not chr(c).isalpha()}
 
@@ -110,13 +120,16 @@ class Compressors:
         """(language, score, rejected)."""
         if not text or not _LETTER.search(text) or not self.each:
             return UNKNOWN, 0.0, True
-        sizes = self.sizes(letters(text).encode("utf-8", "replace"))
+        plain = letters(text).encode("utf-8", "replace")
+        sizes = self.sizes(plain)
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.languages[0], 1.0, False
         second = min(s for i, s in enumerate(sizes) if i != best)
         score = min(1.0, max(0.0, 1 - sizes[best] / second)) if second > 0 else 0.0
-        return self.languages[best], score, score < MARGIN
+        root = math.sqrt(len(plain))
+        explained = sizes[best] <= (SHARE + SHORT / root) * len(plain)
+        return self.languages[best], score, score < (MARGIN if explained else max(NOISE_FLOOR, NOISE / root))
 
 
 RESULT = ("lang_pred", "lang_score", "lang_rejected")

@@ -35,6 +35,19 @@ def test_language_of_held_out_texts(documents, no_documents):
     assert compression_langid.learn(no_documents) == []
 
 
+@pytest.mark.parametrize("letters", ["bcdfghjklmnpqrstvwxz", "abcdefghijklmnopqrstuvwxyz"])
+def test_letters_of_no_language_are_rejected(spark, letters):
+    """Random letters of any length are rejected, held-out texts of the languages are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    compressors = compression_langid.Compressors(compression_langid.learn(docs.where(~compression_langid.held_out())))
+    rng = random.Random(5)
+    junk = [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)) for n in (10, 40, 150, 600) for _ in range(50)]
+    junk += [" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(4000)) for _ in range(3)]
+    assert sum(not compressors.decide(t)[2] for t in junk) < 0.05 * len(junk)
+    clean = [r.text for r in docs.where(compression_langid.held_out() & F.col("lang").isNotNull() & (F.length("text") >= 100)).collect()]
+    assert len(clean) > 100 and sum(compressors.decide(t)[2] for t in clean) <= 0.01 * len(clean)
+
+
 def test_language_sample_is_bounded(spark, documents):
     """One id many times is one document of the sample; the plan broadcasts nothing by force."""
     one = documents.where("doc_id = 5").crossJoin(spark.range(600)).drop("id")
