@@ -129,17 +129,35 @@ def test_matching_is_the_largest_order_preserving_one():
 
 
 def talk(rng):
+    """Talks with quotations of several levels, wrapped anew, changed, or of messages that are missing."""
     rows = []
     for c in range(25):
         texts = []
         for t in range(rng.randint(1, 20)):
-            own = [f"Line {rng.randint(0, 40)} of, été!" for _ in range(rng.randint(0, 3))]
+            own = [rng.choice([f"Line {rng.randint(0, 40)} of, été!", "", "I agree."]) for _ in range(rng.randint(0, 4))]
             if texts and rng.random() < 0.7:
-                mark = rng.choice([">", "> "])
-                own = rng.choice([[], ["On Monday X wrote:"]]) + [mark + x for x in rng.choice(texts).split("\n")] + own
+                mark, source = rng.choice([">", "> "]), rng.choice(texts)
+                if rng.random() < 0.3:
+                    source = source.replace(" of, ", rng.choice([" of\n", " some, "]))
+                own = rng.choice([[], ["On Monday X wrote:"]]) + [mark + x for x in source.split("\n")] + own
             texts.append("\n".join(own))
-            rows.append((c, t, rng.choice(["user", "assistant"]), texts[-1] if rng.random() < 0.95 else None))
-    return rows + [(None, 1, "user", "> a"), (5, None, "user", "x"), (3, 1, "user", "> > deep\n>"), (900, 0, None, "")]
+            rows.append((c, t, rng.choice(["user", "assistant"]), texts[-1] if rng.random() < 0.9 else None))
+    return rows + [(None, 1, "user", "> a"), (5, None, "user", "x"), (3, 1, "user", "> > deep\n>"), (900, 0, None, ""), rows[40], rows[40]]
+
+
+def test_passages_and_levels_link(spark):
+    first = "The quick brown fox jumps over it.\nAnd back again, slowly."
+    rows = [
+        (1, 0, first), (1, 1, None), (1, 2, "> I agree\n>> The quick brown fox jumps over it.\n>> And back again, slowly.\nMe too"),
+        (2, 0, "one line that is wrapped anew"), (2, 1, "> one line that\n> is wrapped anew\nyes"),
+        (3, 0, first), (3, 1, "> The quick brown fox jumps over it. And back again, slowly.\n\nok"),
+        (4, 0, "Yes.\nthe longer passage of them"), (4, 1, "Yes."), (4, 2, "> Yes.\n> the longer passage of them\nwell"),
+        (4, 3, "> well\n>> Yes.\n>> the longer passage of them\nso"), (5, 0, ">" * 20_000 + " x\n" * 20_000)]
+    got = {(r.conv_id, r.turn): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn(
+        "role", F.lit("user"))).collect()}
+    assert {k: r.reply_to for k, r in got.items() if r.reply_to is not None} == {(1, 2): 0, (2, 1): 0, (3, 1): 0, (4, 2): 0, (4, 3): 2}
+    assert got[1, 2].originals == "2:0" and got[4, 3].originals == "1:2,2:0"
+    assert [got[4, t].reply_order for t in range(4)] == [1, 4, 2, 3] and got[4, 3].depth == 2 and got[5, 0].max_level == 20_000
 
 
 def test_answers_equal_sql(spark, monkeypatch):
@@ -152,7 +170,7 @@ def test_answers_equal_sql(spark, monkeypatch):
     database.register("conversations", conversations)
     expected = database.sql(f"SELECT {', '.join(got.columns)} FROM ({quotes.SQL})").fetchall()
     found = [tuple(r) for r in got.collect()]
-    assert sum(r[3] is not None for r in found) > 50 and max(r[5] for r in found) > 2
+    assert sum(r[3] is not None for r in found) > 50 and max(r[6] for r in found) > 2 and sum("," in r[4] for r in found) > 10
     assert sorted(found, key=repr) == sorted(expected, key=repr)
     assert quotes.link(table.limit(0)).count() == 0
 
