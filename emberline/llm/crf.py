@@ -65,8 +65,16 @@ def train(features: np.ndarray, labels: np.ndarray, length: np.ndarray, allowed:
     n_labels = len(first)
     known = np.unique(features)
     index = rows_of(known, features)
+    # The tokens of each feature, one feature after the other.
+    order = np.argsort(index, axis=None, kind="stable")
+    holder = order // index.shape[1]
+    held, starts = np.unique(index.ravel()[order], return_index=True)
     width, count = int(length.max()), len(length)
+    # Longest sequences first: at each place only those that go on.
     begin = np.cumsum(length) - length
+    longest = np.argsort(-length, kind="stable")
+    begin, length = begin[longest], length[longest]
+    still = np.searchsorted(-length, -np.arange(width + 1), "left")
     place = np.minimum(begin[:, None] + np.arange(width), len(features) - 1)
     real = np.arange(width) < length[:, None]
     gold = np.eye(n_labels)[labels]
@@ -85,22 +93,23 @@ def train(features: np.ndarray, labels: np.ndarray, length: np.ndarray, allowed:
         ahead = np.zeros((count, width, n_labels))
         ahead[:, 0] = start + ban_first + emit[:, 0]
         for t in range(1, width):
-            ahead[:, t] = _logsum(ahead[:, t - 1, :, None] + full_step, 1) + emit[:, t]
+            m = still[t]
+            ahead[:m, t] = _logsum(ahead[:m, t - 1, :, None] + full_step, 1) + emit[:m, t]
         after = np.zeros((count, width, n_labels))
         for t in range(width - 2, -1, -1):
-            value = _logsum(full_step + (emit[:, t + 1] + after[:, t + 1])[:, None, :], 2)
-            after[:, t] = np.where(real[:, t + 1, None], value, 0)
+            m = still[t + 1]
+            after[:m, t] = _logsum(full_step + (emit[:m, t + 1] + after[:m, t + 1])[:, None, :], 2)
         total = _logsum(ahead[np.arange(count), length - 1], 1)
         share = np.exp(ahead + after - total[:, None, None]) * real[:, :, None]
         pair = np.zeros((n_labels, n_labels))
         for t in range(1, width):
-            joint = ahead[:, t - 1, :, None] + full_step + (emit[:, t] + after[:, t])[:, None, :] - total[:, None, None]
-            pair += (np.exp(np.minimum(joint, 0)) * real[:, t, None, None]).sum(axis=0)
+            m = still[t]
+            joint = ahead[:m, t - 1, :, None] + full_step + (emit[:m, t] + after[:m, t])[:, None, :] - total[:m, None, None]
+            pair += np.exp(np.minimum(joint, 0)).sum(axis=0)
         miss = np.zeros((len(known) + 1, n_labels))
-        error = gold - share[real]
-        for column in index.T:
-            np.add.at(miss, column, error)
-        miss[-1] = 0
+        error = gold.copy()
+        error[place[real]] -= share[real]
+        miss[held] = np.add.reduceat(error[holder], starts, axis=0)
         slopes = [miss, step_gold - pair, first_gold - share[:, 0].sum(axis=0)]
         for part, slope, square in zip(parts, slopes, squares):
             slope = slope - decay * part

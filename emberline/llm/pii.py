@@ -2,7 +2,8 @@
 
 The patterns find e-mail addresses, IPv4 addresses, card numbers (14 to 19 digits, Luhn) and phone
 numbers (+, 10 to 15 digits); their matches always stay. The tagger adds what no pattern covers,
-such as phone numbers without a plus sign.
+such as phone numbers without a plus sign, addresses of letters beyond ASCII, IPv6 and cards in
+groups by dots. Its quality on rows it never learned from is ``quality()``.
 
 The tagger is a linear-chain conditional random field over tokens between blanks. Only tokens with
 a digit or an @ can be part of personal data, all others are outside by definition; so a text falls
@@ -11,8 +12,9 @@ rest. Features are hashes of the shapes (runs of upper, lower, digits; other cha
 are) and digit counts of a token and its neighbours and the word before. The field is trained by
 the driver from a small labelled table and reaches the tasks as a few arrays of its size.
 
-An added span is kept if it does not touch a pattern's span and holds what its kind requires: an
-@, four numbers up to 255, 14 to 19 digits passing Luhn, or 7 to 15 digits in at least two groups.
+An added span is kept if it does not touch a pattern's span and holds what its kind requires: an @
+between a name and a host of any letters, an address of version 4 or 6, 13 to 19 digits passing
+Luhn (in groups by dots, slashes, too), or 7 to 15 digits in at least two groups.
 
 Defined cases: null and empty texts have no spans; repeated rows give repeated results; positions
 are code points, ends exclusive.
@@ -20,6 +22,7 @@ are code points, ends exclusive.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from emberline.llm.crf import Crf, train
-from emberline.llm.pii_labels import LABELLED
+from emberline.llm.pii_labels import HELD_OUT, LABELLED
 from emberline.llm.words import SPACED_BYTES, U64, by_bytes, find_words, light_batches, mix, spans_hash, text_bytes, unused
 
 KINDS = ("email", "ip", "card", "phone")
@@ -152,24 +155,31 @@ def candidate_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return words.begin[chosen], words.end[chosen], features, np.diff(np.append(np.flatnonzero(starts), len(chosen)))
 
 
-def learn(labelled: list[str] | None = None) -> Crf:
-    """The tagger, from texts in which {kind|span} marks personal data."""
+def unmarked(labelled: list[str]) -> tuple[list[str], list[list[tuple[int, str, int]]]]:
+    """The texts of a labelled table, and the spans (begin, kind, end) in code points that it marks."""
     texts, marks = [], []
-    for row in labelled or LABELLED:
+    for row in labelled:
         text, spans = "", []
         for plain, kind, span in re.findall(r"([^{]*)(?:\{(\w+)\|([^}]*)\})?", row):
             text += plain
             if kind:
-                spans.append((len(text.encode()), len((text + span).encode()), kind))
+                spans.append((len(text), kind, len(text + span)))
                 text += span
         texts.append(text)
         marks.append(spans)
+    return texts, marks
+
+
+def learn(labelled: list[str] | None = None) -> Crf:
+    """The tagger, from texts in which {kind|span} marks personal data."""
+    texts, marks = unmarked(labelled or LABELLED)
     column = pa.array(texts)
     _, offsets = text_bytes(column)
     begin, end, features, length = candidate_runs(column)
     labels = np.zeros(len(begin), np.int64)
     for row, spans in enumerate(marks):
-        for low, high, kind in spans:
+        for low, kind, high in spans:
+            low, high = (len(texts[row][:x].encode()) for x in (low, high))
             inside = np.flatnonzero((begin < offsets[row] + high) & (end > offsets[row] + low))
             labels[inside] = LABELS.index(f"I-{kind}")
             labels[inside[:1]] = LABELS.index(f"B-{kind}")
@@ -177,17 +187,24 @@ def learn(labelled: list[str] | None = None) -> Crf:
     return train(features, labels, length, allowed, np.array([x[0] != "I" for x in LABELS]))
 
 
+def _address(span: str) -> bool:
+    try:
+        return bool(ipaddress.ip_address(span))
+    except ValueError:
+        return False
+
+
 def _plausible(kind: int, span: str) -> bool:
     digits = re.sub(r"[^0-9]", "", span)
     if kind == 0:
-        return bool(re.fullmatch(r"[^@]+@[^@]+\.[^@]+", span))
+        return bool(re.fullmatch(r"[^@\s]+@\w[^@\s]+", span))
     if kind == 1:
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", span)) and all(int(p) <= 255 for p in span.split("."))
+        return _address(span)
     if kind == 2:
-        return 14 <= len(digits) <= 19 and luhn(digits)
+        return 13 <= len(digits) <= 19 and luhn(digits) and not re.search(r"[^0-9 ./-]", span)
     groups = re.findall(r"[0-9]+", span)
-    return (7 <= len(digits) <= 15 and len(groups) >= 2 and not re.search(r"[^0-9 ().+-]", span)
-            and not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", span))
+    return (7 <= len(digits) <= 15 and len(groups) >= 2 and not re.search(r"[^0-9 ()./+-]", span)
+            and not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]+/[0-9]+/[0-9]+", span))
 
 
 def _trimmed(text: str, begin: int, end: int) -> tuple[int, int]:
@@ -234,22 +251,35 @@ def _found(text: pa.Array, model: Crf) -> tuple[list[list[tuple[int, int, int]]]
     return base, every
 
 
+def quality(model: Crf | None = None, held_out: list[str] | None = None) -> dict[str, float]:
+    """Precision and recall of all spans, and recall of the patterns alone, on held-out labelled rows."""
+    texts, marks = unmarked(held_out or HELD_OUT)
+    base, every = _found(pa.array(texts), model or learn())
+    wanted, got, plain = ({(i, b, KINDS[k] if isinstance(k, int) else k, e) for i, row in enumerate(rows) for b, k, e in row}
+                          for rows in (marks, every, base))
+    return {"precision": len(got & wanted) / max(1, len(got)), "recall": len(got & wanted) / max(1, len(wanted)),
+            "patterns_recall": len(plain & wanted) / max(1, len(wanted))}
+
+
 def find_personal_data(docs: DataFrame, model: Crf | None = None) -> DataFrame:
-    """``docs`` with pii_base and pii_spans: arrays of (begin, kind, end), in order."""
+    """``docs`` with pii_base and pii_spans: arrays of (begin, kind, end), in order.
+
+    Where ``docs`` has columns of these names, underscores are added to the new ones.
+    """
     model = model or learn()
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), [unused(n, docs) for n in ("pii_base", "pii_spans")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
         for batch in by_bytes(batches):
             named = [pa.array([[{"begin": b, "kind": KINDS[k], "end": e} for b, k, e in row] for row in rows], kind)
                      for rows in _found(batch.column(at), model)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *named], names=[*batch.schema.names, "pii_base", "pii_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *named], names=[*batch.schema.names, *names])
 
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("kind", T.StringType()),
                                      T.StructField("end", T.LongType())]))
     return light_batches(docs).mapInArrow(scan, T.StructType(
-        [*docs.schema.fields, T.StructField("pii_base", span), T.StructField("pii_spans", span)]))
+        [*docs.schema.fields, *(T.StructField(n, span) for n in names)]))
 
 
 def redact(docs: DataFrame, model: Crf | None = None) -> DataFrame:

@@ -85,4 +85,154 @@ tracking 1Z9999999999
 zip 90210 or 10115
 call 3 people in 2 days
 phone 12 has 3 cameras
+tel {phone|030 5550123}
+tel {phone|0171 5550188} or by mail
+telefon: {phone|0221 555 0146}
+tel. {phone|040/5550177}
+ring {phone|555-0119} after six
+ref {phone|555-0164}
+call {phone|555-0133} now
+dial {phone|1-800-555-0142}
+number {phone|1-888-555-0120}, toll free
+fax: {phone|0511/555-0190}
+contact {phone|020 7946 0155}
+mobile {phone|07700 900123} any day
+cell {phone|(305)555-0171}
+phone number {phone|555 0182}
+phone number is {phone|716 555 0110}
+my number is {phone|555-0158}, call me
+call us on {phone|01632 960101}
+llame al {phone|91 555 01 23}
+appelez le {phone|01 55 50 12 99}
+tel {phone|06 55 50 13 44} le soir
+anruf unter {phone|089 5550 234}
+hotline {phone|0800 555 0111}
+text me at {phone|917-555-0102}
+sms to {phone|0049 30 5550166}
+{phone|(702) 555-0135}, {phone|(702) 555-0136}
+write {email|jürgen@müller.example} please
+mail an {email|rené.dupont@société.example}
+an {email|søren@ørsted.example.dk}, danke
+{email|josé@correo.example} escribe
+e-mail {email|o'hara@example.org} soon
+{email|anna&bob@home.example} lorem
+send to {email|root@localhost}
+mail {email|admin@intranet}, thanks
+ask {email|info@münchen.example} ipsum
+({email|zoë@café.example})
+host {ip|2001:db8::17} is down
+ping {ip|fe80::1ff:fe23:4567:890a} again
+from {ip|2001:db8:85a3::8a2e:370:7334} denied
+address {ip|2001:db8:0:1::5}, port 80
+login {ip|fd12:3456:789a::1} ok
+lorem {ip|2001:db8::a:9} ipsum
+card {card|4111.1111.1111.1111} was used
+visa {card|4012.8888.8888.1881}
+card {card|5555/5555/5555/4444} expired
+mastercard {card|5105.1051.0510.5100} ok
+paid with {card|4222222222222} on Monday
+lorem {card|4000.0566.5566.5556} ipsum
+on page 030 1234567 words
+the sum of 555-0100 is negative
+chapter 12-15 and 20-25
+version 10.2.3-4 and 1.2.3.4.5
+section 555-12 of the code
+order no. 555-0100-77 shipped
+order 4111.1111.1111.1112 shipped
+part 030-1234567 is in stock
+item 5550123 of 7000000
+in 030 cases of 1234567
+from 1914-1918 and 1939-1945
+times 10:45 and 11:30:15
+at 12:00:00 and 00:15
+mac 00:1b:44:11:3a:b7
+hash a1b2:c3d4
+scores 3:2 and 1:0
+aspect 4:3, 16:10, 21:9
+verse 3:16 of 1:1
+ratio 1:1000
+3 @ 5 each
+@anna1 and @bob2
+price @ 3.50
+in 1999/2000 and 2001/02
+on 12/05/2019 or 05/12/19
+1/2 cup, 3/4 spoon
+24/7 service
+grew 12 345 to 67 890
+12 345 678 people
+sum 1.234.567 eur
+1.234.567,89 in total
+figures 100 200 300
+years 1990 1995 2000
+id 555 of 0123
+building 555 room 0123
+lot 555-0100 of the auction
+file 030-555.txt
+lorem 4970 ipsum 12 dolor
+lorem 123-456 ipsum
+lorem 2021 555 dolor
+dolor 12-34-56 sit
+sit 20 30 40 amet
+""".strip().split("\n")
+
+# Rows of the same kind that the tagger never learns from.
+HELD_OUT = """
+please call {phone|555-0147} tonight
+tel {phone|030 1234567}
+ref {phone|555-0100}
+phone {phone|0231 5550144}, ask for her
+ring me: {phone|(212)555-0188}
+mobile {phone|07700 900456} is best
+contact {phone|1-800-555-0175} today
+fax {phone|(415) 555-0126}
+fax: {phone|0621/5550133}
+call us on {phone|01632 960744} daily
+text me at {phone|646-555-0107}
+my number is {phone|555-0161}
+tel {phone|06 55 50 17 28} demain
+hotline {phone|0800 555 0199}
+dial {phone|312.555.0164} first
+whatsapp {phone|+44 7700 900321}
+write to {email|müller@exämple.de} please
+mail {email|françois@école.example}
+an {email|björn@håndværk.example.no}, danke
+{email|peña@niño.example} escribe
+send to {email|backup@localhost}
+e-mail {email|d'arcy@example.net} soon
+her address {email|mary.k@mail.example.co} lorem
+host {ip|2001:db8::42} is up
+ping {ip|fe80::2aa:ff:fe9a:4ca2} again
+from {ip|2001:db8:1234::7:1} denied
+login from {ip|203.0.113.77}, ok
+lorem {ip|2001:db8::b:3} ipsum
+visa {card|4556.7375.8689.9855}
+card {card|4485.2757.4230.8327} was used
+paid with {card|4716 1080 9990 4417} again
+mastercard {card|5425.2334.3010.9903} ok
+on page 040 7654321 words
+in 2003 and 2007 about 14 of 520
+order no. 555-0199-31 shipped
+from 1870-1871 and 1914-1918
+times 09:15 and 17:45:30
+mac 00:0c:29:4f:8e:35
+verse 4:12 of 2:3
+5 @ 7 each
+twitter @some77 said so
+on 07/11/2018 or 11/07/18
+grew 98 765 to 123 456
+45 678 901 people
+order 4556.7375.8689.9856 shipped
+room 512, floor 5, building 9
+isbn 978-0-306-40615-7 is rare
+serial 8765 4321 was replaced
+version 4.15.3 replaces 4.14.12
+figures 150 250 350
+the code 3b5790b897549d620aedfc0705a565f9aa is secret
+id 2f14e45f-ceea-467f-a0e6-36dabe3c1f9c
+row 9 8 7 6 5 4 3 2 1
+sum 7654321.98 eur
+commit 4e9329b fixed bug 2291
+lorem 654-321 ipsum
+building 512 room 0199
+between 2010-2015 sales fell by 7.5 %
 """.strip().split("\n")

@@ -174,6 +174,24 @@ def test_tagger_learns_its_table_and_leaves_plain_numbers_alone():
     assert 1 in found and 2 not in found and 3 not in found
 
 
+def test_tagger_finds_what_the_patterns_miss():
+    """On rows it never learned from; base spans stay."""
+    model = pii.learn()
+    found = pii.quality(model)
+    assert found["patterns_recall"] < 0.2 and found["recall"] > 0.8 and found["precision"] > 0.9
+    texts = ["mail müller@exämple.de now", "ref 555-0100", "tel 030 1234567", "card 4111.1111.1111.1111 used", "on page 030 1234567 words", None, ""]
+    base, every = pii._found(pa.array(texts), model)
+    assert not any(base)
+    assert [[(pii.KINDS[k], t[b:e]) for b, k, e in row] for t, row in zip(texts, every)] == [
+        [("email", "müller@exämple.de")], [("phone", "555-0100")], [("phone", "030 1234567")], [("card", "4111.1111.1111.1111")], [], [], []]
+
+
+def test_personal_data_of_a_table_with_the_same_names(spark, documents):
+    table = documents.limit(5).withColumn("pii_base", F.lit(1)).withColumn("pii_spans", F.lit("x"))
+    found = pii.find_personal_data(table)
+    assert found.columns == [*table.columns, "pii_base_", "pii_spans_"] and found.count() == 5
+
+
 def test_viterbi_equals_all_paths():
     import itertools
     rng = np.random.default_rng(1)
