@@ -89,7 +89,9 @@ def publish_audit(audit, folder: str) -> bool:
         audit.source_files.write.json(f"{path}/source_files")
     validation = F.struct(*[F.lit(value).alias(name) if not isinstance(value, dict) else F.struct(
         *[F.lit(v).alias(k) for k, v in value.items()]).alias(name) for name, value in audit.options.described().items()])
-    audit.summary().withColumns({"schema_version": F.lit(1), "validation": validation}).write.json(f"{path}/manifest")
+    # With its nulls, so that the manifest of an unclean audit has the same columns.
+    audit.summary().withColumns({"schema_version": F.lit(1), "validation": validation}).write.option(
+        "ignoreNullFields", "false").json(f"{path}/manifest")
     clean = spark.read.json(f"{path}/manifest").first().errors == 0
     if clean:
         replay = audit.entries.where("status = 'valid'").orderBy(*audit.replay_order())

@@ -11,6 +11,7 @@ from messages import EUI, uplink
 
 from emberline.operators import audit as A
 from emberline.operators.claims import turned_away
+from emberline.plans.queries import QUERIES
 from emberline.sources.baseline import RowScanner, baseline_document, baseline_table
 from emberline.sources.pages import file_hashes, page_lines, running_hashes, source_file_summary
 from emberline.sources.sinks import publish_audit, published, published_version
@@ -371,3 +372,11 @@ def test_baseline_from_a_table(spark):
     usable, problems = A.validate_baseline(
         baseline_table(table.selectExpr("*", "1 AS n"), "n"), options(1))
     assert (usable.count(), problems.count()) == (1, 0)
+
+
+def test_published_audit_of_an_archive_with_errors_has_no_replay_lines(spark, tmp_path):
+    """Two messages of a device at one time: there is no replay set, and the manifest says so."""
+    spark.sql("""SELECT id AS event_id, timestamp_ntz'2024-01-02 00:00:00' + make_dt_interval(0, 0, 0, id DIV 2) AS ts, 7L AS user_id,
+        'view' AS event_type, 20.0D AS value, '{"k": 1}' AS props FROM range(1, 7)""").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    row = QUERIES["published_audit"](spark, str(tmp_path)).first()
+    assert (row.storage_events, row.errors, row.replay_envelopes, row.replay_lines, row.first_observed_at) == (6, 2, 0, 0, None)
