@@ -20,7 +20,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.config import MINUTE_MS, RuntimeConfig
@@ -237,35 +237,130 @@ def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str = "arriv
         DeviceProcessor(cfg), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
+# Late readings are rated in stretches of so many windows: a group is bounded by time.
+STRETCH = 8
+SEEN = "device_id string, _stretch bigint, t bigint, batch bigint, arrival string, sauna_temp_c double, stovepipe_temp_c double"
+RATES = "message_key string, sauna_rate_c_per_min double, stovepipe_rate_c_per_min double"
+# A larger value would blur the running sums of its neighbours; windows that hold one are summed by themselves.
+WILD = 1e6
+
+
+class Arrivals:
+    """Readings by time, asked for what had arrived by then: question ``j`` sees those with ``since <= j``.
+
+    The readings are kept once per power of two, grouped by ``since`` in ranges of that length; what
+    a question sees is at most one range of each length, so its cost does not grow with the readings.
+    """
+
+    def __init__(self, time: np.ndarray, since: np.ndarray, questions: int):
+        self.levels = []
+        order = np.argsort(time, kind="stable")
+        for level in range(int(questions).bit_length()):
+            self.levels.append((level, order[np.argsort(since[order] >> level, kind="stable")]))
+        # Times as places in the sorted times, so that range and time are one number to search for.
+        self.sorted = time[order]
+        self.nth = np.empty(len(time), np.int64)
+        self.nth[order] = np.arange(len(time))
+        self.since = since
+
+    def spans(self, low: np.ndarray, high: np.ndarray):
+        """Per level: the questions that see a range of it, the rows in time order, and the part in [low, high]."""
+        seen = np.arange(len(low)) + 1
+        first, after = np.searchsorted(self.sorted, low, "left"), np.searchsorted(self.sorted, high, "right")
+        width = len(self.sorted) + 1
+        for level, place in self.levels:
+            which = np.flatnonzero((seen >> level) & 1)
+            part = ((seen[which] >> level) - 1) * width
+            line = (self.since[place] >> level) * width + self.nth[place]
+            yield which, place, np.searchsorted(line, part + first[which]), np.searchsorted(line, part + after[which])
+
+    def total(self, values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Sums of the columns of ``values`` over the readings seen in [low, high]."""
+        out = np.zeros((len(low), values.shape[1]), values.dtype)
+        for which, place, begin, end in self.spans(low, high):
+            sums = np.concatenate([np.zeros((1, values.shape[1]), values.dtype), np.cumsum(values[place], axis=0)])
+            out[which] += sums[end] - sums[begin]
+        return out
+
+    def ends(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The earliest and the latest time seen in [low, high], infinite where there is none."""
+        first, last = np.full(len(low), np.inf), np.full(len(low), -np.inf)
+        for which, place, begin, end in self.spans(low, high):
+            some = begin < end
+            which, begin, end = which[some], begin[some], end[some]
+            nth = self.nth[place]
+            first[which] = np.minimum(first[which], self.sorted[nth[begin]])
+            last[which] = np.maximum(last[which], self.sorted[nth[end - 1]])
+        return first, last
+
+
+def seen_rates(cfg: RuntimeConfig, time: np.ndarray, values: np.ndarray, since: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Rates at the times ``now`` of questions in order of arrival, of the readings (by row) that each sees."""
+    out = np.full((len(now), values.shape[1]), np.nan)
+    every = Arrivals(time, since, len(now))
+    floor, begin = now - cfg.window_ms, now.astype(float)
+    moved = np.ones(len(now), bool)
+    while moved.any():  # two steps pass more than a gap
+        earliest = every.ends(np.maximum(floor, begin - cfg.max_gap_ms), begin)[0]
+        moved = earliest < begin
+        begin = np.where(moved, earliest, begin)
+    for side in range(values.shape[1]):
+        known = np.flatnonzero(np.isfinite(values[:, side]))
+        if not len(known):
+            continue
+        of, value, t = Arrivals(time[known], since[known], len(now)), values[known, side], time[known]
+        wild = np.abs(value) > WILD
+        origin = t[0]
+        x, y = (((t - origin) / MINUTE_MS).astype(np.longdouble), (value - np.median(value)).astype(np.longdouble))
+        y[wild] = 0
+        n, odd, sx, sy, sxx, sxy = of.total(np.stack([np.ones(len(t)), wild, x, y, x * x, x * y], axis=1), begin, now).T
+        first, last = of.ends(begin, now)
+        enough = (n >= 3) & (last - first >= cfg.span_ms)
+        n = np.maximum(n, 1)
+        spread = sxx - sx * sx / n
+        enough &= (last > first) & (spread > 0)
+        out[:, side] = np.where(enough, (sxy - sx * sy / n) / np.where(enough, spread, 1), np.nan)
+        for j in np.flatnonzero(enough & (odd > 0)):
+            there = (since[known] <= j) & (t >= begin[j]) & (t <= now[j])
+            minutes, held = (t[there] - now[j]) / MINUTE_MS, value[there]
+            minutes = minutes - minutes.mean()
+            out[j, side] = (minutes * (held - held.mean())).sum() / (minutes * minutes).sum()
+    return out
+
+
 def late_rates(late: DataFrame, stored: DataFrame, cfg: RuntimeConfig) -> DataFrame:
     """``late`` readings with their rates, from the stored readings that arrived before them or with them.
 
-    Both have device_id, observed_at_ms, batch and arrival (stored ones also the two temperatures); a
-    late reading meets the stored ones of its window through the numbers of its two blocks.
+    Both have device_id, observed_at_ms, batch and arrival (stored ones also the two temperatures).
+    Late readings meet the stored ones of their device and stretch of time, which are sorted and
+    summed, so that the work does not grow with the number of readings in a window. Of batches
+    before the first late reading all is seen: their arrival is not looked at.
     """
     channels = {"sauna_temp_c": "sauna_rate_c_per_min", "stovepipe_temp_c": "stovepipe_rate_c_per_min"}
     width = cfg.window_ms
-    known = stored.select("device_id", F.col("observed_at_ms").alias("t"), number_of(F.col("observed_at_ms"), width).alias("_block"),
-                          F.struct("batch", "arrival").alias("came"), *channels)
-    home = number_of(F.col("observed_at_ms"), width)
-    asked = late.select("message_key", "device_id", F.col("observed_at_ms").alias("now"), F.struct("batch", "arrival").alias("_upto"),
-                        F.explode(F.array(home - 1, home)).alias("_block"))
-    there = asked.join(known, ["device_id", "_block"]).where(
-        (F.col("t") >= F.col("now") - width) & (F.col("t") <= F.col("now")) & (F.col("came") <= F.col("_upto")))
-    line = Window.partitionBy("message_key").orderBy("t", "came")
-    gap = F.coalesce(F.col("t") - F.lag("t").over(line) > cfg.max_gap_ms, F.lit(False)).cast("int")
-    after = F.coalesce(F.sum("_gap").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    whole = there.withColumn("_gap", gap).withColumn("_after", after).where("_after = 0")
-
-    def slope(value: str):
-        known = F.col(value).isNotNull() & ~F.isnan(value)
-        y = F.when(known, F.col(value))
-        x = F.when(known, (F.col("t") - F.col("now")) / F.lit(float(MINUTE_MS)))
-        time = F.when(known, F.col("t"))
-        enough = (F.count(y) >= 3) & (F.max(time) - F.min(time) >= cfg.span_ms)
-        return F.when(enough, F.regr_slope(y, x))
-
-    rates = whole.groupBy("message_key").agg(*[slope(v).alias(rate) for v, rate in channels.items()])
+    time, batch = F.col("observed_at_ms"), F.col("batch").cast("bigint").alias("batch")
+    # A reading is also in reach of the stretch after its own, if it is in the last window of it.
+    block = number_of(time, width)
+    stretches = F.array_distinct(F.array(F.floor(block / STRETCH), F.floor((block + 1) / STRETCH)))
+    # Both may come from one table, so the columns get names of their own.
+    asked = late.select("message_key", F.col("device_id").alias("_device"), F.floor(block / STRETCH).alias("_home"), time.alias("now"),
+                        batch, F.col("arrival").alias("arrival"))
+    wanted = asked.groupBy(F.col("_device").alias("device_id"), F.col("_home").alias("_stretch")).agg(F.min("batch").alias("_since"))
+    known = stored.select("device_id", F.explode(stretches).alias("_stretch"), time.alias("t"), batch, "arrival", *channels).join(
+        wanted, ["device_id", "_stretch"]).withColumn("arrival", F.when(F.col("batch") >= F.col("_since"), F.col("arrival")))
+    known = known.select(*[part.split()[0] for part in SEEN.split(", ")])
+
+    def rate(asked: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values(["batch", "arrival"], kind="stable")
+        came = pd.concat([asked[["batch", "arrival"]], seen[["batch", "arrival"]]]).fillna({"arrival": ""})
+        number = came.groupby(["batch", "arrival"], sort=True).ngroup().to_numpy()
+        questions, rows = number[:len(asked)], number[len(asked):]
+        found = seen_rates(cfg, seen["t"].to_numpy(np.int64), seen[list(channels)].to_numpy(float),
+                           np.searchsorted(questions, rows, "left"), asked["now"].to_numpy(np.int64))
+        columns = [[None if np.isnan(r) else r for r in found[:, i].tolist()] for i in range(2)]
+        return pd.DataFrame({"message_key": asked["message_key"].to_numpy(), **dict(zip(channels.values(), columns, strict=True))}, dtype=object)
+
+    rates = asked.groupBy("_device", "_home").cogroup(known.groupBy("device_id", "_stretch")).applyInPandas(rate, RATES)
     return late.drop(*channels.values()).join(rates, "message_key", "left").select(*late.columns)
 
 

@@ -84,17 +84,23 @@ def pipeline(messages: DataFrame, cfg: RuntimeConfig, path: str, late_path: str,
 
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _write(_opened(batch, *derived), f"{path}/batch={batch_id}")
-        stored = stored_rows(spark, path).where(F.col("batch") <= batch_id)
-        late = stored.where((F.col("batch") == batch_id) & F.col("late"))
+        rows, own = _opened(batch, *derived), f"{path}/batch={batch_id}"
+        _write(rows, own)
+        # The batch's own folder only; what is stored is listed and read if there is a late reading.
+        fresh = spark.read.schema(rows.schema).parquet(own).where(F.col("kind") == READING).drop("kind", "value", "reason").withColumn(
+            "batch", F.lit(batch_id))
+        late = fresh.where("late")
         reach = late.agg(F.min("observed_at_ms").alias("low"), F.max("observed_at_ms").alias("high")).first()
         if reach.low is None:
             return
-        # Only the dates and row groups in reach of the late readings are read.
+        # Only the dates and row groups in reach of the late readings are read, and of earlier batches no arrival.
         low = reach.low - cfg.window_ms
-        near = stored.where(F.col("observed_at_ms").between(low, reach.high) & (
-            F.col(EVENT_DATE) >= F.timestamp_millis(F.lit(low)).cast("date")) & (
-            F.col(EVENT_DATE) <= F.timestamp_millis(F.lit(reach.high)).cast("date")))
+        columns = ["device_id", "observed_at_ms", "batch", "arrival", "sauna_temp_c", "stovepipe_temp_c"]
+        earlier = stored_rows(spark, path).where(F.col("batch") < batch_id).where(
+            (F.col(EVENT_DATE) >= F.timestamp_millis(F.lit(low)).cast("date")) & (
+                F.col(EVENT_DATE) <= F.timestamp_millis(F.lit(reach.high)).cast("date"))).withColumn(
+            "arrival", F.lit(None).cast("string"))
+        near = earlier.select(*columns).unionByName(fresh.select(*columns)).where(F.col("observed_at_ms").between(low, reach.high))
         late_rates(late, near, cfg).drop("batch").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
 
     return device_stream(opened, cfg).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
