@@ -4,7 +4,8 @@ The keys seen so far are keyed state in RocksDB, without watermark or expiry, so
 after months as well; a micro-batch looks up its own keys only and never reads what is stored.
 Rows are dealt by a hash of the key into buckets, the groups of the stateful operator, so a task
 holds a share of the keys whatever devices they belong to. Of a key that a micro-batch brings more
-than once the row of the smallest ``arrival`` counts; of all its copies one row is held at a time.
+than once the row of the smallest ``arrival`` counts. A task holds the new rows of a bucket, at most
+one of each key and as many again: the size of a micro-batch (files per trigger, of bounded size) bounds it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # The number of groups of the keyed state; it must stay the same as long as a checkpoint is used.
 BUCKETS = 256
+# So many rows are passed on at a time.
+CHUNK = 10_000
 
 
 def in_arrival_order(lines: DataFrame) -> DataFrame:
@@ -53,20 +56,37 @@ class FirstOfKey(StatefulProcessor):
         self.seen = handle.getMapState("seen", "key string", "known boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        first = None
+        known: dict[str, bool] = {}
+        held, count, tidy = [], 0, 0
+
+        def firsts() -> pd.DataFrame:
+            return pd.concat(held).sort_values("arrival", kind="stable").drop_duplicates(self.key)
+
         for chunk in rows:
             keyed = chunk[self.key].notna()
             if not keyed.all():
                 yield chunk[~keyed]
             chunk = chunk[keyed]
-            both = chunk if first is None else pd.concat([first, chunk])
-            first = both.sort_values("arrival", kind="stable").drop_duplicates(self.key)
-        if first is None or not len(first):
+            for name in chunk[self.key]:
+                if name not in known:
+                    known[name] = self.seen.containsKey((name,))
+            # Of a key that is stored already no row is held.
+            chunk = chunk[[not known[name] for name in chunk[self.key]]]
+            if not len(chunk):
+                continue
+            held.append(chunk)
+            count += len(chunk)
+            if count > 2 * tidy + CHUNK:  # so that every row is sorted a few times only
+                held = [firsts()]
+                count = tidy = len(held[0])
+        if not held:
             return
-        fresh = [not self.seen.containsKey((name,)) for name in first[self.key]]
-        for name in first[self.key][fresh]:
+        first = firsts()
+        held.clear()
+        for name in first[self.key]:
             self.seen.updateValue((name,), (True,))
-        yield first[fresh]
+        for at in range(0, len(first), CHUNK):
+            yield first[at:at + CHUNK]
 
 
 def first_of_key(stream: DataFrame, key: str = "message_key", buckets: int = BUCKETS) -> DataFrame:

@@ -11,11 +11,12 @@ import sequential
 from messages import uplink, with_payload
 
 from emberline import RuntimeConfig
+from emberline.plans import telemetry
 from emberline.session import shared_folder
 from emberline.sources.messages import json_message_stream
 from emberline.streaming import ingest as streams
-from emberline.streaming.devices import OUTPUT, DeviceProcessor, Latch, device_stream, late_rates, sessions_of
-from emberline.streaming.keys import in_arrival_order
+from emberline.streaming.devices import OUTPUT, DeviceProcessor, Latch, device_stream, late_rates, seen_rates, sessions_of
+from emberline.streaming.keys import FirstOfKey, in_arrival_order
 
 MINUTE = 60_000
 FIELDS = "device_id string, message_key string, observed_at_ms long, sauna_temp_c double, stovepipe_temp_c double, n long"
@@ -231,3 +232,56 @@ def test_late_rates_match_a_sequential_loop(spark):
         for have, want in zip((r.sauna_rate_c_per_min, r.stovepipe_rate_c_per_min), expected[r.message_key], strict=True):
             assert (have is None) == (want is None)
             assert want is None or abs(have - want) < 1e-6
+
+
+def test_late_rates_do_not_pair_readings_with_their_windows():
+    """30,000 late readings that see 30,000 stored and each other, all in one window: no pairs of them are formed."""
+    rng = np.random.default_rng(5)
+    cfg = RuntimeConfig()
+    at = rng.integers(0, cfg.window_ms, 60_000)
+    since = np.r_[np.zeros(30_000, int), np.arange(30_000)]
+    values = rng.uniform(20, 90, (60_000, 2))
+    values[0, 1] = 1e12  # blurs nobody's rate but those of windows that hold it
+    at[0] = cfg.window_ms - 1
+    begun = time.perf_counter()
+    rates = seen_rates(cfg, at, values, since, at[30_000:])
+    assert time.perf_counter() - begun < 10
+    for j in rng.integers(0, 30_000, 50):
+        now = at[30_000 + j]
+        there = (since <= j) & (at <= now)
+        wide = now - at[there].min() >= cfg.span_ms
+        for side in range(2):
+            want = np.polyfit((at[there] - now) / MINUTE, values[there, side], 1)[0] if wide else np.nan
+            assert np.isclose(rates[j, side], want, rtol=1e-6, atol=1e-9, equal_nan=True)
+
+
+def test_a_stored_reading_without_arrival_counts_if_its_batch_is_earlier(spark):
+    cfg = RuntimeConfig()
+    columns = "device_id string, message_key string, observed_at_ms long, batch int, arrival string, sauna_temp_c double, stovepipe_temp_c double"
+    rows = [("d", str(n), n * 3 * MINUTE, n // 4, None if n < 4 else f"{n}", None, 20.0 + 3 * n) for n in range(5)]
+    stored = spark.createDataFrame(rows, columns)
+    late = stored.where("batch = 1").selectExpr("*", "0D sauna_rate_c_per_min", "0D stovepipe_rate_c_per_min")
+    row = late_rates(late, stored, cfg).first()
+    assert row.sauna_rate_c_per_min is None and abs(row.stovepipe_rate_c_per_min - 1) < 1e-9
+
+
+def test_the_new_rows_of_a_bucket_are_tidied_and_passed_on_in_parts():
+    """Copies in any order and part give the first of each key, stored ones nothing, in parts of bounded size."""
+    step = FirstOfKey("message_key")
+    step.seen = Held({("k7",): (True,)})
+    order = np.random.default_rng(1).permutation(60_000)
+    frame = pd.DataFrame({"message_key": [f"k{n % 25_000}" for n in order], "arrival": [f"{n:06d}" for n in order]})
+    parts = list(step.handleInputRows((0,), iter(frame[at:at + 5_000] for at in range(0, 60_000, 5_000)), None))
+    assert max(map(len, parts)) <= 10_000
+    got = pd.concat(parts)
+    assert list(got["arrival"]) == [f"{n:06d}" for n in range(25_000) if n != 7]
+    assert len(step.seen) == 25_000
+
+
+def test_large_parts_arrive_as_files_of_bounded_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(telemetry, "FILE_ROWS", 100)
+    rows = spark.range(1_000).selectExpr("id % 2 AS user_id", "id AS ts", "0 AS part", "cast(id AS string) AS value")
+    telemetry._send(rows, str(tmp_path / "sent"), "text")
+    files = list((tmp_path / "sent").glob("part-*"))
+    assert max(len(f.read_text().splitlines()) for f in files) <= 100
+    assert sorted(int(n) for f in files for n in f.read_text().split()) == list(range(1_000))
