@@ -37,7 +37,7 @@ OUTPUT = ("device_id string, message_key string, arrival string, payload string,
 NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 TIME, AIR, HEATER, RATE = range(4)
 # So many window rows are looked at in one step of the vectorised rates.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 @dataclass
