@@ -16,7 +16,7 @@ from emberline.session import shared_folder
 from emberline.sources.messages import json_message_stream
 from emberline.streaming import ingest as streams
 from emberline.streaming.devices import OUTPUT, DeviceProcessor, Latch, device_stream, late_rates, seen_rates, sessions_of
-from emberline.streaming.keys import FirstOfKey, in_arrival_order
+from emberline.streaming.keys import PAGE, FirstOfKey, Pages, in_arrival_order
 
 MINUTE = 60_000
 FIELDS = "device_id string, message_key string, observed_at_ms long, sauna_temp_c double, stovepipe_temp_c double, n long"
@@ -285,3 +285,52 @@ def test_large_parts_arrive_as_files_of_bounded_rows(spark, tmp_path, monkeypatc
     files = list((tmp_path / "sent").glob("part-*"))
     assert max(len(f.read_text().splitlines()) for f in files) <= 100
     assert sorted(int(n) for f in files for n in f.read_text().split()) == list(range(1_000))
+
+
+class Counted(Held):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if name.endswith("Key") or name.endswith("Value"):
+            self.calls += 1
+        return super().__getattribute__(name)
+
+
+def test_keys_lie_in_pages_of_bounded_size_and_cost_few_state_calls():
+    """Batches that repeat half of what is stored: exact answers, several keys a call, each written a few times."""
+    rng = random.Random(3)
+    pages, seen, asked = Pages(Counted()), set(), 0
+    for _ in range(12):
+        names = {f"ä:{rng.randrange(60_000)}\n\"" for _ in range(10_000)}
+        asked += len(names)
+        assert pages.which(names) == names & seen
+        pages.add(names - seen)
+        seen |= names
+    assert pages.which({"other"}) == set()
+    assert pages.state.calls < asked / 20
+    held = {place: json.loads(text) for place, (text,) in pages.state.items() if place != Pages.DIRECTORY}
+    assert sorted(name for keys in held.values() for name in keys) == sorted(seen)
+    sizes = {}
+    for (page, _), keys in held.items():
+        sizes[page] = sizes.get(page, 0) + len(keys)
+    assert max(sizes.values()) < 3 * PAGE and len(sizes) > 1
+    # A later small batch touches the pages of its own keys only.
+    pages.state.calls = 0
+    pages.add({"one more"})
+    assert pages.state.calls < 20
+
+
+def test_first_of_key_asks_and_fills_the_pages():
+    step = FirstOfKey("message_key")
+    step.seen = Pages(Counted())
+
+    def batch(low, high):
+        frame = pd.DataFrame({"message_key": [None if n % 1_000 == 0 else f"k{n}" for n in range(low, high)], "arrival": [f"{n:06d}" for n in range(low, high)]})
+        parts = [frame[at:at + 700] for at in range(0, len(frame), 700)]
+        return pd.concat(list(step.handleInputRows((0,), iter(parts), None)))["arrival"].tolist()
+
+    assert len(batch(0, 5_000)) == 5_000
+    assert sorted(batch(3_000, 8_000)) == [f"{n:06d}" for n in range(3_000, 8_000) if n >= 5_000 or n % 1_000 == 0]
+    assert step.seen.state.calls < 500
