@@ -7,7 +7,9 @@ difference. The batch operators recompute everything in event-time order.
 
 The state of a device is bounded: its latch, and its readings in blocks of one window length, as far
 back as the window and the run of start samples of its newest reading can reach. Older blocks are
-dropped, their readings are in the stored table. A reading that comes so late that it would need a
+dropped, their readings are in the stored table. Few readings are kept beside the latch, so such a device
+costs two state calls a micro-batch; those of a device that sends much are kept block by block. Devices are
+dealt into lanes, the groups of the operator, and the rates of a lane's devices are made side by side. A reading that comes so late that it would need a
 dropped block is passed on without rates, marked ``late``; ``late_rates`` makes them from the stored
 readings, in one job for all late readings of a micro-batch.
 """
@@ -25,11 +27,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from emberline.config import MINUTE_MS, RuntimeConfig
 from emberline.operators.slices import number_of
+from emberline.streaming.keys import BUCKETS
 
 # A block's readings in order of arrival: rows of time, air, heater and heater rate as doubles.
 BLOCK = "rows binary"
 LATCH = ("seen bigint, run_start bigint, run_length int, warm bigint, opened bigint, hot bigint, air double, "
-         "heater double, rate double, rows bigint, lowest bigint")
+         "heater double, rate double, rows bigint, lowest bigint, near binary")
 SESSION = ("started_at_ms bigint, ended_at_ms bigint, last_hot_at_ms bigint, peak_sauna_c double, "
            "peak_stovepipe_c double, max_stovepipe_rate_c_per_min double, sample_count bigint")
 OUTPUT = ("device_id string, message_key string, arrival string, payload string, observed_at_ms bigint, late boolean, "
@@ -38,6 +41,8 @@ NAMES = [part.split()[0] for part in OUTPUT.split(", ")]
 TIME, AIR, HEATER, RATE = range(4)
 # So many window rows are looked at in one step of the vectorised rates.
 AT_ONCE = 1 << 18
+# Up to so many bytes of readings (32 each) are kept beside a device's latch.
+NEAR = 1 << 16
 
 
 @dataclass
@@ -54,6 +59,7 @@ class Latch:
     rate: float | None = None
     rows: int = 0
     lowest: int | None = None  # the oldest block that is kept
+    near: bytes | None = b""  # the readings in reach, None if they are kept in blocks
 
     def advance(self, cfg: RuntimeConfig, now: int, heater: float, reading: np.ndarray, since) -> tuple | None:
         """Take one reading; ``since(t)`` are the readings from ``t`` to now.  Returns its session."""
@@ -92,32 +98,61 @@ def _peak(old: float | None, values: np.ndarray) -> float | None:
     return None if np.isnan(top) else float(top)
 
 
+class Places:
+    """Times of several groups as whole numbers that sort by group and time, for searches in all groups at once."""
+
+    def __init__(self, group: np.ndarray, time: np.ndarray):
+        self.times = np.unique(time)
+        self.group = group
+        self.place = self.of(group, time, "left")
+
+    def of(self, group: np.ndarray, time: np.ndarray, side: str) -> np.ndarray:
+        return group * (len(self.times) + 1) + np.searchsorted(self.times, time, side)
+
+    def order(self) -> np.ndarray:
+        """Rows by group and time, equal ones as they come; from then on ``begin`` and ``end`` can be asked."""
+        order = np.argsort(self.place, kind="stable")
+        self.sorted = self.place[order]
+        return order
+
+    def begin(self, group: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """How many rows come before the time ``low`` of a group."""
+        return np.searchsorted(self.sorted, self.of(group, low, "left"), "left")
+
+    def end(self, group: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How many rows come up to the time ``high`` of a group."""
+        return np.searchsorted(self.sorted, self.of(group, high, "right"), "left")
+
+
 class Timeline:
-    """Readings of some blocks and of a batch, by time; those of the batch arrive one by one."""
+    """Readings of some blocks and of a batch, by device and time; those of the batch arrive one by one."""
 
-    def __init__(self, stored: np.ndarray, arriving: np.ndarray):
+    def __init__(self, stored: np.ndarray, arriving: np.ndarray, stored_of: np.ndarray | None = None, arriving_of: np.ndarray | None = None):
         every = np.concatenate([stored, arriving])
+        of = [np.zeros(len(rows), np.int64) if group is None else group for rows, group in ((stored, stored_of), (arriving, arriving_of))]
+        self.places = Places(np.concatenate(of), every[:, TIME])
         # Stored readings came first, in their stored order.
-        order = np.argsort(every[:, TIME], kind="stable")
+        order = self.places.order()
         self.rows = every[order]
         self.time = self.rows[:, TIME]
         self.came = order - len(stored)  # negative: already there
         place = np.empty(len(every), np.int64)
         place[order] = np.arange(len(every))
         self.place = place[len(stored):]
+        self.of = of[1]
 
     def since(self, low: float, now: int) -> np.ndarray:
-        """Readings from ``low`` up to the batch's reading ``now``, of those that had arrived with it."""
-        begin = np.searchsorted(self.time, low, "left")
-        end = np.searchsorted(self.time, self.time[self.place[now]], "right")
+        """Readings from ``low`` up to the batch's reading ``now``, of those of its device that had arrived with it."""
+        begin = self.places.begin(self.of[now], low)
+        end = self.places.end(self.of[now], self.time[self.place[now]])
         return self.rows[begin:end][self.came[begin:end] <= now]
 
     def rates(self, cfg: RuntimeConfig) -> np.ndarray:
         """Both rates of every reading of the batch, NaN where there is none."""
         out = np.full((len(self.place), 2), np.nan)
         now = self.time[self.place]
-        begin = np.searchsorted(self.time, now - cfg.window_ms, "left")
-        size = np.searchsorted(self.time, now, "right") - begin
+        begin = self.places.begin(self.of, now - cfg.window_ms)
+        size = self.places.end(self.of, now) - begin
         ends = np.cumsum(size)
         at = 0
         while at < len(out):
@@ -160,7 +195,7 @@ class Timeline:
 
 
 class DeviceProcessor(StatefulProcessor):
-    """State per device: its newest readings in blocks of one window, and the latch."""
+    """State per device of a lane: its newest readings in blocks of one window, and the latch."""
 
     def __init__(self, cfg: RuntimeConfig) -> None:
         self.cfg = cfg
@@ -169,8 +204,8 @@ class DeviceProcessor(StatefulProcessor):
         self.blocks_back = -(-reach_ms // cfg.window_ms) + 1
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.blocks = handle.getMapState("blocks", "number bigint", BLOCK)
-        self.latch = handle.getValueState("latch", LATCH)
+        self.blocks = handle.getMapState("blocks", "device string, number bigint", BLOCK)
+        self.latches = handle.getMapState("latches", "device string", LATCH)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         parts = []
@@ -181,50 +216,95 @@ class DeviceProcessor(StatefulProcessor):
                 yield none.where(none.notna(), None)
             parts.append(part[~other])
         # Arrival order is that of the whole micro-batch, whose size the trigger bounds.
-        arrived = pd.concat(parts).sort_values("arrival", kind="stable")
-        if len(arrived):
-            latch = Latch(*self.latch.get()) if self.latch.exists() else Latch()
-            yield self.arrive(key[0], arrived, latch)
-            self.latch.update(astuple(latch))
+        arrived = pd.concat(parts)
+        if not len(arrived):
+            return
+        device, names = pd.factorize(arrived["device_id"], use_na_sentinel=False)
+        names = [None if pd.isna(name) else name for name in names]
+        order = np.lexsort((pd.factorize(arrived["arrival"], sort=True)[0], device))
+        latches = []
+        for name in names:
+            held = self.latches.getValue((_state_key(name),))
+            latches.append(Latch(*held) if held is not None else Latch())
+        yield self._arrive(names, device[order], arrived.iloc[order], latches)
+        for name, latch in zip(names, latches, strict=True):
+            self.latches.updateValue((_state_key(name),), astuple(latch))
 
     def arrive(self, device: str, part: pd.DataFrame, latch: Latch) -> pd.DataFrame:
-        """Take a device's readings of a micro-batch, in order of arrival."""
+        """Take one device's readings of a micro-batch, in order of arrival."""
+        return self._arrive([device], np.zeros(len(part), np.int64), part, [latch])
+
+    def _arrive(self, names: list[str | None], of: np.ndarray, part: pd.DataFrame, latches: list[Latch]) -> pd.DataFrame:
+        """Take readings of several devices, ``of`` being their places in ``names``: by device, then in order of arrival."""
         cfg = self.cfg
         news = np.full((len(part), 4), np.nan)
         news[:, TIME], news[:, AIR], news[:, HEATER] = part["observed_at_ms"], part["air"], part["heater"]
         number = (news[:, TIME] // cfg.window_ms).astype(np.int64)
-        late = np.zeros(len(part), bool) if latch.lowest is None else number - 1 < latch.lowest
-        held = {} if latch.lowest is None else {
-            n: self.blocks.getValue((n,))[0] for n in range(latch.lowest, latch.lowest + self.blocks_back + 1) if self.blocks.containsKey((n,))}
-        line = Timeline(np.concatenate([np.zeros((0, 4)), *(np.frombuffer(rows).reshape(-1, 4) for rows in held.values())]), news)
+        first = np.searchsorted(of, np.arange(len(names) + 1))
+        late = np.zeros(len(part), bool)
+        held = []
+        for i, latch in enumerate(latches):
+            if latch.lowest is not None:
+                late[first[i]:first[i + 1]] = number[first[i]:first[i + 1]] - 1 < latch.lowest
+            held.append(self._held(names[i], latch))
+        stored_of = np.repeat(np.arange(len(names)), [len(rows) for rows in held])
+        line = Timeline(np.concatenate([np.zeros((0, 4)), *held]), news, stored_of, of)
         rates = line.rates(cfg)
         rates[late] = np.nan
         news[:, RATE] = line.rows[line.place, RATE] = rates[:, 1]
-        sessions = [latch.advance(cfg, now, heater, news[i], lambda t, at=i: line.since(t, at)) for i, (now, heater) in enumerate(
-            zip(news[:, TIME].astype(np.int64).tolist(), news[:, HEATER].tolist(), strict=True))]
-        newest = max(int(number.max()), -(1 << 62) if latch.lowest is None else latch.lowest + self.blocks_back)
-        latch.lowest = newest - self.blocks_back
-        for n in np.unique(number[number >= latch.lowest]).tolist():
-            self.blocks.updateValue((n,), (held.get(n, b"") + news[number == n].tobytes(),))
-        for n in held:
-            if n < latch.lowest:
-                self.blocks.removeKey((n,))
+        sessions = [latches[i].advance(cfg, now, heater, news[at], lambda t, at=at: line.since(t, at)) for at, (i, now, heater) in enumerate(
+            zip(of.tolist(), news[:, TIME].astype(np.int64).tolist(), news[:, HEATER].tolist(), strict=True))]
+        for i, latch in enumerate(latches):
+            self._hold(names[i], latch, held[i], news[first[i]:first[i + 1]], number[first[i]:first[i + 1]])
         columns = {name: part[name].to_numpy() for name in ("message_key", "arrival", "payload")}
-        columns |= {"device_id": device, "observed_at_ms": news[:, TIME].astype(np.int64), "late": late}
+        columns |= {"device_id": np.array(names, object)[of], "observed_at_ms": news[:, TIME].astype(np.int64), "late": late}
         columns |= {name: [None if np.isnan(r) else r for r in rates[:, i].tolist()] for i, name in enumerate(
             ("sauna_rate_c_per_min", "stovepipe_rate_c_per_min"))}
         none = (None,) * 7
         columns |= dict(zip(NAMES[8:], zip(*(s or none for s in sessions), strict=True), strict=True))
         return pd.DataFrame(columns, columns=NAMES, dtype=object)
 
+    def _numbers(self, device: str | None, latch: Latch) -> list[int]:
+        """The stored blocks of a device whose readings are kept in blocks."""
+        name = _state_key(device)
+        return [n for n in range(latch.lowest, latch.lowest + self.blocks_back + 1) if self.blocks.containsKey((name, n))]
+
+    def _held(self, device: str | None, latch: Latch) -> np.ndarray:
+        """The stored readings of a device, within a block in order of arrival."""
+        rows = latch.near if latch.near is not None else b"".join(
+            self.blocks.getValue((_state_key(device), n))[0] for n in self._numbers(device, latch))
+        return np.frombuffer(rows).reshape(-1, 4)
+
+    def _hold(self, device: str | None, latch: Latch, held: np.ndarray, news: np.ndarray, number: np.ndarray) -> None:
+        """Store a device's readings in reach of its newest one; of those kept in blocks only the changed blocks."""
+        name = _state_key(device)
+        stored = [] if latch.near is not None else self._numbers(device, latch)
+        newest = max(int(number.max()), -(1 << 62) if latch.lowest is None else latch.lowest + self.blocks_back)
+        latch.lowest = newest - self.blocks_back
+        of = (held[:, TIME] // self.cfg.window_ms).astype(np.int64)
+        there, fresh = of >= latch.lowest, number >= latch.lowest
+        small = 32 * (np.count_nonzero(there) + np.count_nonzero(fresh)) <= NEAR
+        changed = [] if small else np.unique(np.concatenate([of[there], number[fresh]]) if latch.near is not None else number[fresh]).tolist()
+        latch.near = held[there].tobytes() + news[fresh].tobytes() if small else None
+        for n in changed:
+            self.blocks.updateValue((name, n), (held[of == n].tobytes() + news[number == n].tobytes(),))
+        for n in stored:
+            if small or n < latch.lowest:
+                self.blocks.removeKey((name, n))
+
+
+def _state_key(device: str | None) -> str:
+    return "" if device is None else f"={device}"
+
 
-def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str = "arrival") -> DataFrame:
+def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str = "arrival", lanes: int = BUCKETS) -> DataFrame:
     """Rates and session state of each arriving reading.
 
     ``arrival`` sorts the readings of a micro-batch (whole numbers are made texts that sort alike). A
     ``payload`` text is passed on; rows without ``message_key`` are passed on as they are. A
-    micro-batch's readings of one device are put in arrival order by one task, so the batch size
-    (files or offsets per trigger) bounds what a device that sends very much puts into a task.
+    micro-batch's readings of one device, and of the other devices of its lane, are put in arrival order by one
+    task, so the batch size (files or offsets per trigger) bounds what a device that sends very much puts into
+    a task. The number of ``lanes`` must stay the same as long as a checkpoint is used.
     """
     order = F.col(arrival)
     if dict(readings.dtypes)[arrival] != "string":
@@ -233,7 +313,8 @@ def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str = "arriv
     narrow = readings.select(
         "device_id", "message_key", F.col("observed_at_ms").cast("double"), F.col("sauna_temp_c").alias("air"),
         F.col("stovepipe_temp_c").alias("heater"), order.alias("arrival"), payload.alias("payload"))
-    return narrow.groupBy("device_id").transformWithStateInPandas(
+    lane = F.pmod(F.xxhash64("device_id"), F.lit(lanes))
+    return narrow.withColumn("_lane", lane).groupBy("_lane").transformWithStateInPandas(
         DeviceProcessor(cfg), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 

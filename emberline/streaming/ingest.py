@@ -103,7 +103,7 @@ def pipeline(messages: DataFrame, cfg: RuntimeConfig, path: str, late_path: str,
         near = earlier.select(*columns).unionByName(fresh.select(*columns)).where(F.col("observed_at_ms").between(low, reach.high))
         late_rates(late, near, cfg).drop("batch").write.mode("overwrite").parquet(f"{late_path}/batch={batch_id}")
 
-    return device_stream(opened, cfg).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return device_stream(opened, cfg, lanes=buckets).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -334,3 +334,37 @@ def test_first_of_key_asks_and_fills_the_pages():
     assert len(batch(0, 5_000)) == 5_000
     assert sorted(batch(3_000, 8_000)) == [f"{n:06d}" for n in range(3_000, 8_000) if n >= 5_000 or n % 1_000 == 0]
     assert step.seen.state.calls < 500
+
+
+def lane_of(cfg, frames, batches=1):
+    """The rows of devices taken in together, in some micro-batches, and the state calls of the last."""
+    device = DeviceProcessor(cfg)
+    device.blocks, device.latches = Counted(), Counted()
+    device.latches.getValue = device.latches.get  # None for a device not yet met
+    out = []
+    for part in range(batches):
+        rows = pd.concat([f.assign(device_id=name)[part * len(f) // batches:(part + 1) * len(f) // batches] for name, f in frames.items()])
+        device.blocks.calls = device.latches.calls = 0
+        out += list(device.handleInputRows((0,), iter([rows.sample(frac=1, random_state=part)]), None))
+    every = pd.concat(out).sort_values(["device_id", "arrival"], ignore_index=True)
+    return every, device.blocks.calls + device.latches.calls, len(device.blocks)
+
+
+def test_devices_of_a_lane_are_taken_in_side_by_side(monkeypatch):
+    """Many devices in one call: each as if alone, two state calls a device; kept in blocks or not makes no difference."""
+    cfg = RuntimeConfig()
+    frames = {f"d{n}": dense_device(400 + 7 * n).assign(heater=lambda f, n=n: (f.heater * (1 + n) * 7) % 90 + 20) for n in range(12)}
+    whole, _, _ = lane_of(cfg, frames)
+    for name, frame in frames.items():
+        alone, _ = run_in(cfg, [frame])
+        assert whole[whole.device_id == name].reset_index(drop=True).assign(device_id="d").equals(alone)
+    parts, calls, blocks = lane_of(cfg, frames, batches=4)
+    assert calls == 2 * len(frames) and blocks == 0
+    monkeypatch.setattr("emberline.streaming.devices.NEAR", 100)
+    spread, _, blocks = lane_of(cfg, frames, batches=4)
+    assert blocks > 0
+    exact = [c for c in whole.columns if "rate" not in c]
+    for other in (parts, spread):
+        assert whole[exact].equals(other[exact])
+        for rate in ("sauna_rate_c_per_min", "stovepipe_rate_c_per_min"):
+            assert np.allclose(whole[rate].astype(float), other[rate].astype(float), rtol=0, atol=1e-9, equal_nan=True)
