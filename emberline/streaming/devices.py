@@ -318,9 +318,10 @@ def device_stream(readings: DataFrame, cfg: RuntimeConfig, arrival: str = "arriv
         DeviceProcessor(cfg), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
-# Late readings are rated in stretches of so many windows: a group is bounded by time.
+# Late readings are rated in stretches of so many windows, and these dealt into so many groups: a stretch is bounded by time.
 STRETCH = 8
-SEEN = "device_id string, _stretch bigint, t bigint, batch bigint, arrival string, sauna_temp_c double, stovepipe_temp_c double"
+GROUPS = 1_024
+SEEN = "_group bigint, device_id string, _stretch bigint, t bigint, batch bigint, arrival string, sauna_temp_c double, stovepipe_temp_c double"
 RATES = "message_key string, sauna_rate_c_per_min double, stovepipe_rate_c_per_min double"
 # A larger value would blur the running sums of its neighbours; windows that hold one are summed by themselves.
 WILD = 1e6
@@ -331,12 +332,14 @@ class Arrivals:
 
     The readings are kept once per power of two, grouped by ``since`` in ranges of that length; what
     a question sees is at most one range of each length, so its cost does not grow with the readings.
+    A question sees readings of its own group only.
     """
 
-    def __init__(self, time: np.ndarray, since: np.ndarray, questions: int):
+    def __init__(self, group: np.ndarray, time: np.ndarray, since: np.ndarray, asker: np.ndarray):
         self.levels = []
-        order = np.argsort(time, kind="stable")
-        for level in range(int(questions).bit_length()):
+        self.places, self.asker = Places(group, time), asker
+        order = self.places.order()
+        for level in range(len(asker).bit_length()):
             self.levels.append((level, order[np.argsort(since[order] >> level, kind="stable")]))
         # Times as places in the sorted times, so that range and time are one number to search for.
         self.sorted = time[order]
@@ -347,7 +350,7 @@ class Arrivals:
     def spans(self, low: np.ndarray, high: np.ndarray):
         """Per level: the questions that see a range of it, the rows in time order, and the part in [low, high]."""
         seen = np.arange(len(low)) + 1
-        first, after = np.searchsorted(self.sorted, low, "left"), np.searchsorted(self.sorted, high, "right")
+        first, after = self.places.begin(self.asker, low), self.places.end(self.asker, high)
         width = len(self.sorted) + 1
         for level, place in self.levels:
             which = np.flatnonzero((seen >> level) & 1)
@@ -375,10 +378,16 @@ class Arrivals:
         return first, last
 
 
-def seen_rates(cfg: RuntimeConfig, time: np.ndarray, values: np.ndarray, since: np.ndarray, now: np.ndarray) -> np.ndarray:
-    """Rates at the times ``now`` of questions in order of arrival, of the readings (by row) that each sees."""
+def seen_rates(cfg: RuntimeConfig, time: np.ndarray, values: np.ndarray, since: np.ndarray, now: np.ndarray,
+               group: np.ndarray | None = None, asker: np.ndarray | None = None) -> np.ndarray:
+    """Rates at the times ``now`` of questions in order of arrival, of the readings (by row) that each sees.
+
+    ``group`` and ``asker`` are the groups (whole numbers from 0) of the readings and of the questions, one without them.
+    """
+    group = np.zeros(len(time), np.int64) if group is None else group
+    asker = np.zeros(len(now), np.int64) if asker is None else asker
     out = np.full((len(now), values.shape[1]), np.nan)
-    every = Arrivals(time, since, len(now))
+    every = Arrivals(group, time, since, asker)
     floor, begin = now - cfg.window_ms, now.astype(float)
     moved = np.ones(len(now), bool)
     while moved.any():  # two steps pass more than a gap
@@ -389,10 +398,14 @@ def seen_rates(cfg: RuntimeConfig, time: np.ndarray, values: np.ndarray, since:
         known = np.flatnonzero(np.isfinite(values[:, side]))
         if not len(known):
             continue
-        of, value, t = Arrivals(time[known], since[known], len(now)), values[known, side], time[known]
+        own, value, t = group[known], values[known, side], time[known]
+        of = Arrivals(own, t, since[known], asker)
         wild = np.abs(value) > WILD
-        origin = t[0]
-        x, y = (((t - origin) / MINUTE_MS).astype(np.longdouble), (value - np.median(value)).astype(np.longdouble))
+        # Times and values of a group are counted from one of its own, so that the sums stay small.
+        origin, centre = np.full(group.max() + 1, t.max()), np.zeros(group.max() + 1)
+        np.minimum.at(origin, own, t)
+        centre[own[~wild]] = value[~wild]
+        x, y = (((t - origin[own]) / MINUTE_MS).astype(np.longdouble), (value - centre[own]).astype(np.longdouble))
         y[wild] = 0
         n, odd, sx, sy, sxx, sxy = of.total(np.stack([np.ones(len(t)), wild, x, y, x * x, x * y], axis=1), begin, now).T
         first, last = of.ends(begin, now)
@@ -402,7 +415,7 @@ def seen_rates(cfg: RuntimeConfig, time: np.ndarray, values: np.ndarray, since:
         enough &= (last > first) & (spread > 0)
         out[:, side] = np.where(enough, (sxy - sx * sy / n) / np.where(enough, spread, 1), np.nan)
         for j in np.flatnonzero(enough & (odd > 0)):
-            there = (since[known] <= j) & (t >= begin[j]) & (t <= now[j])
+            there = (own == asker[j]) & (since[known] <= j) & (t >= begin[j]) & (t <= now[j])
             minutes, held = (t[there] - now[j]) / MINUTE_MS, value[there]
             minutes = minutes - minutes.mean()
             out[j, side] = (minutes * (held - held.mean())).sum() / (minutes * minutes).sum()
@@ -413,7 +426,7 @@ def late_rates(late: DataFrame, stored: DataFrame, cfg: RuntimeConfig) -> DataFr
     """``late`` readings with their rates, from the stored readings that arrived before them or with them.
 
     Both have device_id, observed_at_ms, batch and arrival (stored ones also the two temperatures).
-    Late readings meet the stored ones of their device and stretch of time, which are sorted and
+    Late readings meet the stored ones of their device and stretch of time, many stretches side by side, which are sorted and
     summed, so that the work does not grow with the number of readings in a window. Of batches
     before the first late reading all is seen: their arrival is not looked at.
     """
@@ -429,19 +442,26 @@ def late_rates(late: DataFrame, stored: DataFrame, cfg: RuntimeConfig) -> DataFr
     wanted = asked.groupBy(F.col("_device").alias("device_id"), F.col("_home").alias("_stretch")).agg(F.min("batch").alias("_since"))
     known = stored.select("device_id", F.explode(stretches).alias("_stretch"), time.alias("t"), batch, "arrival", *channels).join(
         wanted, ["device_id", "_stretch"]).withColumn("arrival", F.when(F.col("batch") >= F.col("_since"), F.col("arrival")))
-    known = known.select(*[part.split()[0] for part in SEEN.split(", ")])
+    known = known.withColumn("_group", F.pmod(F.xxhash64("device_id", "_stretch"), F.lit(GROUPS))).select(
+        *[part.split()[0] for part in SEEN.split(", ")])
+    asked = asked.withColumn("_group", F.pmod(F.xxhash64("_device", "_home"), F.lit(GROUPS)))
 
     def rate(asked: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-        asked = asked.sort_values(["batch", "arrival"], kind="stable")
-        came = pd.concat([asked[["batch", "arrival"]], seen[["batch", "arrival"]]]).fillna({"arrival": ""})
-        number = came.groupby(["batch", "arrival"], sort=True).ngroup().to_numpy()
-        questions, rows = number[:len(asked)], number[len(asked):]
+        came = pd.concat([asked[["_device", "_home", "batch", "arrival"]], seen[["device_id", "_stretch", "batch", "arrival"]].set_axis(
+            ["_device", "_home", "batch", "arrival"], axis=1)], ignore_index=True).fillna({"arrival": ""})
+        line = came.groupby(["_device", "_home"], dropna=False).ngroup().rename("line")
+        # Stretch by stretch, and within a stretch in order of arrival.
+        number = came.groupby([line, "batch", "arrival"], sort=True).ngroup().to_numpy()
+        order = np.argsort(number[:len(asked)], kind="stable")
+        asked, line = asked.iloc[order], line.to_numpy()
+        questions, rows = number[:len(asked)][order], number[len(asked):]
         found = seen_rates(cfg, seen["t"].to_numpy(np.int64), seen[list(channels)].to_numpy(float),
-                           np.searchsorted(questions, rows, "left"), asked["now"].to_numpy(np.int64))
+                           np.searchsorted(questions, rows, "left"), asked["now"].to_numpy(np.int64),
+                           line[len(asked):], line[:len(asked)][order])
         columns = [[None if np.isnan(r) else r for r in found[:, i].tolist()] for i in range(2)]
         return pd.DataFrame({"message_key": asked["message_key"].to_numpy(), **dict(zip(channels.values(), columns, strict=True))}, dtype=object)
 
-    rates = asked.groupBy("_device", "_home").cogroup(known.groupBy("device_id", "_stretch")).applyInPandas(rate, RATES)
+    rates = asked.groupBy("_group").cogroup(known.groupBy("_group")).applyInPandas(rate, RATES)
     return late.drop(*channels.values()).join(rates, "message_key", "left").select(*late.columns)
 
 

@@ -368,3 +368,22 @@ def test_devices_of_a_lane_are_taken_in_side_by_side(monkeypatch):
         assert whole[exact].equals(other[exact])
         for rate in ("sauna_rate_c_per_min", "stovepipe_rate_c_per_min"):
             assert np.allclose(whole[rate].astype(float), other[rate].astype(float), rtol=0, atol=1e-9, equal_nan=True)
+
+
+def test_late_rates_of_many_stretches_are_made_in_one_call():
+    """Questions and readings of 300 groups at once: the rates of each group by itself, without a step per group."""
+    rng = np.random.default_rng(8)
+    cfg = RuntimeConfig()
+    times, values, since, now, group, asker, alone = [], [], [], [], [], [], []
+    for g in range(300):
+        t, asked = rng.integers(0, 60 * MINUTE, 40) + g * MINUTE, np.sort(rng.integers(20, 60, 15)) * MINUTE + g * MINUTE
+        v, s = rng.uniform(-9, 90, (40, 2)), rng.integers(0, 16, 40)
+        v[rng.random((40, 2)) < 0.2] = np.nan
+        alone.append(seen_rates(cfg, t, v, s, asked))
+        times.append(t), values.append(v), since.append(s + 15 * g), now.append(asked)
+        group.append(np.full(40, g)), asker.append(np.full(15, g))
+    order = rng.permutation(300 * 40)
+    together = seen_rates(cfg, np.concatenate(times)[order], np.concatenate(values)[order], np.concatenate(since)[order],
+                          np.concatenate(now), np.concatenate(group)[order], np.concatenate(asker))
+    assert np.isfinite(together).sum() > 1_000
+    assert np.allclose(together, np.concatenate(alone), rtol=0, atol=1e-10, equal_nan=True)
