@@ -79,12 +79,13 @@ def publish_audit(audit, folder: str) -> bool:
 
     The manifest is the records, the source files and one row with validation block, summary and
     baseline coverage. Readers see the old version until all of the new one is there; an unclean
-    audit's version has no replay set, which withdraws the one before. Returns whether there is one.
+    audit's version has no replay set, which withdraws the one before. The lines of records and replay set
+    are compressed (gzip), as there is one for each message. Returns whether there is a replay set.
     """
     spark = audit.records.sparkSession
     version = uuid.uuid4().hex
     path = f"{folder}/versions/{version}"
-    audit.records.write.json(f"{path}/records")
+    audit.records.write.option("compression", "gzip").json(f"{path}/records")
     if audit.source_files is not None:
         audit.source_files.write.json(f"{path}/source_files")
     validation = F.struct(*[F.lit(value).alias(name) if not isinstance(value, dict) else F.struct(
@@ -95,7 +96,7 @@ def publish_audit(audit, folder: str) -> bool:
     clean = spark.read.json(f"{path}/manifest").first().errors == 0
     if clean:
         replay = audit.entries.where("status = 'valid'").orderBy(*audit.replay_order())
-        replay.select("envelope").write.text(f"{path}/replay")
+        replay.select("envelope").write.option("compression", "gzip").text(f"{path}/replay")
     _point_to(spark, folder, version)
     return clean
 

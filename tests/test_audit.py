@@ -380,3 +380,22 @@ def test_published_audit_of_an_archive_with_errors_has_no_replay_lines(spark, tm
         'view' AS event_type, 20.0D AS value, '{"k": 1}' AS props FROM range(1, 7)""").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     row = QUERIES["published_audit"](spark, str(tmp_path)).first()
     assert (row.storage_events, row.errors, row.replay_envelopes, row.replay_lines, row.first_observed_at) == (6, 2, 0, 0, None)
+
+
+def test_a_published_audit_keeps_compressed_lines_and_no_stored_steps(spark, tmp_path, monkeypatch):
+    """What stays of publishing is the versions: lines compressed, intermediate results gone."""
+    folder = tmp_path / "shared"
+
+    def place(spark, label):
+        return f"{folder}/{label}-{len(list(folder.glob('*')))}"
+
+    monkeypatch.setattr("emberline.session.shared_folder", place)
+    monkeypatch.setattr("emberline.plans.queries.shared_folder", place)
+    rows = [(n, f"2024-01-{2 + n // 24:02d} {n % 24:02d}:00:00", 5, "view", 20.0 + n, '{"k": 7}') for n in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").selectExpr(
+        "event_id", "cast(ts as timestamp_ntz) ts", "user_id", "event_type", "value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    row = QUERIES["published_audit"](spark, str(tmp_path)).first()
+    assert row.errors == 0 and row.replay_lines == row.replay_envelopes > 0
+    assert not list(folder.glob("step-*"))
+    files = [f for part in ("records", "replay") for f in folder.glob(f"published-*/versions/*/{part}/part-*")]
+    assert files and all(f.name.endswith(".gz") for f in files)

@@ -57,3 +57,20 @@ def test_a_key_that_all_rows_want(spark, stored_steps):
     rows = [(n, 0, n) for n in range(500)] + [(1_000 + n, n, n) for n in range(1, 500)]
     assert distributed(spark, rows) == sequential_claims(rows)
     assert len(stored_steps) <= 10
+
+
+def test_rows_without_company_are_not_shuffled_whole(spark, monkeypatch):
+    """Only rows that share a key with another row go on; null keys are no one's."""
+    from pyspark.sql import functions as F
+
+    from emberline.operators import claims
+
+    rows = spark.range(2_000).select(
+        F.col("id").alias("n"), F.when(F.col("id") % 100 != 7, F.floor(F.col("id") / F.when(F.col("id") < 100, 2).otherwise(1))).alias("a"),
+        F.concat(F.lit("b"), F.col("id").cast("string")).alias("b"))
+    kept = []
+    stored = claims.cut_lineage
+    monkeypatch.setattr(claims, "cut_lineage", lambda df: kept.append(stored(df)) or kept[-1])
+    away = {r.n: r.holder_a.n for r in claims.turned_away(rows, "a", "b", ("n",)).collect()}
+    assert away == {n: n - 1 for n in range(1, 100, 2) if n != 7}
+    assert kept[0].count() < 200
